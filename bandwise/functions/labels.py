@@ -7,13 +7,13 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bandwise.functions.predicates import first_match
+
 
 def label_codes(code: Column, labels: Mapping[int, str]) -> Column:
     """Name of a small integer code; null for an unknown code."""
-    result = F.lit(None).cast("string")
-    for key, text in labels.items():
-        result = F.when(code == key, F.lit(text)).otherwise(result)
-    return result
+    cases = ((code == key, F.lit(text)) for key, text in labels.items())
+    return first_match(cases, F.lit(None).cast("string"))
 
 
 def format_value(

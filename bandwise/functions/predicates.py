@@ -31,6 +31,14 @@ def predicate(value: Predicate) -> Column:
     return F.expr(value) if isinstance(value, str) else value
 
 
+def first_match(cases: Iterable[tuple[Column, Column]], otherwise: Column) -> Column:
+    """Value of the first condition that is true, as one flat CASE."""
+    chain = None
+    for condition, value in cases:
+        chain = F.when(condition, value) if chain is None else chain.when(condition, value)
+    return otherwise if chain is None else chain.otherwise(otherwise)
+
+
 def all_of(predicates: Iterable[Predicate]) -> Column:
     """AND of every predicate; none at all keeps every row."""
     return reduce(operator.and_, (predicate(p) for p in predicates), F.lit(True))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from bandwise.functions.predicates import first_match
 from bandwise.operators.ordering import (
     DISTINCT_LIMIT,
     bucket_of,
@@ -91,13 +92,13 @@ def assign_numeric(value: Column, bands: Sequence[Band]) -> Column:
     x = value.cast("double")
     ordered = _disjoint(bands) if len(bands) > _CHAIN_LIMIT else None
     if ordered is None:
-        found = F.lit(None).cast("int")
-        for b in reversed(bands):
-            inside = (x > F.lit(b.lower)) & (x <= F.lit(b.upper))
-            found = F.when(inside, F.lit(b.id)).otherwise(found)
-        return found
-    at = bucket_of(x, [b.upper for b in ordered])
-    lower = F.get(F.lit([b.lower for b in ordered]), at)
+        cases = (
+            ((x > F.lit(float(b.lower))) & (x <= F.lit(float(b.upper))), F.lit(b.id))
+            for b in bands
+        )
+        return first_match(cases, F.lit(None).cast("int"))
+    at = bucket_of(x, [float(b.upper) for b in ordered])
+    lower = F.get(F.lit([float(b.lower) for b in ordered]), at)
     return F.when(
         (x > lower) & (at < len(ordered)), F.get(F.lit([b.id for b in ordered]), at)
     )
@@ -106,11 +107,8 @@ def assign_numeric(value: Column, bands: Sequence[Band]) -> Column:
 def assign_categories(value: Column, bands: Sequence[Band]) -> Column:
     """Id of the first band whose categories contain the value; null if none."""
     text = value.cast("string")
-    found = F.lit(None).cast("int")
-    for b in reversed(bands):
-        if b.categories:
-            found = F.when(text.isin(sorted(b.categories)), F.lit(b.id)).otherwise(found)
-    return found
+    cases = ((text.isin(sorted(b.categories)), F.lit(b.id)) for b in bands if b.categories)
+    return first_match(cases, F.lit(None).cast("int"))
 
 
 def assign(value: Column, bands: Sequence[Band]) -> Column:

@@ -12,6 +12,8 @@ from collections.abc import Collection, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bandwise.functions.labels import label_codes
+from bandwise.functions.predicates import first_match
 from bandwise.operators.bands import Band, assign
 from bandwise.operators.loss_bands import LossRate
 from bandwise.operators.segments import Segment
@@ -97,25 +99,27 @@ def assign_targets(
     last one within reach; a cell without data keeps its parent. Here the scale
     factor is floored at 1.
     """
-    full = bands.select("band_id").crossJoin(
-        segments_ids(bands.sparkSession, segments)
-    ).join(cells.select("band_id", "parent_id", F.col(rate).alias("__rate__")),
-           ["band_id", "parent_id"], "left")
+    parents = bands.sparkSession.createDataFrame([(s.id,) for s in segments], "parent_id int")
+    rates = cells.select("band_id", "parent_id", F.col(rate).alias("__rate__"))
+    rectangle = bands.select("band_id").crossJoin(parents)
+    full = rectangle.join(rates, ["band_id", "parent_id"], "left")
     known = F.col("__rate__").isNotNull() & ~F.isnan("__rate__")
-    target = F.col("parent_id")
+    choices = []
     for i, parent in enumerate(segments):
         reach = list(segments[max(0, i - upgrade) : i + downgrade + 1])
-        chosen = F.lit(reach[-1].id)
-        for s in reversed(reach):
-            factor = max(loss.factor(s), 1.0) if loss.use_scalar else 1.0
-            fits = F.col("__rate__") * F.lit(factor) < F.lit(s.upper_rate)
-            chosen = F.when(fits, F.lit(s.id)).otherwise(chosen)
-        target = F.when(known & (F.col("parent_id") == parent.id), chosen).otherwise(target)
+        fits = (
+            (F.col("__rate__") * F.lit(_floored(loss, s)) < F.lit(s.upper_rate), F.lit(s.id))
+            for s in reach
+        )
+        choices.append(
+            (known & (F.col("parent_id") == parent.id), first_match(fits, F.lit(reach[-1].id)))
+        )
+    target = first_match(choices, F.col("parent_id"))
     return full.select("band_id", "parent_id", target.alias("target_id"))
 
 
-def segments_ids(spark: SparkSession, segments: Sequence[Segment]) -> DataFrame:
-    return spark.createDataFrame([(s.id,) for s in segments], "parent_id int")
+def _floored(loss: LossRate, segment: Segment) -> float:
+    return max(loss.factor(segment), 1.0) if loss.use_scalar else 1.0
 
 
 def _signatures(grid: DataFrame) -> DataFrame:
@@ -177,9 +181,7 @@ def describe_grid(
     """Grid with segment names: a row per enabled band, a column per parent segment."""
     names = {s.id: s.name for s in segments}
     shown = grid.filter(~F.col("band_id").isin(list(disabled))) if disabled else grid
-    label = F.lit(None).cast("string")
-    for code, name in names.items():
-        label = F.when(F.col("target_id") == code, F.lit(name)).otherwise(label)
+    label = label_codes(F.col("target_id"), names)
     wide = (
         shown.withColumn("__label__", label)
         .groupBy("band_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,11 +24,15 @@ def _is_number(df: DataFrame, column: str) -> bool:
 
 
 def bin_edges(
-    df: DataFrame, columns: Sequence[str], bins: int = BINS, limit: int = DISTINCT_LIMIT
+    df: DataFrame,
+    columns: Sequence[str],
+    bins: int = BINS,
+    limit: int = DISTINCT_LIMIT,
+    distinct: Mapping[str, int] | None = None,
 ) -> dict[str, list[float]]:
     """Inner edges of right-closed quantile bins; repeated edges are merged."""
     fractions = [i / bins for i in range(1, bins)]
-    found = column_quantiles(df, columns, fractions, limit)
+    found = column_quantiles(df, columns, fractions, limit, distinct)
     return {c: sorted({e for e in edges if e is not None}) for c, edges in found.items()}
 
 
@@ -40,10 +44,14 @@ def quantile_bins(
     return df.withColumn(out, bucket_of(F.col(column).cast("double"), edges))
 
 
+def _is_binary(target: str) -> Column:
+    value = F.col(target).cast("double")
+    return F.count_if(~value.isin(0.0, 1.0)) == 0
+
+
 def check_binary(df: DataFrame, target: str) -> DataFrame:
     """One row: ``is_binary``, true if every non-null value is 0 or 1."""
-    value = F.col(target).cast("double")
-    return df.agg((F.count_if(~value.isin(0.0, 1.0)) == 0).alias("is_binary"))
+    return df.agg(_is_binary(target).alias("is_binary"))
 
 
 def eligible_variables(
@@ -67,13 +75,15 @@ def eligible_variables(
 
 
 def _value_of(grouped: DataFrame) -> DataFrame:
-    """IV per variable from good and bad counts per bin.
+    """IV and number of bins per variable, from good and bad counts per bin.
 
     Totals come from a second aggregate over the bins, a table of variables x
     bins rows.
     """
     totals = grouped.groupBy("variable").agg(
-        F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad")
+        F.sum("good").alias("all_good"),
+        F.sum("bad").alias("all_bad"),
+        F.count(F.lit(1)).alias("bins"),
     )
     floor = F.lit(FLOOR)
 
@@ -85,7 +95,7 @@ def _value_of(grouped: DataFrame) -> DataFrame:
     term = (good - bad) * F.ln(good / bad)
     return (
         grouped.join(totals, "variable")
-        .groupBy("variable")
+        .groupBy("variable", "bins")
         .agg(F.coalesce(F.sum(term), F.lit(0.0)).alias("iv"))
     )
 
@@ -100,47 +110,56 @@ def iv_ranking(
 ) -> DataFrame:
     """Information Value of every variable, strongest first: ``variable, iv, strength``.
 
-    All variables share their passes: one for the checks, the bin edges of all
-    numeric variables together, one that counts good and bad rows per variable
-    and bin. Rows are repeated per variable only ahead of the partial
+    All variables share three passes: checks and distinct-count sketches, the
+    bin edges of all numeric variables, and the count of good and bad rows per
+    variable and bin. Rows are repeated per variable only ahead of the partial
     aggregation in the same task. Text variables with more than ten values are
-    left out.
+    left out: by their sketch if it is clear, else by their number of bins.
     """
     kind = df.schema[target].dataType
     if not isinstance(kind, (NumericType, BooleanType)):
         raise TypeError(f"target {target!r} is neither numeric nor boolean")
     rows = keep(df, where)
-    if not check_binary(rows, target).first()["is_binary"]:
+    numeric = [c for c in variables if _is_number(df, c)]
+    checks = rows.agg(
+        _is_binary(target).alias("binary"),
+        *(F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(variables)),
+    ).first()
+    if not checks["binary"]:
         raise ValueError(f"target {target!r} has values other than 0 and 1")
-    usable, _ = eligible_variables(rows, variables)
-    known = rows.filter(F.col(target).isNotNull())
-    numeric = [c for c in usable if _is_number(df, c)]
-    edges = bin_edges(known, numeric, bins, limit)
+    distinct = {c: checks[f"d{i}"] for i, c in enumerate(variables)}
+    usable = [c for c in variables if c in numeric or distinct[c] <= 2 * MAX_TEXT_VALUES]
     if not usable:
         return df.sparkSession.createDataFrame([], "variable string, iv double, strength string")
+    known = rows.filter(F.col(target).isNotNull())
+    edges = bin_edges(known, numeric, bins, limit, distinct)
 
     def bin_label(c: str) -> Column:
         if c in edges:
             return bucket_of(F.col(c).cast("double"), edges[c]).cast("string")
         return F.col(c).cast("string")
 
-    entries = [
-        F.struct(F.lit(c).alias("variable"), bin_label(c).alias("bin")) for c in usable
-    ]
+    entries = [F.struct(F.lit(c).alias("variable"), bin_label(c).alias("bin")) for c in usable]
     flag = F.col(target).cast("double")
-    long = known.select(flag.alias("target"), F.inline(F.array(*entries)))
+    # Rows without a target count towards a text variable's values, nothing else.
     grouped = (
-        long.filter(F.col("bin").isNotNull())
+        rows.select(flag.alias("target"), F.inline(F.array(*entries)))
+        .filter(F.col("bin").isNotNull())
         .groupBy("variable", "bin")
-        .agg(F.count_if(F.col("target") == 0).alias("good"), F.count_if(F.col("target") == 1).alias("bad"))
+        .agg(
+            F.count_if(F.col("target") == 0).alias("good"),
+            F.count_if(F.col("target") == 1).alias("bad"),
+        )
     )
-    found = _value_of(grouped)
     # A variable without any usable row has no group, but a value of 0.
-    listed = df.sparkSession.createDataFrame([(c,) for c in usable], "variable string")
-    full = listed.join(found, "variable", "left").withColumn(
-        "iv", F.coalesce("iv", F.lit(0.0))
+    listed = df.sparkSession.createDataFrame(
+        [(c, c in numeric) for c in usable], "variable string, is_number boolean"
+    )
+    full = listed.join(_value_of(grouped), "variable", "left").filter(
+        F.col("is_number") | (F.coalesce("bins", F.lit(0)) <= MAX_TEXT_VALUES)
     )
-    return full.withColumn("strength", strength_label(F.col("iv"))).orderBy(
+    iv = F.coalesce("iv", F.lit(0.0))
+    return full.select("variable", iv.alias("iv"), strength_label(iv).alias("strength")).orderBy(
         F.col("iv").desc(), "variable"
     )
 

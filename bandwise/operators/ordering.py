@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
+from bandwise.functions.predicates import first_match
+
 # Above this many distinct values, ordering is spread over ranges.
 DISTINCT_LIMIT = 200_000
 MAX_RANGES = 1024
@@ -39,10 +41,9 @@ def bucket_of(value: Column, edges: Sequence[Any]) -> Column:
     if not edges:
         return F.when(value.isNotNull(), F.lit(0))
     if len(edges) <= _CHAIN_LIMIT:
-        found = F.lit(len(edges))
-        for i in reversed(range(len(edges))):
-            found = F.when(value <= F.lit(edges[i]), F.lit(i)).otherwise(found)
-        return F.when(value.isNotNull(), found)
+        below = ((value <= F.lit(e), F.lit(i)) for i, e in enumerate(edges))
+        missing = (value.isNull(), F.lit(None).cast("int"))
+        return first_match([missing, *below], F.lit(len(edges)))
     table = F.lit(list(edges))
     steps = [1 << k for k in reversed(range(len(edges).bit_length()))]
     position = F.aggregate(

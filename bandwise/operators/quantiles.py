@@ -9,7 +9,7 @@ wanted ranks leave the executors.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,11 +118,13 @@ def column_quantiles(
     columns: Sequence[str],
     fractions: Sequence[float],
     limit: int = DISTINCT_LIMIT,
+    distinct: Mapping[str, int] | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact linear quantiles of several columns, on the driver.
 
     Three passes at most, however many columns: distinct-count sketches, one
     aggregate for all columns with few distinct values, one for all others.
+    Known distinct counts (``distinct``) save the first.
     """
     columns = list(columns)
     missing: list[float | None] = [None] * len(fractions)
@@ -130,7 +132,8 @@ def column_quantiles(
     if not columns or not fractions:
         return result
     values = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
-    distinct = distinct_estimates(values, columns)
+    if distinct is None:
+        distinct = distinct_estimates(values, columns)
     small = [c for c in columns if distinct[c] <= limit]
     large = [c for c in columns if distinct[c] > limit]
     if small:

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bandwise.functions.predicates import first_match
+
 INF = float("inf")
 DOLLAR = "dollar"
 UNIT = "unit"
@@ -135,11 +137,11 @@ def split_equal_rates(segments: DataFrame) -> DataFrame:
 
 def segment_by_rate(rate: Column, segments: Sequence[Segment]) -> Column:
     """Name of the first segment with ``lower <= rate < upper``; null if none."""
-    found = F.lit(None).cast("string")
-    for s in reversed(segments):
-        inside = (rate >= F.lit(s.lower_rate)) & (rate < F.lit(s.upper_rate))
-        found = F.when(inside, F.lit(s.name)).otherwise(found)
-    return found
+    cases = (
+        ((rate >= F.lit(s.lower_rate)) & (rate < F.lit(s.upper_rate)), F.lit(s.name))
+        for s in segments
+    )
+    return first_match(cases, F.lit(None).cast("string"))
 
 
 def scale_factor_table(segments: DataFrame, rate_type: str, scalar: float) -> DataFrame:

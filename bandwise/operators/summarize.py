@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from bandwise.functions.predicates import Predicate, keep
+from bandwise.functions.predicates import Predicate, first_match, keep
 from bandwise.operators.metrics import TOTAL_SIZE, Additive, Grouped, Holistic, Metric, Part
 from bandwise.operators.ordering import null_safe_join
 from bandwise.sources.union import SOURCE
@@ -262,9 +262,8 @@ def cumulative(
         return base.select(key).limit(0)
     layout = _Layout(metrics)
     rows = layout.restrict(base)
-    ordinal = F.lit(None).cast("int")
-    for i in reversed(range(len(groups))):
-        ordinal = F.when(F.col(key) == F.lit(groups[i]), F.lit(i)).otherwise(ordinal)
+    places = ((F.col(key) == F.lit(group), F.lit(i)) for i, group in enumerate(groups))
+    ordinal = first_match(places, F.lit(None).cast("int"))
     placed = rows.withColumn(_REACH, ordinal)
     listed = ordered_frame(base, key, groups, _REACH)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandwise.functions.labels import label_codes
-from bandwise.functions.predicates import Predicate
+from bandwise.functions.predicates import Predicate, first_match
 from bandwise.operators.grid import target_of
 from bandwise.operators.metrics import Metric
 from bandwise.operators.ordering import distinct_estimates
@@ -38,9 +38,8 @@ class Scaling:
         if metric not in self.scalars:
             return value
         rate_type, scalar = self.scalars[metric]
-        maf = F.lit(1.0)
-        for s in segments:
-            maf = F.when(segment == s.id, F.lit(s.maf(rate_type))).otherwise(maf)
+        factors = ((segment == s.id, F.lit(float(s.maf(rate_type)))) for s in segments)
+        maf = first_match(factors, F.lit(1.0))
         return value * scale_factor(maf, scalar)
 
 
@@ -102,10 +101,8 @@ def segment_table(
 
 def _position(segment: Column, segments: Sequence[Segment]) -> Column:
     """Place in display order; totals come last."""
-    place = F.lit(len(segments))
-    for i, s in enumerate(segments):
-        place = F.when(segment == s.id, F.lit(i)).otherwise(place)
-    return place
+    places = ((segment == s.id, F.lit(i)) for i, s in enumerate(segments))
+    return first_match(places, F.lit(len(segments)))
 
 
 def _scaled(
