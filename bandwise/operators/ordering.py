@@ -13,7 +13,7 @@ literals: a recomputed task must see the same ranges.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 from typing import Any
@@ -26,6 +26,7 @@ from bandwise.functions.predicates import first_match
 
 # Above this many distinct values, ordering is spread over ranges.
 DISTINCT_LIMIT = 200_000
+MIN_RANGES = 256
 MAX_RANGES = 1024
 RANGE = "__range__"
 
@@ -65,10 +66,13 @@ def distinct_estimates(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
 
 
 def ranges_needed(distinct: int, limit: int = DISTINCT_LIMIT) -> int:
-    """How many ranges keep each below a fraction of the limit."""
+    """How many ranges keep each well below the limit; one if none are needed.
+
+    More ranges than strictly needed let a search for a few ranks skip more rows.
+    """
     if distinct <= limit:
         return 1
-    return min(MAX_RANGES, max(8, -(-4 * distinct // max(limit, 1))))
+    return min(MAX_RANGES, max(MIN_RANGES, -(-4 * distinct // max(limit, 1))))
 
 
 def range_edges(df: DataFrame, columns: Sequence[str], ranges: int) -> dict[str, list[Any]]:
@@ -173,12 +177,18 @@ def null_safe_join(
 
 
 def with_positions(
-    counts: DataFrame, keys: Sequence[str], value: str, weight: str
+    counts: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    weight: str,
+    wanted: Callable[[Column, Column, Column], Column] | None = None,
 ) -> DataFrame:
     """Rank of every distinct value within its key, in ascending order.
 
     ``counts`` holds one row per key, range and value, with its multiplicity.
-    Adds ``start`` (rows of the key before this value) and ``total``.
+    Adds ``start`` (rows of the key before this value) and ``total``. With
+    ``wanted(start, end, total)``, ranges for which it is false are dropped
+    before their rows are shuffled and sorted.
     """
     keys = list(keys)
     per_range = counts.groupBy(*keys, RANGE).agg(F.sum(weight).alias("__in_range__"))
@@ -187,9 +197,14 @@ def with_positions(
     offsets = per_range.select(
         *keys,
         RANGE,
+        "__in_range__",
         F.coalesce(F.sum("__in_range__").over(earlier), F.lit(0)).alias("__before__"),
         F.sum("__in_range__").over(Window.partitionBy(*keys)).alias("total"),
     )
+    if wanted is not None:
+        end = F.col("__before__") + F.col("__in_range__")
+        offsets = offsets.filter(wanted(F.col("__before__"), end, F.col("total")))
+    offsets = offsets.drop("__in_range__")
     inside = (
         Window.partitionBy(*keys, RANGE)
         .orderBy(value)

@@ -1,10 +1,10 @@
 """Exact quantiles of columns and groups of any size.
 
-``percentile`` keeps a map of every distinct value of a group in one task. It
-is used while a distinct-count sketch says that map is small. Otherwise rows
-collapse to one per distinct value (so a value holding a third of the table is
-one row), the values are ranked in parallel ranges, and only the rows at the
-wanted ranks leave the executors.
+``percentile`` builds a map of distinct values in every task and merges all of
+them in one; it is used only while a distinct-count sketch says that the maps
+are tiny. Otherwise rows collapse to one per distinct value (so a value holding
+a third of the table is one row), the values are ranked in parallel ranges, and
+only the rows at the wanted ranks leave the executors.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bandwise.functions.predicates import first_match
 from bandwise.operators.ordering import (
     DISTINCT_LIMIT,
     RANGE,
@@ -26,26 +27,28 @@ from bandwise.operators.ordering import (
     with_positions,
 )
 
+# Up to this many distinct values, maps from ten thousand tasks fit into one.
+MAP_LIMIT = 10_000
+
 INTERPOLATIONS = ("linear", "nearest", "lower", "higher", "midpoint")
 
 
-def _ranks(total: Column, fraction: float, interpolation: str) -> list[Column]:
-    """Zero-based ranks whose values make up the quantile."""
-    h = (total - 1) * F.lit(float(fraction))
-    low, high = F.floor(h), F.ceil(h)
-    if interpolation == "lower":
-        return [low]
-    if interpolation == "higher":
-        return [high]
-    if interpolation == "nearest":
-        return [F.floor(h + 0.5)]
-    return [low, high]
+def _sides(interpolation: str) -> int:
+    """How many ranks make up one quantile."""
+    if interpolation not in INTERPOLATIONS:
+        raise ValueError(f"unknown interpolation {interpolation!r}")
+    return 2 if interpolation in ("linear", "midpoint") else 1
 
 
-def _mix(low: Column, high: Column, total: Column, fraction: float, how: str) -> Column:
-    h = (total - 1) * F.lit(float(fraction))
-    share = F.lit(0.5) if how == "midpoint" else h - F.floor(h)
-    return F.when(low == high, low).otherwise(low + (high - low) * share)
+def _rank(position: Column, side: Column, interpolation: str) -> Column:
+    """Zero-based rank for a fractional position; ``side`` 1 is the upper neighbour."""
+    if interpolation == "nearest":
+        return F.floor(position + 0.5)
+    if interpolation == "lower":
+        return F.floor(position)
+    if interpolation == "higher":
+        return F.ceil(position)
+    return F.when(side == 0, F.floor(position)).otherwise(F.ceil(position))
 
 
 def quantiles_of_counts(
@@ -55,33 +58,45 @@ def quantiles_of_counts(
     interpolation: str = "linear",
 ) -> DataFrame:
     """Quantiles from a table of ``(keys, range, value, n)``: keys and ``quantiles``."""
-    if interpolation not in INTERPOLATIONS:
-        raise ValueError(f"unknown interpolation {interpolation!r}")
     keys = list(keys)
-    placed = with_positions(counts, keys, "value", "n")
-    wanted = [
-        F.struct(F.lit(i).alias("q"), F.lit(side).alias("side"), rank.alias("rank"))
-        for i, fraction in enumerate(fractions)
-        for side, rank in enumerate(_ranks(F.col("total"), fraction, interpolation))
-    ]
-    start, end = F.col("start"), F.col("start") + F.col("n")
-    hits = F.filter(F.array(*wanted), lambda w: (w.rank >= start) & (w.rank < end))
-    found = placed.select(*keys, "value", "total", F.explode(hits).alias("w"))
-    # At most two entries per fraction and key.
-    entry = F.struct(F.col("w.q"), F.col("w.side"), F.col("value"))
+    sides = _sides(interpolation)
+    slots = F.lit(list(range(sides * len(fractions))))
+    asked = F.lit([float(q) for q in fractions])
+
+    def position(slot: Column, total: Column) -> Column:
+        return (total - 1) * F.get(asked, F.floor(slot / sides).cast("int"))
+
+    def slots_between(start: Column, end: Column, total: Column) -> Column:
+        def inside(slot: Column) -> Column:
+            rank = _rank(position(slot, total), slot % sides, interpolation)
+            return (rank >= start) & (rank < end)
+
+        return F.filter(slots, inside)
+
+    placed = with_positions(
+        counts, keys, "value", "n", lambda a, b, total: F.size(slots_between(a, b, total)) > 0
+    )
+    start = F.col("start")
+    hits = slots_between(start, start + F.col("n"), F.col("total"))
+    found = placed.select(*keys, "value", "total", F.explode(hits).alias("slot"))
+    # One entry per slot and key.
     grouped = found.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(entry)).alias("entries"), F.max("total").alias("total")
+        F.array_sort(F.collect_list(F.struct("slot", "value"))).alias("entries"),
+        F.max("total").alias("total"),
     )
-    sides = len(wanted) // len(fractions)
-    values = []
-    for i, fraction in enumerate(fractions):
-        low = F.get("entries", F.lit(sides * i)).getField("value")
-        if sides == 1:
-            values.append(low)
-            continue
-        high = F.get("entries", F.lit(sides * i + 1)).getField("value")
-        values.append(_mix(low, high, F.col("total"), fraction, interpolation))
-    return grouped.select(*keys, F.array(*values).alias("quantiles"))
+
+    def value_at(slot: Column) -> Column:
+        return F.get("entries", slot).getField("value")
+
+    def mixed(slot: Column) -> Column:
+        low, high = value_at(slot), value_at(slot + 1)
+        h = position(slot, F.col("total"))
+        share = F.lit(0.5) if interpolation == "midpoint" else h - F.floor(h)
+        return F.when(low == high, low).otherwise(low + (high - low) * share)
+
+    firsts = F.lit(list(range(0, sides * len(fractions), sides)))
+    values = F.transform(firsts, mixed if sides == 2 else value_at)
+    return grouped.select(*keys, values.alias("quantiles"))
 
 
 def group_quantiles(
@@ -101,14 +116,15 @@ def group_quantiles(
         F.col("value").isNotNull()
     )
     distinct = distinct_estimates(values, ["value"])["value"]
-    if interpolation == "linear" and distinct <= limit:
+    if interpolation == "linear" and distinct <= min(limit, MAP_LIMIT):
         return values.groupBy(*keys).agg(
             F.percentile("value", list(fractions)).alias("quantiles")
         ).filter(F.col("quantiles").isNotNull())
+    edges = range_edges(values, ["value"], ranges_needed(distinct, limit))["value"]
     counts = (
-        ranged(values, "value", limit, distinct)
-        .groupBy(*keys, RANGE, "value")
+        values.groupBy(*keys, "value")
         .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn(RANGE, bucket_of(F.col("value"), edges))
     )
     return quantiles_of_counts(counts, keys, fractions, interpolation)
 
@@ -134,8 +150,8 @@ def column_quantiles(
     values = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
     if distinct is None:
         distinct = distinct_estimates(values, columns)
-    small = [c for c in columns if distinct[c] <= limit]
-    large = [c for c in columns if distinct[c] > limit]
+    small = [c for c in columns if distinct[c] <= min(limit, MAP_LIMIT)]
+    large = [c for c in columns if c not in small]
     if small:
         row = values.agg(
             *(F.percentile(F.col(c), list(fractions)).alias(f"q{i}") for i, c in enumerate(small))
@@ -145,18 +161,16 @@ def column_quantiles(
     if large:
         edges = range_edges(values, large, ranges_needed(max(distinct[c] for c in large), limit))
         entries = [
-            F.struct(
-                F.lit(c).alias("variable"),
-                F.col(c).alias("value"),
-                bucket_of(F.col(c), edges[c]).alias(RANGE),
-            )
-            for c in large
+            F.struct(F.lit(c).alias("variable"), F.col(c).alias("value")) for c in large
         ]
+        value = F.col("value")
+        by_variable = ((F.col("variable") == c, bucket_of(value, edges[c])) for c in large)
         counts = (
             values.select(F.inline(F.array(*entries)))
-            .filter(F.col("value").isNotNull())
-            .groupBy("variable", RANGE, "value")
+            .filter(value.isNotNull())
+            .groupBy("variable", "value")
             .agg(F.count(F.lit(1)).alias("n"))
+            .withColumn(RANGE, first_match(by_variable, F.lit(None).cast("int")))
         )
         for row in quantiles_of_counts(counts, ["variable"], fractions).collect():
             result[row["variable"]] = list(row["quantiles"])
