@@ -23,7 +23,7 @@ from bandwise.operators.ordering import (
     ranged,
     with_positions,
 )
-from bandwise.operators.quantiles import column_quantiles
+from bandwise.operators.quantiles import MAP_LIMIT, column_quantiles
 
 INF = float("inf")
 MAX_CATEGORIES = 20
@@ -138,7 +138,7 @@ def assign_lookup(df: DataFrame, column: str, categories: DataFrame, out: str) -
 
 
 def quantile_bands(
-    df: DataFrame, column: str, count: int, limit: int = DISTINCT_LIMIT
+    df: DataFrame, column: str, count: int, limit: int = MAP_LIMIT
 ) -> list[Band]:
     """``count`` bands cut at equal quantiles; the outer bounds are unbounded."""
     if count <= 0:

@@ -10,8 +10,8 @@ from pyspark.sql.types import BooleanType, NumericType
 
 from bandwise.functions.labels import strength_label
 from bandwise.functions.predicates import Predicate, keep
-from bandwise.operators.ordering import DISTINCT_LIMIT, bucket_of
-from bandwise.operators.quantiles import column_quantiles
+from bandwise.operators.ordering import Sketch, bucket_of, read_sketches, sketch_aggregates
+from bandwise.operators.quantiles import MAP_LIMIT, column_quantiles
 from bandwise.plans.tables import dimension_candidates
 
 BINS = 20
@@ -27,17 +27,17 @@ def bin_edges(
     df: DataFrame,
     columns: Sequence[str],
     bins: int = BINS,
-    limit: int = DISTINCT_LIMIT,
-    distinct: Mapping[str, int] | None = None,
+    limit: int = MAP_LIMIT,
+    sketches: Mapping[str, Sketch] | None = None,
 ) -> dict[str, list[float]]:
     """Inner edges of right-closed quantile bins; repeated edges are merged."""
     fractions = [i / bins for i in range(1, bins)]
-    found = column_quantiles(df, columns, fractions, limit, distinct)
+    found = column_quantiles(df, columns, fractions, limit, sketches)
     return {c: sorted({e for e in edges if e is not None}) for c, edges in found.items()}
 
 
 def quantile_bins(
-    df: DataFrame, column: str, out: str, bins: int = BINS, limit: int = DISTINCT_LIMIT
+    df: DataFrame, column: str, out: str, bins: int = BINS, limit: int = MAP_LIMIT
 ) -> DataFrame:
     """Add the number of a row's quantile bin, from 0; null values have none."""
     edges = bin_edges(df, [column], bins, limit)[column]
@@ -106,7 +106,7 @@ def iv_ranking(
     variables: Sequence[str],
     where: Predicate | None = None,
     bins: int = BINS,
-    limit: int = DISTINCT_LIMIT,
+    limit: int = MAP_LIMIT,
 ) -> DataFrame:
     """Information Value of every variable, strongest first: ``variable, iv, strength``.
 
@@ -123,16 +123,17 @@ def iv_ranking(
     numeric = [c for c in variables if _is_number(df, c)]
     checks = rows.agg(
         _is_binary(target).alias("binary"),
-        *(F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(variables)),
+        *sketch_aggregates(df, variables),
     ).first()
     if not checks["binary"]:
         raise ValueError(f"target {target!r} has values other than 0 and 1")
-    distinct = {c: checks[f"d{i}"] for i, c in enumerate(variables)}
-    usable = [c for c in variables if c in numeric or distinct[c] <= 2 * MAX_TEXT_VALUES]
+    sketches = read_sketches(df, variables, checks)
+    few = {c for c in variables if sketches[c].distinct <= 2 * MAX_TEXT_VALUES}
+    usable = [c for c in variables if c in numeric or c in few]
     if not usable:
         return df.sparkSession.createDataFrame([], "variable string, iv double, strength string")
     known = rows.filter(F.col(target).isNotNull())
-    edges = bin_edges(known, numeric, bins, limit, distinct)
+    edges = bin_edges(known, numeric, bins, limit, sketches)
 
     def bin_label(c: str) -> Column:
         if c in edges:
@@ -165,7 +166,7 @@ def iv_ranking(
 
 
 def information_value(
-    df: DataFrame, variable: str, target: str, bins: int = BINS, limit: int = DISTINCT_LIMIT
+    df: DataFrame, variable: str, target: str, bins: int = BINS, limit: int = MAP_LIMIT
 ) -> DataFrame:
     """Information Value of one variable, one row."""
     return iv_ranking(df, target, [variable], bins=bins, limit=limit)

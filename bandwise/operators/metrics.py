@@ -27,7 +27,7 @@ from bandwise.operators.ordering import (
     adjacent_pairs,
     ranged_rows,
 )
-from bandwise.operators.quantiles import group_quantiles, most_frequent
+from bandwise.operators.quantiles import MAP_LIMIT, group_quantiles, most_frequent
 
 TOTAL_SIZE = "total_size"
 
@@ -257,7 +257,7 @@ def quantile(
     column: str,
     fraction: float = 0.5,
     interpolation: str = "nearest",
-    limit: int = DISTINCT_LIMIT,
+    limit: int = MAP_LIMIT,
     **display: Any,
 ) -> Holistic:
     """Exact quantile per group; nearest rank by default."""

@@ -13,31 +13,45 @@ literals: a recomputed task must see the same ranges.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
+from pyspark.sql.types import (
+    ArrayType,
+    DataType,
+    DateType,
+    DoubleType,
+    NumericType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 from bandwise.functions.predicates import first_match
 
 # Above this many distinct values, ordering is spread over ranges.
 DISTINCT_LIMIT = 200_000
-MIN_RANGES = 256
-MAX_RANGES = 1024
+RANGES = 512
 RANGE = "__range__"
 
 _CHAIN_LIMIT = 24
 
 
-def bucket_of(value: Column, edges: Sequence[Any]) -> Column:
+def bucket_of(
+    value: Column, edges: Sequence[Any], value_type: DataType | None = None
+) -> Column:
     """Number of sorted ``edges`` below the value: buckets are open on the left.
 
     Few edges become a CASE, which stays inside generated code; many become a
-    binary search over one literal array.
+    binary search over one constant array, of doubles unless said otherwise.
     """
     if not edges:
         return F.when(value.isNotNull(), F.lit(0))
@@ -45,71 +59,104 @@ def bucket_of(value: Column, edges: Sequence[Any]) -> Column:
         below = ((value <= F.lit(e), F.lit(i)) for i, e in enumerate(edges))
         missing = (value.isNull(), F.lit(None).cast("int"))
         return first_match([missing, *below], F.lit(len(edges)))
-    table = F.lit(list(edges))
-    steps = [1 << k for k in reversed(range(len(edges).bit_length()))]
-    position = F.aggregate(
+    kind = value_type or DoubleType()
+    return F.when(value.isNotNull(), _search(value, literal_array(edges, kind), len(edges)))
+
+
+def literal_array(values: Sequence[Any], kind: DataType) -> Column:
+    """A sorted constant array, passed to the JVM as one string instead of one call per entry.
+
+    It is sorted again there, so that the order holds for the values as parsed.
+    """
+    text = json.dumps([_texts(v) for v in values])
+    plain = StringType()
+    if isinstance(kind, StructType):
+        plain = StructType([StructField(f.name, StringType()) for f in kind.fields])
+    parsed = F.from_json(F.lit(text), ArrayType(plain))
+    return F.sort_array(parsed.cast(ArrayType(kind)))
+
+
+def _texts(value: Any) -> Any:
+    if isinstance(value, dict):
+        return {name: _texts(v) for name, v in value.items()}
+    return None if value is None else str(value)
+
+
+def _search(value: Column, edges: Column, count: int) -> Column:
+    """Binary search: number of entries of a sorted array below the value."""
+    steps = [1 << k for k in reversed(range(count.bit_length()))]
+    return F.aggregate(
         F.lit(steps),
         F.lit(0),
-        lambda at, step: F.when(F.get(table, at + step - 1) < value, at + step).otherwise(at),
+        lambda at, step: F.when(F.get(edges, at + step - 1) < value, at + step).otherwise(at),
     )
-    return F.when(value.isNotNull(), position)
 
 
-def distinct_estimates(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
-    """Approximate distinct counts of several columns from one pass."""
+@dataclass(frozen=True)
+class Sketch:
+    """Approximate number of distinct values, and range edges where they can be sketched."""
+
+    distinct: int
+    edges: list[Any] | None
+
+
+def _can_sketch(df: DataFrame, column: str) -> bool:
+    kinds = (NumericType, DateType, TimestampType, TimestampNTZType)
+    return isinstance(df.schema[column].dataType, kinds)
+
+
+def sketch_aggregates(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """Aggregates behind ``read_sketches``, to be combined with others of the same pass."""
+    fractions = F.expr(f"array({', '.join(f'{i / RANGES}D' for i in range(1, RANGES))})")
+    found = []
+    for i, c in enumerate(columns):
+        found.append(F.approx_count_distinct(F.col(c)).alias(f"__distinct{i}__"))
+        if _can_sketch(df, c):
+            edges = F.percentile_approx(F.col(c), fractions, 4 * RANGES)
+            found.append(edges.alias(f"__edges{i}__"))
+    return found
+
+
+def read_sketches(df: DataFrame, columns: Sequence[str], row: Row) -> dict[str, Sketch]:
+    result = {}
+    for i, c in enumerate(columns):
+        edges = None
+        if _can_sketch(df, c):
+            edges = sorted({e for e in (row[f"__edges{i}__"] or []) if e == e})
+        result[c] = Sketch(row[f"__distinct{i}__"], edges)
+    return result
+
+
+def sketch_columns(df: DataFrame, columns: Sequence[str]) -> dict[str, Sketch]:
+    """Sketches of several columns from one pass; their size does not depend on the data."""
     if not columns:
         return {}
-    row = df.agg(
-        *(F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(columns))
-    ).first()
-    return {c: row[f"d{i}"] for i, c in enumerate(columns)}
+    return read_sketches(df, columns, df.agg(*sketch_aggregates(df, columns)).first())
 
 
-def ranges_needed(distinct: int, limit: int = DISTINCT_LIMIT) -> int:
-    """How many ranges keep each well below the limit; one if none are needed.
+def _text_edges(df: DataFrame, column: str) -> list[str]:
+    """Edges from the distinct values with the smallest hashes, a fixed-size sample."""
+    if not isinstance(df.schema[column].dataType, StringType):
+        raise TypeError(f"cannot order by {column!r} of type {df.schema[column].dataType}")
+    values = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    rows = values.orderBy(F.xxhash64(column), column).limit(8 * RANGES).collect()
+    return _every_nth(sorted(r[0] for r in rows))
 
-    More ranges than strictly needed let a search for a few ranks skip more rows.
-    """
-    if distinct <= limit:
-        return 1
-    return min(MAX_RANGES, max(MIN_RANGES, -(-4 * distinct // max(limit, 1))))
 
+def _every_nth(ordered: list) -> list:
+    step = max(1, len(ordered) // RANGES)
+    return ordered[step - 1 :: step][: RANGES - 1]
 
-def range_edges(df: DataFrame, columns: Sequence[str], ranges: int) -> dict[str, list[Any]]:
-    """Edges cutting each column into about equal parts; at most ``ranges - 1`` each.
 
-    Numbers and times use a quantile sketch. Text has none, so its edges come
-    from the distinct values with the smallest hashes, a fixed-size sample.
-    """
-    if ranges <= 1:
-        return {c: [] for c in columns}
-    sketched, sampled = [], []
-    for c in columns:
-        kind = df.schema[c].dataType
-        if isinstance(kind, (NumericType, DateType, TimestampType, TimestampNTZType)):
-            sketched.append(c)
-        elif isinstance(kind, StringType):
-            sampled.append(c)
-        else:
-            raise TypeError(f"cannot order by {c!r} of type {kind.simpleString()}")
-    edges: dict[str, list[Any]] = {}
-    if sketched:
-        fractions = [i / ranges for i in range(1, ranges)]
-        row = df.agg(
-            *(
-                F.percentile_approx(F.col(c), fractions, 4 * ranges).alias(f"e{i}")
-                for i, c in enumerate(sketched)
-            )
-        ).first()
-        for i, c in enumerate(sketched):
-            edges[c] = sorted({e for e in (row[f"e{i}"] or []) if e == e})
-    for c in sampled:
-        values = df.select(c).filter(F.col(c).isNotNull()).distinct()
-        rows = values.orderBy(F.xxhash64(c), c).limit(8 * ranges).collect()
-        ordered = sorted(r[0] for r in rows)
-        step = max(1, len(ordered) // ranges)
-        edges[c] = ordered[step - 1 :: step][: ranges - 1]
-    return edges
+def range_edges(
+    df: DataFrame, column: str, sketch: Sketch | None = None, limit: int = DISTINCT_LIMIT
+) -> list[Any]:
+    """Edges cutting a column into about equal parts; none if it has few distinct values."""
+    if sketch is None:
+        sketch = sketch_columns(df, [column])[column]
+    if sketch.distinct <= limit:
+        return []
+    return _text_edges(df, column) if sketch.edges is None else sketch.edges
 
 
 def ranged_rows(
@@ -121,40 +168,19 @@ def ranged_rows(
     any share of the rows: the later columns split it.
     """
     place = F.struct(*order_by)
-    rows = df.agg(F.approx_count_distinct(place)).first()[0]
-    ranges = ranges_needed(rows, limit)
-    if ranges <= 1:
+    if df.agg(F.approx_count_distinct(place)).first()[0] <= limit:
         return df.withColumn(RANGE, F.lit(0))
-    sample = (
-        df.select(*order_by).orderBy(F.xxhash64(*order_by), *order_by).limit(8 * ranges)
-    ).collect()
-    ordered = sorted(sample, key=tuple)
-    step = max(1, len(ordered) // ranges)
-    types = [df.schema[c].dataType for c in order_by]
-    edges = F.array(
-        *(
-            F.struct(*(F.lit(v).cast(t).alias(c) for v, t, c in zip(row, types, order_by)))
-            for row in ordered[step - 1 :: step][: ranges - 1]
-        )
-    )
-    count = min(ranges - 1, len(ordered) // step)
-    steps = [1 << k for k in reversed(range(count.bit_length()))]
-    position = F.aggregate(
-        F.lit(steps),
-        F.lit(0),
-        lambda at, step: F.when(F.get(edges, at + step - 1) < place, at + step).otherwise(at),
-    )
-    return df.withColumn(RANGE, position)
+    sample = df.select(*order_by).orderBy(F.xxhash64(*order_by), *order_by).limit(8 * RANGES)
+    rows = _every_nth(sorted(sample.collect(), key=tuple))
+    kind = StructType([df.schema[c] for c in order_by])
+    edges = literal_array([row.asDict() for row in rows], kind)
+    return df.withColumn(RANGE, _search(place, edges, len(rows)))
 
 
-def ranged(
-    df: DataFrame, column: str, limit: int = DISTINCT_LIMIT, distinct: int | None = None
-) -> DataFrame:
+def ranged(df: DataFrame, column: str, limit: int = DISTINCT_LIMIT) -> DataFrame:
     """Add the range number of ``column``; one range when it has few distinct values."""
-    if distinct is None:
-        distinct = distinct_estimates(df, [column])[column]
-    edges = range_edges(df, [column], ranges_needed(distinct, limit))[column]
-    return df.withColumn(RANGE, bucket_of(F.col(column), edges))
+    edges = range_edges(df, column, limit=limit)
+    return df.withColumn(RANGE, bucket_of(F.col(column), edges, df.schema[column].dataType))
 
 
 def null_safe_join(
@@ -186,9 +212,10 @@ def with_positions(
     """Rank of every distinct value within its key, in ascending order.
 
     ``counts`` holds one row per key, range and value, with its multiplicity.
-    Adds ``start`` (rows of the key before this value) and ``total``. With
-    ``wanted(start, end, total)``, ranges for which it is false are dropped
-    before their rows are shuffled and sorted.
+    Adds ``start`` (rows of the key before this value) and ``total``. If given,
+    ``wanted(start, end, total)`` is an array of what is looked for in a range;
+    ranges with an empty one are dropped before their rows are shuffled and
+    sorted, the others keep it as ``wanted``.
     """
     keys = list(keys)
     per_range = counts.groupBy(*keys, RANGE).agg(F.sum(weight).alias("__in_range__"))
@@ -203,7 +230,8 @@ def with_positions(
     )
     if wanted is not None:
         end = F.col("__before__") + F.col("__in_range__")
-        offsets = offsets.filter(wanted(F.col("__before__"), end, F.col("total")))
+        offsets = offsets.withColumn("wanted", wanted(F.col("__before__"), end, F.col("total")))
+        offsets = offsets.filter(F.size("wanted") > 0)
     offsets = offsets.drop("__in_range__")
     inside = (
         Window.partitionBy(*keys, RANGE)

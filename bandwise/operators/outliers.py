@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandwise.functions.predicates import COMPARISONS
-from bandwise.operators.ordering import DISTINCT_LIMIT
-from bandwise.operators.quantiles import column_quantiles, most_frequent
+from bandwise.operators.quantiles import MAP_LIMIT, column_quantiles, most_frequent
 
 # The percentiles a rule may use.
 PERCENTILES = (1, 5, 10, 25, 50, 75, 90, 95, 99)
@@ -52,7 +51,7 @@ def outlier_rule(
     comparison: str,
     percentile: int | None = None,
     value: float | None = None,
-    limit: int = DISTINCT_LIMIT,
+    limit: int = MAP_LIMIT,
 ) -> OutlierRule:
     """A rule with its mode and threshold taken from all rows of the table."""
     if comparison not in (">", ">=", "<", "<="):

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from bandwise.functions.labels import percentile_label, quantile_label
 from bandwise.functions.predicates import Predicate, predicate
-from bandwise.operators.ordering import DISTINCT_LIMIT
 from bandwise.operators.outliers import mode_value, non_mode
-from bandwise.operators.quantiles import column_quantiles
+from bandwise.operators.quantiles import MAP_LIMIT, column_quantiles
 
 # Percentiles shown for a right-skewed, left-skewed and other variable.
 UPPER_TAIL = [0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
@@ -31,7 +30,7 @@ def _quantile_rows(
     )
 
 
-def distribution_profile(df: DataFrame, column: str, limit: int = DISTINCT_LIMIT) -> DataFrame:
+def distribution_profile(df: DataFrame, column: str, limit: int = MAP_LIMIT) -> DataFrame:
     """Percentiles on the side where the variable has its tail.
 
     Columns: ``fraction, value, percentile, value_text``.
@@ -51,7 +50,7 @@ def distribution_profile(df: DataFrame, column: str, limit: int = DISTINCT_LIMIT
 
 
 def quantile_table(
-    df: DataFrame, column: str, fractions: Sequence[float], limit: int = DISTINCT_LIMIT
+    df: DataFrame, column: str, fractions: Sequence[float], limit: int = MAP_LIMIT
 ) -> DataFrame:
     """One row, one column per wanted quantile."""
     long = _quantile_rows(df, column, fractions, limit).select(
@@ -62,7 +61,7 @@ def quantile_table(
     return wide.agg(F.first("value"))
 
 
-def box_plot(df: DataFrame, column: str, limit: int = DISTINCT_LIMIT) -> DataFrame:
+def box_plot(df: DataFrame, column: str, limit: int = MAP_LIMIT) -> DataFrame:
     """Quartiles, whiskers at the last values within 1.5 IQR, outliers beyond: one row."""
     q1, q2, q3 = column_quantiles(df, [column], [0.25, 0.5, 0.75], limit)[column]
     x = F.col(column).cast("double")

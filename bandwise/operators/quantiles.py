@@ -18,12 +18,12 @@ from bandwise.functions.predicates import first_match
 from bandwise.operators.ordering import (
     DISTINCT_LIMIT,
     RANGE,
+    Sketch,
     adjacent_pairs,
     bucket_of,
-    distinct_estimates,
     range_edges,
     ranged,
-    ranges_needed,
+    sketch_columns,
     with_positions,
 )
 
@@ -66,18 +66,18 @@ def quantiles_of_counts(
     def position(slot: Column, total: Column) -> Column:
         return (total - 1) * F.get(asked, F.floor(slot / sides).cast("int"))
 
-    def slots_between(start: Column, end: Column, total: Column) -> Column:
+    def between(some: Column, start: Column, end: Column, total: Column) -> Column:
         def inside(slot: Column) -> Column:
             rank = _rank(position(slot, total), slot % sides, interpolation)
             return (rank >= start) & (rank < end)
 
-        return F.filter(slots, inside)
+        return F.filter(some, inside)
 
     placed = with_positions(
-        counts, keys, "value", "n", lambda a, b, total: F.size(slots_between(a, b, total)) > 0
+        counts, keys, "value", "n", lambda start, end, total: between(slots, start, end, total)
     )
     start = F.col("start")
-    hits = slots_between(start, start + F.col("n"), F.col("total"))
+    hits = between(F.col("wanted"), start, start + F.col("n"), F.col("total"))
     found = placed.select(*keys, "value", "total", F.explode(hits).alias("slot"))
     # One entry per slot and key.
     grouped = found.groupBy(*keys).agg(
@@ -105,7 +105,7 @@ def group_quantiles(
     fractions: Sequence[float],
     keys: Sequence[str] = (),
     interpolation: str = "linear",
-    limit: int = DISTINCT_LIMIT,
+    limit: int = MAP_LIMIT,
 ) -> DataFrame:
     """Exact quantiles per key: one row per key with an array ``quantiles``.
 
@@ -115,12 +115,13 @@ def group_quantiles(
     values = df.select(*keys, F.col(column).cast("double").alias("value")).filter(
         F.col("value").isNotNull()
     )
-    distinct = distinct_estimates(values, ["value"])["value"]
-    if interpolation == "linear" and distinct <= min(limit, MAP_LIMIT):
+    limit = min(limit, MAP_LIMIT)
+    sketch = sketch_columns(values, ["value"])["value"]
+    if interpolation == "linear" and sketch.distinct <= limit:
         return values.groupBy(*keys).agg(
             F.percentile("value", list(fractions)).alias("quantiles")
         ).filter(F.col("quantiles").isNotNull())
-    edges = range_edges(values, ["value"], ranges_needed(distinct, limit))["value"]
+    edges = range_edges(values, "value", sketch, limit)
     counts = (
         values.groupBy(*keys, "value")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -133,14 +134,14 @@ def column_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     fractions: Sequence[float],
-    limit: int = DISTINCT_LIMIT,
-    distinct: Mapping[str, int] | None = None,
+    limit: int = MAP_LIMIT,
+    sketches: Mapping[str, Sketch] | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact linear quantiles of several columns, on the driver.
 
-    Three passes at most, however many columns: distinct-count sketches, one
-    aggregate for all columns with few distinct values, one for all others.
-    Known distinct counts (``distinct``) save the first.
+    Three passes at most, however many columns: sketches, one aggregate for all
+    columns with few distinct values, one for all others. Sketches at hand save
+    the first.
     """
     columns = list(columns)
     missing: list[float | None] = [None] * len(fractions)
@@ -148,9 +149,9 @@ def column_quantiles(
     if not columns or not fractions:
         return result
     values = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
-    if distinct is None:
-        distinct = distinct_estimates(values, columns)
-    small = [c for c in columns if distinct[c] <= min(limit, MAP_LIMIT)]
+    if sketches is None:
+        sketches = sketch_columns(values, columns)
+    small = [c for c in columns if sketches[c].distinct <= min(limit, MAP_LIMIT)]
     large = [c for c in columns if c not in small]
     if small:
         row = values.agg(
@@ -159,12 +160,15 @@ def column_quantiles(
         for i, c in enumerate(small):
             result[c] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else list(missing)
     if large:
-        edges = range_edges(values, large, ranges_needed(max(distinct[c] for c in large), limit))
         entries = [
-            F.struct(F.lit(c).alias("variable"), F.col(c).alias("value")) for c in large
+            F.struct(F.lit(i).alias("variable"), F.col(c).alias("value"))
+            for i, c in enumerate(large)
         ]
         value = F.col("value")
-        by_variable = ((F.col("variable") == c, bucket_of(value, edges[c])) for c in large)
+        by_variable = (
+            (F.col("variable") == i, bucket_of(value, sketches[c].edges))
+            for i, c in enumerate(large)
+        )
         counts = (
             values.select(F.inline(F.array(*entries)))
             .filter(value.isNotNull())
@@ -173,7 +177,7 @@ def column_quantiles(
             .withColumn(RANGE, first_match(by_variable, F.lit(None).cast("int")))
         )
         for row in quantiles_of_counts(counts, ["variable"], fractions).collect():
-            result[row["variable"]] = list(row["quantiles"])
+            result[large[row["variable"]]] = list(row["quantiles"])
     return result
 
 

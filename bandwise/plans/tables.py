@@ -13,7 +13,6 @@ from bandwise.functions.labels import label_codes
 from bandwise.functions.predicates import Predicate, first_match
 from bandwise.operators.grid import target_of
 from bandwise.operators.metrics import Metric
-from bandwise.operators.ordering import distinct_estimates
 from bandwise.operators.segments import DOLLAR, UNIT, Segment, scale_factor, segment_frame
 from bandwise.operators.summarize import LEVEL, cumulative, prepare, summarize_levels
 from bandwise.plans.chain import SEGMENT, Chain, score
@@ -252,7 +251,10 @@ def dimension_candidates(df: DataFrame, columns: Sequence[str], limit: int = 10)
     estimate is a count of distinct hashes, so it cannot exceed ``limit`` by
     much. Only the rest is counted exactly, all columns in one pass.
     """
-    estimates = distinct_estimates(df, columns)
+    estimates = df.agg(
+        *(F.approx_count_distinct(F.col(c)).alias(f"n{i}") for i, c in enumerate(columns))
+    ).first()
+    estimates = dict(zip(columns, estimates))
     few = [c for c in columns if estimates[c] <= 2 * limit]
     if not few:
         return df.sparkSession.createDataFrame([], "variable string, n_unique bigint")
