@@ -1,0 +1,275 @@
+"""Second variables: bands within parents, grids, their merging and description."""
+
+from pyspark.sql import functions as F
+
+from bandwise.operators.bands import (
+    assign,
+    assign_lookup,
+    bands_frame,
+    collect_bands,
+    collect_categories,
+    describe_categories,
+    even_category_bands,
+)
+from bandwise.operators.grid import (
+    assign_grid,
+    assign_targets,
+    collect_grid,
+    describe_grid,
+    identity_grid,
+    join_grid,
+    merge_equal_bands,
+    merge_equal_categories,
+    monotone_grid,
+)
+from bandwise.operators.loss_bands import LossRate, grid_bands, loss_rate_categories
+from bandwise.operators.segments import segment_frame
+from bandwise.plans.chain import score
+from catalog.chains import SCORED, SEGMENTS, quantity_step, two_step_chain
+from catalog.data import LOANS, loans, rounded
+from catalog.registry import query
+
+_LOSS = LossRate("loss", "balance", use_scalar=False)
+
+
+def _with_parent(rows):
+    """Loans with the segment of the root variable as parent."""
+    return score(rows, [quantity_step(rows)]).withColumnRenamed("segment", "parent_id")
+
+
+def _child_bands(rows):
+    return grid_bands(rows, "discount_pct", "parent_id", SEGMENTS, _LOSS, 1, 1, high_is_risky=True)
+
+
+def _cells(rows, bands):
+    return (
+        rows.withColumn("band_id", assign(F.col("discount_pct"), bands))
+        .groupBy("band_id", "parent_id")
+        .agg((F.sum("loss") / F.sum("balance")).alias("rate"))
+    )
+
+
+def _targets(rows, bands):
+    return assign_targets(_cells(rows, bands), bands_frame(rows.sparkSession, bands), SEGMENTS, _LOSS, 1, 1)
+
+
+# Greedy banding within each parent (segments within one step), then all cut points together.
+_BANDS_SQL = (
+    SCORED.replace("scored AS (SELECT *, least(greatest(parent + band - 1, 0), 3) AS segment FROM rooted),", "")
+    + """,
+    lim AS (SELECT p.id AS parent, s.id AS k, CASE WHEN isinf(s.upper_rate) THEN 1e308 ELSE s.upper_rate END AS t
+            FROM segs p JOIN segs s ON abs(s.id - p.id) <= 1),
+    rates AS (SELECT parent, discount_pct::DOUBLE AS v, sum(loss) / sum(balance) AS r FROM rooted GROUP BY 1, 2),
+    took AS (SELECT parent, v, coalesce((SELECT min(k) FROM lim WHERE lim.parent = rates.parent AND r < t), 99) AS k FROM rates),
+    walk AS (SELECT parent, v, max(k) OVER (PARTITION BY parent ORDER BY v) AS s FROM took),
+    edge AS (SELECT parent, min(v) - 1 AS low, max(v) AS high FROM rates GROUP BY 1),
+    points AS (
+      SELECT low AS x FROM edge UNION SELECT high FROM edge
+      UNION SELECT coalesce((SELECT max(v) FROM walk WHERE walk.parent = lim.parent AND s <= lim.k), edge.low)
+      FROM lim JOIN edge USING (parent) WHERE lim.k < least(lim.parent + 1, 3)),
+    pairs AS (SELECT x AS lower, lead(x) OVER (ORDER BY x) AS upper FROM points),
+    bands AS (SELECT CAST(row_number() OVER (ORDER BY lower) - 1 AS INT) AS band_id, lower, upper FROM pairs WHERE upper IS NOT NULL),
+    cells AS (SELECT band_id, parent AS parent_id, sum(loss) / sum(balance) AS rate FROM rooted
+              JOIN bands ON discount_pct > lower AND discount_pct <= upper GROUP BY 1, 2),
+    grid AS (
+      SELECT b.band_id, p.id AS parent_id,
+        CASE WHEN c.rate IS NULL THEN p.id
+             ELSE coalesce((SELECT min(s.id) FROM segs s WHERE abs(s.id - p.id) <= 1 AND c.rate < s.upper_rate),
+                           least(p.id + 1, 3)) END AS target_id
+      FROM bands b CROSS JOIN segs p LEFT JOIN cells c ON c.band_id = b.band_id AND c.parent_id = p.id),
+    sig AS (SELECT band_id, string_agg(target_id, ',' ORDER BY parent_id) AS targets FROM grid GROUP BY 1),
+    isles AS (SELECT band_id, CAST(sum(fresh) OVER (ORDER BY band_id) - 1 AS INT) AS new_id FROM (
+      SELECT band_id, CASE WHEN targets = lag(targets) OVER (ORDER BY band_id) THEN 0 ELSE 1 END AS fresh FROM sig)),
+    merged AS (SELECT new_id AS band_id, min(lower) AS lower, max(upper) AS upper FROM isles JOIN bands USING (band_id) GROUP BY 1),
+    merged_grid AS (SELECT DISTINCT new_id AS band_id, parent_id, target_id FROM isles JOIN grid USING (band_id))
+    """
+)
+
+
+@query(f"WITH {_BANDS_SQL} SELECT * FROM bands")
+def bands_within_parents(spark, sf_dir):
+    return bands_frame(spark, _child_bands(_with_parent(loans(spark, sf_dir))))
+
+
+@query(
+    f"""
+    WITH {_BANDS_SQL} SELECT band_id, parent_id, round(rate, 8) AS rate FROM cells
+    """
+)
+def loss_rates_of_cells(spark, sf_dir):
+    rows = _with_parent(loans(spark, sf_dir))
+    return _cells(rows, _child_bands(rows)).withColumn("rate", rounded("rate", 8))
+
+
+@query(f"WITH {_BANDS_SQL} SELECT * FROM grid")
+def targets_of_cells(spark, sf_dir):
+    rows = _with_parent(loans(spark, sf_dir))
+    return _targets(rows, _child_bands(rows))
+
+
+@query(f"WITH {_BANDS_SQL} SELECT band_id, lower, upper, target_id, parent_id FROM merged JOIN merged_grid USING (band_id)")
+def neighbouring_bands_merged(spark, sf_dir):
+    rows = _with_parent(loans(spark, sf_dir))
+    bands = _child_bands(rows)
+    merged, grid = merge_equal_bands(bands_frame(spark, bands), _targets(rows, bands))
+    return merged.join(grid, "band_id")
+
+
+@query(
+    f"""
+    WITH {_BANDS_SQL},
+    r AS (SELECT band_id, parent_id, max(target_id) OVER (PARTITION BY band_id ORDER BY parent_id) AS t FROM merged_grid)
+    SELECT band_id, parent_id, max(t) OVER (PARTITION BY parent_id ORDER BY band_id) AS target_id FROM r
+    """
+)
+def grid_made_monotone(spark, sf_dir):
+    rows = _with_parent(loans(spark, sf_dir))
+    bands = _child_bands(rows)
+    _, grid = merge_equal_bands(bands_frame(spark, bands), _targets(rows, bands))
+    return monotone_grid(grid)
+
+
+@query(
+    f"""
+    WITH {_BANDS_SQL}, f AS (
+      SELECT target_id, loss, balance FROM rooted
+      LEFT JOIN merged ON discount_pct > lower AND discount_pct <= upper
+      LEFT JOIN merged_grid g ON g.band_id = merged.band_id AND g.parent_id = parent)
+    SELECT target_id AS segment, count(*) AS n, round(sum(loss) / sum(balance), 8) AS rate FROM f GROUP BY 1
+    """
+)
+def rows_scored_by_found_grid(spark, sf_dir):
+    """Bands, targets and merging end to end, then every row scored."""
+    rows = _with_parent(loans(spark, sf_dir))
+    bands = _child_bands(rows)
+    merged, grid = merge_equal_bands(bands_frame(spark, bands), _targets(rows, bands))
+    segment = assign_grid(
+        F.col("discount_pct"), F.col("parent_id"), collect_bands(merged), collect_grid(grid)
+    )
+    return rows.groupBy(segment.alias("segment")).agg(
+        F.count(F.lit(1)).alias("n"), rounded(F.sum("loss") / F.sum("balance"), 8).alias("rate")
+    )
+
+
+_CATEGORY_SQL = (
+    SCORED
+    + """,
+    cats AS (SELECT CAST(row_number() OVER (ORDER BY c) - 1 AS INT) AS band_id, c FROM (SELECT DISTINCT CAST(discount_pct AS VARCHAR) AS c FROM loans)),
+    cells AS (SELECT band_id, parent AS parent_id, sum(loss) / sum(balance) AS rate FROM rooted
+              JOIN cats ON CAST(discount_pct AS VARCHAR) = c GROUP BY 1, 2),
+    grid AS (
+      SELECT b.band_id, p.id AS parent_id,
+        CASE WHEN c.rate IS NULL THEN p.id
+             ELSE coalesce((SELECT min(s.id) FROM segs s WHERE abs(s.id - p.id) <= 1 AND c.rate < s.upper_rate),
+                           least(p.id + 1, 3)) END AS target_id
+      FROM cats b CROSS JOIN segs p LEFT JOIN cells c ON c.band_id = b.band_id AND c.parent_id = p.id),
+    sig AS (SELECT band_id, list(target_id ORDER BY parent_id) AS targets FROM grid GROUP BY 1),
+    renum AS (SELECT band_id, CAST(dense_rank() OVER (ORDER BY targets) - 1 AS INT) AS new_id FROM sig)
+    """
+)
+
+
+def _category_grid(spark, sf_dir):
+    rows = _with_parent(loans(spark, sf_dir)).withColumn("text", F.col("discount_pct").cast("string"))
+    categories = even_category_bands(rows, "text", 11)
+    cells = (
+        assign_lookup(rows, "text", categories, "band_id")
+        .groupBy("band_id", "parent_id")
+        .agg((F.sum("loss") / F.sum("balance")).alias("rate"))
+    )
+    bands = categories.select("band_id").distinct()
+    return categories, assign_targets(cells, bands, SEGMENTS, _LOSS, 1, 1)
+
+
+@query(
+    f"WITH {_CATEGORY_SQL} SELECT new_id AS band_id, c AS category FROM renum JOIN cats USING (band_id)"
+)
+def equal_category_bands_merged(spark, sf_dir):
+    merged, _ = merge_equal_categories(*_category_grid(spark, sf_dir))
+    return merged
+
+
+@query(
+    f"""WITH {_CATEGORY_SQL} SELECT DISTINCT new_id AS band_id, parent_id, target_id
+    FROM renum JOIN grid USING (band_id)"""
+)
+def grid_of_merged_categories(spark, sf_dir):
+    _, grid = merge_equal_categories(*_category_grid(spark, sf_dir))
+    return grid
+
+
+@query(
+    f"""
+    WITH {LOANS}, r AS (SELECT l_returnflag AS c, sum(loss) / sum(balance) AS rate FROM loans GROUP BY 1),
+    b AS (SELECT c, CASE WHEN rate < 0.01 THEN 0 WHEN rate < 0.02 THEN 1 WHEN rate < 0.03 THEN 2 ELSE 3 END AS band_id FROM r)
+    SELECT band_id, string_agg(c, ', ' ORDER BY c) AS categories FROM b GROUP BY 1
+    """
+)
+def category_bands_described(spark, sf_dir):
+    found = collect_categories(loss_rate_categories(loans(spark, sf_dir), "l_returnflag", SEGMENTS, _LOSS))
+    return spark.createDataFrame(list(describe_categories(found).items()), "band_id int, categories string")
+
+
+@query(
+    f"""
+    WITH {SCORED}
+    SELECT b.band AS band_id, s.id AS parent_id, s.id AS target_id
+    FROM (SELECT DISTINCT band FROM rooted) b CROSS JOIN segs s
+    """
+)
+def grid_without_changes(spark, sf_dir):
+    rows = loans(spark, sf_dir)
+    bands = rows.select(two_step_chain(rows)[1].band().alias("band_id")).distinct()
+    return identity_grid(bands, segment_frame(spark, SEGMENTS))
+
+
+_GRID_SUMMARY = f"""
+    WITH {SCORED}
+    SELECT band, parent, CASE WHEN band <> 1 THEN segment END AS segment, count(*) AS n
+    FROM scored GROUP BY ALL
+    """
+
+
+@query(_GRID_SUMMARY)
+def grid_assigned(spark, sf_dir):
+    """A literal lookup; the middle band is switched off."""
+    rows = loans(spark, sf_dir)
+    step = two_step_chain(rows)[1]
+    scored = _with_parent(rows).select(
+        step.band().alias("band"),
+        F.col("parent_id").alias("parent"),
+        assign_grid(F.col("discount_pct"), F.col("parent_id"), step.bands, step.grid, {1}).alias("segment"),
+    )
+    return scored.groupBy("band", "parent", "segment").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_GRID_SUMMARY)
+def grid_joined(spark, sf_dir):
+    """The same as a left join with the grid table."""
+    rows = loans(spark, sf_dir)
+    step = two_step_chain(rows)[1]
+    cells = [(b, p, t) for (b, p), t in step.grid.items() if b != 1]
+    table = spark.createDataFrame(cells, "band_id int, parent_id int, target_id int")
+    placed = _with_parent(rows).withColumn("band", step.band())
+    joined = join_grid(placed, "band", "parent_id", table, "segment")
+    return joined.groupBy("band", F.col("parent_id").alias("parent"), "segment").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+@query(
+    f"""
+    WITH {_BANDS_SQL}, n AS (SELECT g.band_id, p.name AS parent, s.name AS target FROM merged_grid g
+      JOIN segs p ON p.id = parent_id JOIN segs s ON s.id = target_id WHERE g.band_id <> 0)
+    SELECT band_id, max(CASE WHEN parent = 'low' THEN target END) AS low, max(CASE WHEN parent = 'mid' THEN target END) AS mid,
+      max(CASE WHEN parent = 'high' THEN target END) AS high, max(CASE WHEN parent = 'top' THEN target END) AS top
+    FROM n GROUP BY 1
+    """
+)
+def grid_described(spark, sf_dir):
+    """Segment names; the first band is switched off and left out."""
+    rows = _with_parent(loans(spark, sf_dir))
+    bands = _child_bands(rows)
+    _, grid = merge_equal_bands(bands_frame(spark, bands), _targets(rows, bands))
+    return describe_grid(grid, SEGMENTS, {0})
+
