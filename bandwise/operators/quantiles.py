@@ -195,12 +195,31 @@ def most_frequent(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataF
     return counts.groupBy(*keys).agg(best.alias("mode"))
 
 
-def min_gap(df: DataFrame, column: str, limit: int = DISTINCT_LIMIT) -> float | None:
-    """Smallest distance between neighbouring distinct values; None below two values."""
-    values = df.select(F.col(column).cast("double").alias("value")).filter(
+def min_gaps(
+    df: DataFrame,
+    column: str,
+    keys: Sequence[str] = (),
+    limit: int = DISTINCT_LIMIT,
+    distinct: int | None = None,
+) -> DataFrame:
+    """Smallest distance between neighbouring distinct values per key, as ``gap``.
+
+    ``distinct``, if known, is the largest number of distinct values of a key.
+    """
+    keys = list(keys)
+    values = df.select(*keys, F.col(column).cast("double").alias("value")).filter(
         F.col("value").isNotNull()
     )
-    distinct = ranged(values, "value", limit).distinct()
-    pairs = adjacent_pairs(distinct, [], ["value"], "value")
-    return pairs.agg(F.min(F.abs(F.col("value") - F.col("previous")))).first()[0]
+    if distinct is not None and distinct <= limit:
+        placed = values.distinct().withColumn(RANGE, F.lit(0))
+    else:
+        placed = ranged(values, "value", limit).distinct()
+    pairs = adjacent_pairs(placed, keys, ["value"], "value")
+    return pairs.groupBy(*keys).agg(
+        F.min(F.abs(F.col("value") - F.col("previous"))).alias("gap")
+    )
 
+
+def min_gap(df: DataFrame, column: str, limit: int = DISTINCT_LIMIT) -> float | None:
+    """Smallest distance between neighbouring distinct values; None below two values."""
+    return min_gaps(df, column, limit=limit).first()["gap"]

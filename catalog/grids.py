@@ -24,6 +24,7 @@ from bandwise.operators.grid import (
 )
 from bandwise.operators.loss_bands import LossRate, grid_bands, loss_rate_categories
 from bandwise.operators.segments import segment_frame
+from bandwise.plans.build import child_step, root_step
 from bandwise.plans.chain import score
 from catalog.chains import SCORED, SEGMENTS, quantity_step, two_step_chain
 from catalog.data import LOANS, loans, rounded
@@ -273,3 +274,24 @@ def grid_described(spark, sf_dir):
     _, grid = merge_equal_bands(bands_frame(spark, bands), _targets(rows, bands))
     return describe_grid(grid, SEGMENTS, {0})
 
+
+
+@query(
+    f"""
+    WITH {_BANDS_SQL}, f AS (
+      SELECT target_id, loss, balance FROM rooted
+      LEFT JOIN merged ON discount_pct > lower AND discount_pct <= upper
+      LEFT JOIN merged_grid g ON g.band_id = merged.band_id AND g.parent_id = parent)
+    SELECT target_id AS segment, count(*) AS n, round(sum(loss) / sum(balance), 8) AS rate FROM f GROUP BY 1
+    """
+)
+def chain_built_and_scored(spark, sf_dir):
+    """A two-step chain built from the data by the library, then applied."""
+    rows = loans(spark, sf_dir)
+    root = root_step(rows, "l_quantity", SEGMENTS)
+    child = child_step(
+        rows, [root], "discount_pct", SEGMENTS, _LOSS, upgrade=1, downgrade=1, high_is_risky=True
+    )
+    return score(rows, [root, child]).groupBy("segment").agg(
+        F.count(F.lit(1)).alias("n"), rounded(F.sum("loss") / F.sum("balance"), 8).alias("rate")
+    )
