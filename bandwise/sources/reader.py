@@ -96,7 +96,9 @@ def _cells_from_lines(
         F.monotonically_increasing_id().alias("line"),
     )
     firsts = lines.filter("start = 0").groupBy("file").agg(F.min("line").alias("first"))
-    numbered = lines.join(firsts, "file").withColumn(
+    # One row per file, so no larger than the file listing the driver holds anyway;
+    # a shuffle by file would put each file into one task.
+    numbered = lines.join(F.broadcast(firsts), "file").withColumn(
         "position", F.when(F.col("start") == 0, F.col("line") - F.col("first"))
     )
     header = (
