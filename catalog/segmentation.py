@@ -276,15 +276,15 @@ def loss_rate_bands_falling(spark, sf_dir):
 
 
 _UNIT_SEGMENTS = [
-    Segment(0, "a", 0.0, 0.345, 1.0, 1.0), Segment(1, "b", 0.0, 0.355, 1.0, 1.0),
-    Segment(2, "c", 0.0, 0.4, 1.0, 1.1), Segment(3, "d", 0.0, 0.42, 1.0, 1.2),
+    Segment(0, "a", 0.0, 0.3451, 1.0, 1.0), Segment(1, "b", 0.0, 0.3553, 1.0, 1.0),
+    Segment(2, "c", 0.0, 0.4003, 1.0, 1.1), Segment(3, "d", 0.0, 0.4407, 1.0, 1.2),
 ]
 
 
 @query(
     loss_band_sql(
         "l_quantity", "bad", "count(*)",
-        [0.345 * 1.5 / 1.5, 0.355 * 1.5 / 1.5, 0.4 * 1.5 / (1.1 * 1.5), 0.42 * 1.5 / (1.2 * 1.5)], True,
+        [0.3451, 0.3553, 0.4003 / 1.1, 0.4407 / 1.2], True,
     )
 )
 def loss_rate_bands_scaled_units(spark, sf_dir):
