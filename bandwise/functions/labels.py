@@ -7,13 +7,14 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bandwise.functions.predicates import first_match
-
 
 def label_codes(code: Column, labels: Mapping[int, str]) -> Column:
     """Name of a small integer code; null for an unknown code."""
-    cases = ((code == key, F.lit(text)) for key, text in labels.items())
-    return first_match(cases, F.lit(None).cast("string"))
+    if not labels:
+        return F.lit(None).cast("string")
+    # A map refers to the code once; a CASE would repeat the expression behind it.
+    pairs = [F.lit(item) for pair in labels.items() for item in pair]
+    return F.try_element_at(F.create_map(*pairs), code)
 
 
 def format_value(

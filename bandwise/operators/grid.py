@@ -33,18 +33,22 @@ def collect_grid(frame: DataFrame) -> dict[tuple[int, int], int]:
 
 
 def target_of(band: Column, parent: Column, grid: Grid) -> Column:
-    """Target segment of a band and parent: one lookup in a literal table."""
-    bands = sorted({b for b, _ in grid})
-    parents = sorted({p for _, p in grid})
-    if not bands:
+    """Target segment of a band and parent: one lookup in a literal table.
+
+    Ids are small numbers, so the table is an array of arrays; ids outside it
+    and cells missing from the grid give null. Each argument is used once.
+    """
+    if not grid:
         return F.lit(None).cast("int")
-    at_band = F.array_position(F.lit(bands), band)
-    at_parent = F.array_position(F.lit(parents), parent)
-    cells = F.array(
-        *(F.lit(grid.get((b, p))).cast("int") for b in bands for p in parents)
-    )
-    index = (at_band - 1) * len(parents) + (at_parent - 1)
-    return F.when((at_band > 0) & (at_parent > 0), F.get(cells, index.cast("int")))
+    bands, parents = ([ids[i] for ids in grid] for i in (0, 1))
+    first_band, first_parent = min(bands), min(parents)
+    rows = [
+        F.array(
+            *(F.lit(grid.get((b, p))).cast("int") for p in range(first_parent, max(parents) + 1))
+        )
+        for b in range(first_band, max(bands) + 1)
+    ]
+    return F.get(F.get(F.array(*rows), band - first_band), parent - first_parent)
 
 
 def assign_grid(

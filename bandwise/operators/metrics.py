@@ -7,8 +7,10 @@ Three kinds, by what a group has to remember:
   from one pass over the data.
 * ``Grouped``: any Spark aggregate. One pass, but every level of subtotals is
   aggregated from rows.
-* ``Holistic``: order statistics, which need all values of a group. They run
-  as their own distributed plan and are joined back on the group keys.
+* ``Quantile``: needs the values of a group. All quantiles of a summary share
+  one pass that counts distinct values; those counts add up like sums do.
+* ``Holistic``: anything else. Runs as its own distributed plan and is joined
+  back on the group keys.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from bandwise.operators.ordering import (
     adjacent_pairs,
     ranged_rows,
 )
-from bandwise.operators.quantiles import MAP_LIMIT, group_quantiles, most_frequent
+from bandwise.operators.quantiles import MAP_LIMIT, Ask, most_frequent
 
 TOTAL_SIZE = "total_size"
 
@@ -93,6 +95,15 @@ class Grouped(Metric):
     build: Callable[..., Column] | None = None
 
 
+@dataclass(frozen=True)
+class Quantile(Metric):
+    """Exact quantile. ``limit`` bounds the distinct values handled by one task."""
+
+    column: str = ""
+    ask: Ask = Ask(0.5)
+    limit: int = MAP_LIMIT
+
+
 @dataclass(frozen=True)
 class Holistic(Metric):
     """``plan(df, keys)`` returns one row per key with a column ``value``."""
@@ -259,17 +270,12 @@ def quantile(
     interpolation: str = "nearest",
     limit: int = MAP_LIMIT,
     **display: Any,
-) -> Holistic:
+) -> Quantile:
     """Exact quantile per group; nearest rank by default."""
-
-    def plan(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-        found = group_quantiles(df, column, [fraction], keys, interpolation, limit)
-        return found.select(*keys, F.get("quantiles", F.lit(0)).alias("value"))
-
-    return Holistic(name, plan=plan, **display)
+    return Quantile(name, column=column, ask=Ask(fraction, interpolation), limit=limit, **display)
 
 
-def median(name: str, column: str, **display: Any) -> Holistic:
+def median(name: str, column: str, **display: Any) -> Quantile:
     """Middle value, or the mean of the middle two."""
     return quantile(name, column, 0.5, "linear", **display)
 

@@ -10,6 +10,7 @@ only the rows at the wanted ranks leave the executors.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,48 +34,50 @@ MAP_LIMIT = 10_000
 INTERPOLATIONS = ("linear", "nearest", "lower", "higher", "midpoint")
 
 
-def _sides(interpolation: str) -> int:
-    """How many ranks make up one quantile."""
-    if interpolation not in INTERPOLATIONS:
-        raise ValueError(f"unknown interpolation {interpolation!r}")
-    return 2 if interpolation in ("linear", "midpoint") else 1
+@dataclass(frozen=True)
+class Ask:
+    """One wanted quantile."""
 
+    fraction: float
+    interpolation: str = "linear"
 
-def _rank(position: Column, side: Column, interpolation: str) -> Column:
-    """Zero-based rank for a fractional position; ``side`` 1 is the upper neighbour."""
-    if interpolation == "nearest":
-        return F.floor(position + 0.5)
-    if interpolation == "lower":
-        return F.floor(position)
-    if interpolation == "higher":
-        return F.ceil(position)
-    return F.when(side == 0, F.floor(position)).otherwise(F.ceil(position))
+    def __post_init__(self):
+        if self.interpolation not in INTERPOLATIONS:
+            raise ValueError(f"unknown interpolation {self.interpolation!r}")
+        if not 0 <= self.fraction <= 1:
+            raise ValueError("a quantile lies between 0 and 1")
+
+    @property
+    def sides(self) -> list[str]:
+        """Which ranks around the fractional position make up the quantile."""
+        return {
+            "nearest": ["near"], "lower": ["below"], "higher": ["above"],
+        }.get(self.interpolation, ["below", "above"])
 
 
 def quantiles_of_counts(
-    counts: DataFrame,
-    keys: Sequence[str],
-    fractions: Sequence[float],
-    interpolation: str = "linear",
+    counts: DataFrame, keys: Sequence[str], asks: Sequence[Ask]
 ) -> DataFrame:
     """Quantiles from a table of ``(keys, range, value, n)``: keys and ``quantiles``."""
     keys = list(keys)
-    sides = _sides(interpolation)
-    slots = F.lit(list(range(sides * len(fractions))))
-    asked = F.lit([float(q) for q in fractions])
-
-    def position(slot: Column, total: Column) -> Column:
-        return (total - 1) * F.get(asked, F.floor(slot / sides).cast("int"))
+    slots = [(ask.fraction, side) for ask in asks for side in ask.sides]
+    fractions = F.lit([float(fraction) for fraction, _ in slots])
+    sides = F.lit([side for _, side in slots])
+
+    def rank(slot: Column, total: Column) -> Column:
+        """Zero-based rank of the value that belongs into a slot."""
+        h = (total - 1) * F.get(fractions, slot)
+        side = F.get(sides, slot)
+        return F.when(side == "below", F.floor(h)).when(side == "above", F.ceil(h)).otherwise(
+            F.floor(h + 0.5)
+        )
 
     def between(some: Column, start: Column, end: Column, total: Column) -> Column:
-        def inside(slot: Column) -> Column:
-            rank = _rank(position(slot, total), slot % sides, interpolation)
-            return (rank >= start) & (rank < end)
-
-        return F.filter(some, inside)
+        return F.filter(some, lambda slot: (rank(slot, total) >= start) & (rank(slot, total) < end))
 
+    every = F.lit(list(range(len(slots))))
     placed = with_positions(
-        counts, keys, "value", "n", lambda start, end, total: between(slots, start, end, total)
+        counts, keys, "value", "n", lambda start, end, total: between(every, start, end, total)
     )
     start = F.col("start")
     hits = between(F.col("wanted"), start, start + F.col("n"), F.col("total"))
@@ -84,19 +87,62 @@ def quantiles_of_counts(
         F.array_sort(F.collect_list(F.struct("slot", "value"))).alias("entries"),
         F.max("total").alias("total"),
     )
+    firsts = F.lit([sum(len(a.sides) for a in asks[:i]) for i in range(len(asks))])
+    widths = F.lit([len(a.sides) for a in asks])
+    halves = F.lit([a.interpolation == "midpoint" for a in asks])
+
+    def quantile(i: Column) -> Column:
+        first = F.get(firsts, i)
+        low = F.get("entries", first).getField("value")
+        high = F.get("entries", first + F.get(widths, i) - 1).getField("value")
+        h = (F.col("total") - 1) * F.get(fractions, first)
+        share = F.when(F.get(halves, i), F.lit(0.5)).otherwise(h - F.floor(h))
+        return F.when(low == high, low).otherwise(low + (high - low) * share)
 
-    def value_at(slot: Column) -> Column:
-        return F.get("entries", slot).getField("value")
+    wanted = F.lit(list(range(len(asks))))
+    return grouped.select(*keys, F.transform(wanted, quantile).alias("quantiles"))
+
+
+def _variable_ranges(edges: Sequence[Sequence[float]]) -> Column:
+    """Range number of a value by the edges of its variable."""
+    value = F.col("value")
+    cases = ((F.col("variable") == i, bucket_of(value, e)) for i, e in enumerate(edges))
+    return first_match(cases, F.lit(None).cast("int"))
 
-    def mixed(slot: Column) -> Column:
-        low, high = value_at(slot), value_at(slot + 1)
-        h = position(slot, F.col("total"))
-        share = F.lit(0.5) if interpolation == "midpoint" else h - F.floor(h)
-        return F.when(low == high, low).otherwise(low + (high - low) * share)
 
-    firsts = F.lit(list(range(0, sides * len(fractions), sides)))
-    values = F.transform(firsts, mixed if sides == 2 else value_at)
-    return grouped.select(*keys, values.alias("quantiles"))
+def value_counts(
+    df: DataFrame, keys: Sequence[str], variables: Sequence[Column]
+) -> DataFrame:
+    """Rows per key, variable number and distinct value, for all variables from one pass."""
+    entries = [
+        F.struct(F.lit(i).alias("variable"), v.cast("double").alias("value"))
+        for i, v in enumerate(variables)
+    ]
+    return (
+        df.select(*keys, F.inline(F.array(*entries)))
+        .filter(F.col("value").isNotNull())
+        .groupBy(*keys, "variable", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def counted_quantiles(
+    counts: DataFrame,
+    keys: Sequence[str],
+    asks: Sequence[Ask],
+    sketches: Sequence[Sketch],
+    limit: int = MAP_LIMIT,
+) -> DataFrame:
+    """Quantiles of every key and variable of ``value_counts``, possibly rolled up first."""
+    limit = min(limit, MAP_LIMIT)
+    keys = [*keys, "variable"]
+    merged = counts.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
+    linear = all(a.interpolation == "linear" for a in asks)
+    if linear and all(s.distinct <= limit for s in sketches):
+        fractions = [a.fraction for a in asks]
+        return merged.groupBy(*keys).agg(F.percentile("value", fractions, F.col("n")).alias("quantiles"))
+    edges = [s.edges if s.distinct > limit else [] for s in sketches]
+    return quantiles_of_counts(merged.withColumn(RANGE, _variable_ranges(edges)), keys, asks)
 
 
 def group_quantiles(
@@ -127,7 +173,7 @@ def group_quantiles(
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn(RANGE, bucket_of(F.col("value"), edges))
     )
-    return quantiles_of_counts(counts, keys, fractions, interpolation)
+    return quantiles_of_counts(counts, keys, [Ask(q, interpolation) for q in fractions])
 
 
 def column_quantiles(
@@ -160,23 +206,12 @@ def column_quantiles(
         for i, c in enumerate(small):
             result[c] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else list(missing)
     if large:
-        entries = [
-            F.struct(F.lit(i).alias("variable"), F.col(c).alias("value"))
-            for i, c in enumerate(large)
-        ]
-        value = F.col("value")
-        by_variable = (
-            (F.col("variable") == i, bucket_of(value, sketches[c].edges))
-            for i, c in enumerate(large)
-        )
-        counts = (
-            values.select(F.inline(F.array(*entries)))
-            .filter(value.isNotNull())
-            .groupBy("variable", "value")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .withColumn(RANGE, first_match(by_variable, F.lit(None).cast("int")))
-        )
-        for row in quantiles_of_counts(counts, ["variable"], fractions).collect():
+        counts = value_counts(values, [], [F.col(c) for c in large])
+        ranges = _variable_ranges([sketches[c].edges for c in large])
+        asks = [Ask(q) for q in fractions]
+        for row in quantiles_of_counts(
+            counts.withColumn(RANGE, ranges), ["variable"], asks
+        ).collect():
             result[large[row["variable"]]] = list(row["quantiles"])
     return result
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import or_
 from typing import Any
@@ -11,12 +11,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from bandwise.functions.predicates import Predicate, first_match, keep
-from bandwise.operators.metrics import TOTAL_SIZE, Additive, Grouped, Holistic, Metric, Part
-from bandwise.operators.ordering import null_safe_join
+from bandwise.functions.predicates import Predicate, keep
+from bandwise.operators.metrics import (
+    TOTAL_SIZE,
+    Additive,
+    Grouped,
+    Holistic,
+    Metric,
+    Part,
+    Quantile,
+)
+from bandwise.operators.ordering import null_safe_join, sketch_columns
+from bandwise.operators.quantiles import counted_quantiles, value_counts
 from bandwise.sources.union import SOURCE
 
 LEVEL = "__level__"
+QUANTILES = "__quantiles__"
 _REACH = "__reach__"
 
 
@@ -47,14 +57,18 @@ class _Layout:
             isinstance(m, Additive) and m.uses_total_size for m in metrics
         )
         self.grouped = [m for m in metrics if isinstance(m, Grouped)]
-        self.holistic = [m for m in metrics if isinstance(m, Holistic)]
+        self.quantiles = [m for m in metrics if isinstance(m, Quantile)]
+        # A variable is a column as seen by one source set.
+        pairs = dict.fromkeys((m.column, self._key(m)) for m in self.quantiles)
+        self.variables = list(pairs)
+        self.asks = list(dict.fromkeys(m.ask for m in self.quantiles))
 
     @staticmethod
     def _key(metric: Metric) -> tuple[str, ...] | None:
         return None if metric.sources is None else tuple(sorted(set(metric.sources)))
 
     @staticmethod
-    def _member(sources: tuple[str, ...] | None) -> Column:
+    def member(sources: tuple[str, ...] | None) -> Column:
         if sources is None:
             return F.lit(True)
         return F.col(SOURCE).isin(list(sources)) if sources else F.lit(False)
@@ -63,15 +77,15 @@ class _Layout:
         """Rows that some metric can see."""
         if any(s is None for s in self.source_sets):
             return df
-        return df.filter(reduce(or_, (self._member(s) for s in self.source_sets)))
+        return df.filter(reduce(or_, (self.member(s) for s in self.source_sets)))
 
     def visible(self, df: DataFrame, metric: Metric) -> DataFrame:
         key = self._key(metric)
-        return df if key is None else df.filter(self._member(key))
+        return df if key is None else df.filter(self.member(key))
 
     def gate(self, metric: Metric, value: Column) -> Column:
         key = self._key(metric)
-        return F.when(self._member(key), value) if self.several and key is not None else value
+        return F.when(self.member(key), value) if self.several and key is not None else value
 
     def rows_name(self, metric: Metric) -> str:
         return f"r{self.source_sets.index(self._key(metric))}"
@@ -85,7 +99,7 @@ class _Layout:
                     found[f"p{i}_{name}"] = Part(self.gate(m, part.value), part.merge)
         if self.needs_rows:
             for i, key in enumerate(self.source_sets):
-                one = F.when(self._member(key), F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+                one = F.when(self.member(key), F.lit(1)).otherwise(F.lit(0)).cast("bigint")
                 found[f"r{i}"] = Part(one)
         if not found:
             found["r"] = Part(F.lit(1).cast("bigint"))
@@ -121,6 +135,10 @@ class _Layout:
                 value = m.finish(parts)
             elif isinstance(m, Grouped):
                 value = F.col(f"g{i}")
+            elif isinstance(m, Quantile):
+                variable = self.variables.index((m.column, self._key(m)))
+                of_variable = F.try_element_at(F.col(QUANTILES), F.lit(variable))
+                value = F.get(of_variable, F.lit(self.asks.index(m.ask)))
             else:
                 value = F.col(f"h{i}")
             value = m.scaled(value)
@@ -130,6 +148,54 @@ class _Layout:
         return columns
 
 
+def _quantile_maps(
+    layout: _Layout,
+    rows: DataFrame,
+    dims: Sequence[str],
+    levels: Sequence[Sequence[str]],
+    expand: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """All quantiles of a summary: dimensions, level and variable -> quantiles.
+
+    One sketch pass and one counting pass over the rows serve every column,
+    source set, fraction and level; levels roll up the counts. ``expand`` may
+    send counts to several groups.
+    """
+    columns = list(dict.fromkeys(column for column, _ in layout.variables))
+    numbers = rows.select(*(F.col(c).cast("double").alias(c) for c in columns))
+    sketched = sketch_columns(numbers, columns)
+    sketches = [sketched[column] for column, _ in layout.variables]
+    limit = min(m.limit for m in layout.quantiles)
+    values = [
+        F.col(column) if key is None else F.when(layout.member(key), F.col(column))
+        for column, key in layout.variables
+    ]
+    counts = value_counts(rows, dims, values)
+    if expand is not None:
+        counts = expand(counts)
+    pieces = []
+    for level in levels:
+        found = counted_quantiles(counts, level, layout.asks, sketches, limit)
+        # One entry per variable.
+        entry = F.struct("variable", "quantiles")
+        per_group = found.groupBy(*level).agg(
+            F.map_from_entries(F.collect_list(entry)).alias(QUANTILES)
+        )
+        pieces.append(_with_level(per_group, rows, dims, level, QUANTILES))
+    return reduce(DataFrame.unionByName, pieces)
+
+
+def _with_level(
+    found: DataFrame, rows: DataFrame, dims: Sequence[str], level: Sequence[str], value: str
+) -> DataFrame:
+    """Add the dimensions that are rolled up, as nulls, and the level."""
+    for d in dims:
+        if d not in level:
+            found = found.withColumn(d, F.lit(None).cast(rows.schema[d].dataType))
+    found = found.withColumn(LEVEL, F.lit(_level(dims, level)).cast("bigint"))
+    return found.select(*dims, LEVEL, value)
+
+
 def _level(dims: Sequence[str], kept: Sequence[str]) -> int:
     """Spark's grouping id: one bit per dimension, set when it is rolled up."""
     return sum(1 << (len(dims) - 1 - i) for i, d in enumerate(dims) if d not in kept)
@@ -176,18 +242,19 @@ def summarize_levels(
         # One row of counts.
         result = result.crossJoin(F.broadcast(counted.agg(*layout.totals())))
 
+    if layout.quantiles:
+        maps = _quantile_maps(layout, rows, dims, levels)
+        result = null_safe_join(result, maps, [*dims, LEVEL], "left")
     for i, m in enumerate(layout.metrics):
         if not isinstance(m, Holistic):
             continue
         seen = layout.visible(df, m)
-        pieces = []
-        for level in levels:
-            found = m.plan(seen, level).withColumnRenamed("value", f"h{i}")
-            for d in dims:
-                if d not in level:
-                    found = found.withColumn(d, F.lit(None).cast(df.schema[d].dataType))
-            found = found.withColumn(LEVEL, F.lit(_level(dims, level)).cast("bigint"))
-            pieces.append(found.select(*dims, LEVEL, f"h{i}"))
+        pieces = [
+            _with_level(
+                m.plan(seen, level).withColumnRenamed("value", f"h{i}"), df, dims, level, f"h{i}"
+            )
+            for level in levels
+        ]
         values = reduce(DataFrame.unionByName, pieces)
         result = null_safe_join(result, values, [*dims, LEVEL], "left")
 
@@ -262,8 +329,9 @@ def cumulative(
         return base.select(key).limit(0)
     layout = _Layout(metrics)
     rows = layout.restrict(base)
-    places = ((F.col(key) == F.lit(group), F.lit(i)) for i, group in enumerate(groups))
-    ordinal = first_match(places, F.lit(None).cast("int"))
+    # One reference to the key: a CASE would repeat the expression behind it.
+    at = F.array_position(F.lit(groups), F.col(key))
+    ordinal = F.nullif(at, F.lit(0)).cast("int") - 1
     placed = rows.withColumn(_REACH, ordinal)
     listed = ordered_frame(base, key, groups, _REACH)
 
@@ -290,6 +358,16 @@ def cumulative(
             if isinstance(m, Grouped)
         ]
         result = result.join(expanded.groupBy(_REACH).agg(*columns), _REACH, "left")
+    if layout.quantiles:
+        reaching = F.explode(F.sequence(F.col(_REACH), F.lit(len(groups) - 1)))
+        maps = _quantile_maps(
+            layout,
+            placed.filter(F.col(_REACH).isNotNull()),
+            [_REACH],
+            [[_REACH]],
+            lambda counts: counts.withColumn(_REACH, reaching),
+        )
+        result = result.join(maps.drop(LEVEL), _REACH, "left")
     for i, m in enumerate(layout.metrics):
         if isinstance(m, Holistic):
             found = m.plan(layout.visible(expanded, m), [_REACH])

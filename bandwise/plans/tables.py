@@ -13,7 +13,8 @@ from bandwise.functions.labels import label_codes
 from bandwise.functions.predicates import Predicate, first_match
 from bandwise.operators.grid import target_of
 from bandwise.operators.metrics import Metric
-from bandwise.operators.segments import DOLLAR, UNIT, Segment, scale_factor, segment_frame
+from bandwise.operators.ordering import null_safe_join
+from bandwise.operators.segments import DOLLAR, UNIT, Segment, scale_factor
 from bandwise.operators.summarize import LEVEL, cumulative, prepare, summarize_levels
 from bandwise.plans.chain import SEGMENT, Chain, score
 
@@ -65,45 +66,37 @@ def segment_table(
     covers all filtered rows, including those outside every segment.
     """
     scored = score(prepare(df, where), chain)
-    listed = segment_frame(df.sparkSession, segments).select(
-        F.col("segment_id").alias(SEGMENT), "name"
+    # Config-sized: the segments, and a total.
+    listed = [(i, s.id, s.name, 0) for i, s in enumerate(segments)]
+    if total:
+        listed.append((len(segments), None, TOTAL, 1))
+    result = df.sparkSession.createDataFrame(
+        listed, f"position int, {SEGMENT} int, name string, {LEVEL} bigint"
     )
-    plain = [m for m in metrics if not m.cumulative]
     running = [m for m in metrics if m.cumulative]
-    levels = [[SEGMENT], []] if total else [[SEGMENT]]
-
-    result = listed
-    bottom = df.sparkSession.range(1).select(
-        F.lit(None).cast("int").alias(SEGMENT), F.lit(TOTAL).alias("name")
-    )
-    if plain:
-        wide = summarize_levels(scored, [SEGMENT], levels, plain)
-        by_segment = wide.filter(F.col(LEVEL) == 0).drop(LEVEL)
-        result = result.join(by_segment, SEGMENT, "left")
-        if total:
-            bottom = bottom.crossJoin(wide.filter(F.col(LEVEL) == 1).drop(LEVEL, SEGMENT))
+    # The total of a cumulative metric is the metric over all rows.
+    direct = list(metrics) if total else [m for m in metrics if not m.cumulative]
+    if direct:
+        levels = [[SEGMENT], []] if total else [[SEGMENT]]
+        found = summarize_levels(scored, [SEGMENT], levels, direct)
+        result = null_safe_join(result, found, [SEGMENT, LEVEL], "left")
     if running:
         upto = cumulative(scored, SEGMENT, [s.id for s in segments], running)
-        result = result.join(upto, SEGMENT, "left")
-        if total:
-            overall = summarize_levels(scored, [], [[]], running).drop(LEVEL)
-            bottom = bottom.crossJoin(overall)
-    if total:
-        result = result.unionByName(bottom)
+        renamed = upto.withColumnsRenamed({m.name: f"__upto__{m.name}" for m in running})
+        result = result.join(renamed, SEGMENT, "left")
+        for m in running:
+            value = F.col(f"__upto__{m.name}")
+            if total:
+                value = F.when(F.col(LEVEL) == 1, F.col(m.name)).otherwise(value)
+            result = result.withColumn(m.name, value)
     return result.select(
-        _position(F.col(SEGMENT), segments).alias("position"),
+        "position",
         F.col(SEGMENT).alias("segment_id"),
         "name",
         *_scaled(metrics, F.col(SEGMENT), segments, scaling),
     )
 
 
-def _position(segment: Column, segments: Sequence[Segment]) -> Column:
-    """Place in display order; totals come last."""
-    places = ((segment == s.id, F.lit(i)) for i, s in enumerate(segments))
-    return first_match(places, F.lit(len(segments)))
-
-
 def _scaled(
     metrics: Sequence[Metric],
     segment: Column,

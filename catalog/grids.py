@@ -16,6 +16,7 @@ from bandwise.operators.grid import (
     assign_targets,
     collect_grid,
     describe_grid,
+    grid_frame,
     identity_grid,
     join_grid,
     merge_equal_bands,
@@ -54,6 +55,11 @@ def _targets(rows, bands):
     return assign_targets(_cells(rows, bands), bands_frame(rows.sparkSession, bands), SEGMENTS, _LOSS, 1, 1)
 
 
+def _found_grid(rows, bands):
+    """The grid as a table of its own: bands x segments rows, so merging it rescans nothing."""
+    return grid_frame(rows.sparkSession, collect_grid(_targets(rows, bands)))
+
+
 # Greedy banding within each parent (segments within one step), then all cut points together.
 _BANDS_SQL = (
     SCORED.replace("scored AS (SELECT *, least(greatest(parent + band - 1, 0), 3) AS segment FROM rooted),", "")
@@ -112,7 +118,7 @@ def targets_of_cells(spark, sf_dir):
 def neighbouring_bands_merged(spark, sf_dir):
     rows = _with_parent(loans(spark, sf_dir))
     bands = _child_bands(rows)
-    merged, grid = merge_equal_bands(bands_frame(spark, bands), _targets(rows, bands))
+    merged, grid = merge_equal_bands(bands_frame(spark, bands), _found_grid(rows, bands))
     return merged.join(grid, "band_id")
 
 
@@ -126,7 +132,7 @@ def neighbouring_bands_merged(spark, sf_dir):
 def grid_made_monotone(spark, sf_dir):
     rows = _with_parent(loans(spark, sf_dir))
     bands = _child_bands(rows)
-    _, grid = merge_equal_bands(bands_frame(spark, bands), _targets(rows, bands))
+    _, grid = merge_equal_bands(bands_frame(spark, bands), _found_grid(rows, bands))
     return monotone_grid(grid)
 
 
@@ -143,7 +149,7 @@ def rows_scored_by_found_grid(spark, sf_dir):
     """Bands, targets and merging end to end, then every row scored."""
     rows = _with_parent(loans(spark, sf_dir))
     bands = _child_bands(rows)
-    merged, grid = merge_equal_bands(bands_frame(spark, bands), _targets(rows, bands))
+    merged, grid = merge_equal_bands(bands_frame(spark, bands), _found_grid(rows, bands))
     segment = assign_grid(
         F.col("discount_pct"), F.col("parent_id"), collect_bands(merged), collect_grid(grid)
     )
@@ -179,7 +185,8 @@ def _category_grid(spark, sf_dir):
         .agg((F.sum("loss") / F.sum("balance")).alias("rate"))
     )
     bands = categories.select("band_id").distinct()
-    return categories, assign_targets(cells, bands, SEGMENTS, _LOSS, 1, 1)
+    grid = assign_targets(cells, bands, SEGMENTS, _LOSS, 1, 1)
+    return categories, grid_frame(spark, collect_grid(grid))
 
 
 @query(
@@ -271,7 +278,7 @@ def grid_described(spark, sf_dir):
     """Segment names; the first band is switched off and left out."""
     rows = _with_parent(loans(spark, sf_dir))
     bands = _child_bands(rows)
-    _, grid = merge_equal_bands(bands_frame(spark, bands), _targets(rows, bands))
+    _, grid = merge_equal_bands(bands_frame(spark, bands), _found_grid(rows, bands))
     return describe_grid(grid, SEGMENTS, {0})
 
 
