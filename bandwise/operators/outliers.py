@@ -9,7 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandwise.functions.predicates import COMPARISONS
-from bandwise.operators.quantiles import MAP_LIMIT, column_quantiles, most_frequent
+from bandwise.operators.ordering import sketch_columns
+from bandwise.operators.quantiles import (
+    MAP_LIMIT,
+    Ask,
+    counted_quantiles,
+    most_frequent,
+    value_counts,
+)
 
 # The percentiles a rule may use.
 PERCENTILES = (1, 5, 10, 25, 50, 75, 90, 95, 99)
@@ -39,10 +46,80 @@ def mode_value(df: DataFrame, column: str) -> float | None:
     return most_frequent(df, column).first()["mode"]
 
 
-def non_mode(df: DataFrame, column: str, mode: float | None) -> DataFrame:
-    """The column's non-null values other than the mode."""
-    values = df.select(column).filter(F.col(column).isNotNull())
-    return values if mode is None else values.filter(F.col(column) != F.lit(mode))
+def non_mode_quantiles(
+    df: DataFrame,
+    columns: Sequence[str],
+    fractions: Sequence[float],
+    limit: int = MAP_LIMIT,
+) -> dict[str, tuple[float | None, list[float | None]]]:
+    """Per column: its mode, and linear quantiles of its values other than the mode.
+
+    Both come from one count of distinct values for all columns; one more pass
+    takes the sketches.
+    """
+    columns = list(dict.fromkeys(columns))
+    values = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
+    sketches = sketch_columns(values, columns)
+    counts = value_counts(values, [], [F.col(c) for c in columns])
+    # One row per column.
+    modes = counts.groupBy("variable").agg(
+        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode")
+    )
+    found = {columns[row["variable"]]: (row["mode"], []) for row in modes.collect()}
+    is_mode = F.lit(False)
+    for i, c in enumerate(columns):
+        if c in found:
+            is_mode = is_mode | ((F.col("variable") == i) & (F.col("value") == found[c][0]))
+    asks = [Ask(q) for q in fractions]
+    known = [sketches[c] for c in columns]
+    quantiles: dict[str, list[float | None]] = {}
+    if asks:
+        for row in counted_quantiles(counts.filter(~is_mode), [], asks, known, limit).collect():
+            quantiles[columns[row["variable"]]] = list(row["quantiles"])
+    nothing: list[float | None] = [None] * len(fractions)
+    return {
+        c: (found[c][0] if c in found else None, quantiles.get(c, list(nothing))) for c in columns
+    }
+
+
+@dataclass(frozen=True)
+class OutlierSpec:
+    """A rule before its threshold is known: a percentile or a fixed value."""
+
+    column: str
+    comparison: str
+    percentile: int | None = None
+    value: float | None = None
+
+    def __post_init__(self):
+        if self.comparison not in (">", ">=", "<", "<="):
+            raise ValueError(f"unknown comparison {self.comparison!r}")
+        if (self.percentile is None) == (self.value is None):
+            raise ValueError("give either a percentile or a value")
+        if self.percentile is not None and self.percentile not in PERCENTILES:
+            raise ValueError(f"percentile must be one of {PERCENTILES}")
+
+
+def outlier_rules(
+    df: DataFrame, specs: Sequence[OutlierSpec], limit: int = MAP_LIMIT
+) -> list[OutlierRule]:
+    """Rules with their modes and thresholds, from all rows of the table.
+
+    However many rules there are, they share two passes.
+    """
+    fractions = sorted({s.percentile / 100 for s in specs if s.percentile is not None})
+    known = non_mode_quantiles(df, [s.column for s in specs], fractions, limit)
+    rules = []
+    for s in specs:
+        mode, quantiles = known[s.column]
+        if s.percentile is None:
+            threshold = float(s.value)
+        else:
+            threshold = quantiles[fractions.index(s.percentile / 100)]
+        rules.append(
+            OutlierRule(s.column, s.comparison, 0.0 if threshold is None else threshold, mode)
+        )
+    return rules
 
 
 def outlier_rule(
@@ -53,21 +130,8 @@ def outlier_rule(
     value: float | None = None,
     limit: int = MAP_LIMIT,
 ) -> OutlierRule:
-    """A rule with its mode and threshold taken from all rows of the table."""
-    if comparison not in (">", ">=", "<", "<="):
-        raise ValueError(f"unknown comparison {comparison!r}")
-    if (percentile is None) == (value is None):
-        raise ValueError("give either a percentile or a value")
-    mode = mode_value(df, column)
-    if value is not None:
-        return OutlierRule(column, comparison, float(value), mode)
-    if percentile not in PERCENTILES:
-        raise ValueError(f"percentile must be one of {PERCENTILES}")
-    rest = non_mode(df, column, mode)
-    threshold = column_quantiles(rest, [column], [percentile / 100], limit)[column][0]
-    if threshold is None:
-        threshold = 0.0
-    return OutlierRule(column, comparison, threshold, mode)
+    """One rule with its mode and threshold."""
+    return outlier_rules(df, [OutlierSpec(column, comparison, percentile, value)], limit)[0]
 
 
 def outlier_counts(df: DataFrame, rules: Sequence[OutlierRule]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bandwise.functions.labels import percentile_label, quantile_label
 from bandwise.functions.predicates import Predicate, predicate
-from bandwise.operators.outliers import mode_value, non_mode
+from bandwise.operators.outliers import non_mode_quantiles
 from bandwise.operators.quantiles import MAP_LIMIT, column_quantiles
 
 # Percentiles shown for a right-skewed, left-skewed and other variable.
@@ -23,8 +23,7 @@ def _quantile_rows(
     df: DataFrame, column: str, fractions: Sequence[float], limit: int
 ) -> DataFrame:
     """``(fraction, value)`` of the values other than the mode."""
-    rest = non_mode(df, column, mode_value(df, column))
-    found = column_quantiles(rest, [column], fractions, limit)[column]
+    _, found = non_mode_quantiles(df, [column], fractions, limit)[column]
     return df.sparkSession.createDataFrame(
         list(zip([float(q) for q in fractions], found)), "fraction double, value double"
     )

@@ -132,11 +132,17 @@ def counted_quantiles(
     asks: Sequence[Ask],
     sketches: Sequence[Sketch],
     limit: int = MAP_LIMIT,
+    roll_up: bool = False,
 ) -> DataFrame:
-    """Quantiles of every key and variable of ``value_counts``, possibly rolled up first."""
+    """Quantiles of every key and variable of ``value_counts``.
+
+    With ``roll_up``, counts of finer keys are added up first.
+    """
     limit = min(limit, MAP_LIMIT)
     keys = [*keys, "variable"]
-    merged = counts.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
+    merged = counts
+    if roll_up:
+        merged = counts.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
     linear = all(a.interpolation == "linear" for a in asks)
     if linear and all(s.distinct <= limit for s in sketches):
         fractions = [a.fraction for a in asks]
@@ -185,9 +191,8 @@ def column_quantiles(
 ) -> dict[str, list[float | None]]:
     """Exact linear quantiles of several columns, on the driver.
 
-    Three passes at most, however many columns: sketches, one aggregate for all
-    columns with few distinct values, one for all others. Sketches at hand save
-    the first.
+    However many columns: one pass for sketches, one over the columns with few
+    distinct values, one over the others. Sketches at hand save the first.
     """
     columns = list(columns)
     missing: list[float | None] = [None] * len(fractions)
@@ -201,17 +206,14 @@ def column_quantiles(
     large = [c for c in columns if c not in small]
     if small:
         row = values.agg(
-            *(F.percentile(F.col(c), list(fractions)).alias(f"q{i}") for i, c in enumerate(small))
+            *(F.percentile(c, list(fractions)).alias(f"q{i}") for i, c in enumerate(small))
         ).first()
         for i, c in enumerate(small):
-            result[c] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else list(missing)
+            result[c] = list(row[f"q{i}"] or missing)
     if large:
         counts = value_counts(values, [], [F.col(c) for c in large])
-        ranges = _variable_ranges([sketches[c].edges for c in large])
-        asks = [Ask(q) for q in fractions]
-        for row in quantiles_of_counts(
-            counts.withColumn(RANGE, ranges), ["variable"], asks
-        ).collect():
+        asks, known = [Ask(q) for q in fractions], [sketches[c] for c in large]
+        for row in counted_quantiles(counts, [], asks, known, limit).collect():
             result[large[row["variable"]]] = list(row["quantiles"])
     return result
 

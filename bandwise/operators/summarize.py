@@ -175,7 +175,8 @@ def _quantile_maps(
         counts = expand(counts)
     pieces = []
     for level in levels:
-        found = counted_quantiles(counts, level, layout.asks, sketches, limit)
+        finest = expand is None and len(level) == len(dims)
+        found = counted_quantiles(counts, level, layout.asks, sketches, limit, not finest)
         # One entry per variable.
         entry = F.struct("variable", "quantiles")
         per_group = found.groupBy(*level).agg(

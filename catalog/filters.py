@@ -11,7 +11,7 @@ from bandwise.functions.predicates import (
     either,
     keep,
 )
-from bandwise.operators.outliers import OutlierRule, outlier_rule
+from bandwise.operators.outliers import OutlierRule, OutlierSpec, outlier_rules
 from bandwise.operators.summarize import prepare
 from catalog.data import loans, rounded, table
 from catalog.registry import query
@@ -48,7 +48,7 @@ def filter_rows(spark, sf_dir):
 def combined_filters_and_rules(spark, sf_dir):
     rows = loans(spark, sf_dir)
     rules = [
-        outlier_rule(rows, "l_quantity", ">", value=45),
+        *outlier_rules(rows, [OutlierSpec("l_quantity", ">", value=45)]),
         OutlierRule("l_extendedprice", "<", 2000),
     ]
     kept = keep(rows, all_of(["l_returnflag = 'A'", "l_discount >= 0.05", *(r.keeps() for r in rules)]))

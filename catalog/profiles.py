@@ -10,7 +10,13 @@ from bandwise.operators.information_value import (
     iv_ranking,
     quantile_bins,
 )
-from bandwise.operators.outliers import mode_value, outlier_counts, outlier_rule
+from bandwise.operators.outliers import (
+    OutlierSpec,
+    mode_value,
+    outlier_counts,
+    outlier_rule,
+    outlier_rules,
+)
 from bandwise.operators.profile import (
     box_plot,
     distinct_values,
@@ -202,10 +208,13 @@ def outlier_threshold(spark, sf_dir):
 )
 def outlier_counts_per_rule(spark, sf_dir):
     rows = loans(spark, sf_dir)
-    rules = [
-        outlier_rule(rows, "l_quantity", "<", value=3),
-        outlier_rule(rows, "l_extendedprice", ">=", percentile=99),
-    ]
+    rules = outlier_rules(
+        rows,
+        [
+            OutlierSpec("l_quantity", "<", value=3),
+            OutlierSpec("l_extendedprice", ">=", percentile=99),
+        ],
+    )
     counts = outlier_counts(rows, rules)
     position = (
         F.when(F.col("rule").startswith("l_quantity"), 1)

@@ -45,10 +45,6 @@ def _rows(names, rows):
     return [names[i] for i in order], sorted(table, key=repr)
 
 
-def _kind(value):
-    return "number" if isinstance(value, (int, float)) and not isinstance(value, bool) else type(value)
-
-
 def compare(spark, con, query, sql: str, sf_dir: str) -> str | None:
     """None if both agree exactly, otherwise what differs."""
     start = time.time()
