@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -22,8 +23,9 @@ GRAMS = (3, 4, 5)
 #: Few words of a toxic text are toxic themselves; averages are scaled up before the softmax.
 GAIN = 100.0
 ROUNDS, RATE, DECAY = 150, 0.05, 0.01
-#: Buckets whose presence in a text depends on its label less than this (chi-square) have no embedding.
-CHI_SQUARE = 30.0
+#: Buckets whose presence in a text depends on its label less than this (chi-square) have no embedding; the first
+#: value holds for `PER_LABEL` toxic documents, fewer take a proportional one, but not less than the second.
+CHI_SQUARE = (30.0, 12.0)
 CACHE = 400_000
 WORD = re.compile(r"[^\W_]+")
 SLICE = 1 << 20
@@ -48,20 +50,24 @@ def _words(text: str | None) -> Iterator[list[str]]:
         at = end
 
 
+def shares(text: str | None) -> tuple[list[str], np.ndarray]:
+    """The words of a text and their shares in its average; n repeats count as 1 + ln(n)."""
+    counts: Counter[str] = Counter()
+    for words in _words(text):
+        counts.update(words)
+    weight = 1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))
+    return list(counts), weight / max(1.0, weight.sum())
+
+
 def bag(text: str | None, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and their weights: the mean over words of the mean over each word's subwords."""
-    counts: dict[str, int] = {}
-    for words in _words(text):
-        for w in words:
-            counts[w] = counts.get(w, 0) + 1
-    if not counts:
-        return np.empty(0, np.int32), np.empty(0, np.float32)
-    parts = [subwords(w, buckets) for w in counts]
-    lengths = np.array([len(p) for p in parts])
+    words, share = shares(text)
+    parts = [subwords(w, buckets) for w in words]
+    lengths = np.array([len(p) for p in parts], dtype=np.int64)
     flat = np.fromiter(chain.from_iterable(parts), np.int64, lengths.sum())
-    weight = np.repeat(np.fromiter(counts.values(), np.float64, len(counts)) / lengths, lengths)
     own, inverse = np.unique(flat, return_inverse=True)
-    return own.astype(np.int32), (np.bincount(inverse, weights=weight) / sum(counts.values())).astype(np.float32)
+    weight = np.bincount(inverse, weights=np.repeat(share / lengths, lengths), minlength=len(own))
+    return own.astype(np.int32), weight.astype(np.float32)
 
 
 def informative(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> np.ndarray:
@@ -71,7 +77,8 @@ def informative(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -
     with np.errstate(divide="ignore", invalid="ignore"):
         expected = seen.sum(axis=0) * rows / rows.sum()
         chi = ((seen - expected) ** 2 * (1 / expected + 1 / (rows - expected))).sum(axis=0)
-    return np.flatnonzero(np.nan_to_num(chi) >= CHI_SQUARE)
+    most, least = CHI_SQUARE
+    return np.flatnonzero(np.nan_to_num(chi) >= max(least, most * min(1, rows[1, 0] / PER_LABEL)))
 
 
 @dataclass
@@ -196,11 +203,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, doc_id: str = "
         for batch in batches:
             odds = np.full(batch.num_rows, -np.inf)
             for i, value in enumerate(batch.column("_text") if shared.value else ()):
-                total, count = 0.0, 0
-                for words in _words(value.as_py()):
-                    total += sum(map(cache.__getitem__, words))
-                    count += len(words)
-                odds[i] = shared.value[1] + (total / count if count else 0.0)
+                words, share = shares(value.as_py())
+                odds[i] = shared.value[1] + np.fromiter(map(cache.__getitem__, words), np.float64, len(words)) @ share
                 if len(cache) > CACHE:
                     cache.clear()
             scores = 1 / (1 + np.exp(-np.clip(odds, -50, 50))) * (odds > -np.inf)
