@@ -48,10 +48,11 @@ def fold(events: DataFrame) -> DataFrame:
     alive = events.filter("_redone is null or (turn is not null and turn < _redone)")
     turn = Window.partitionBy("conv_id", "turn")
     edited = F.max(F.when(F.col("op") == "edit", F.col("_at"))).over(turn)
-    alive = alive.withColumn("_edited", edited).filter("_edited is null or _at >= _edited")
+    role = F.max_by("role", F.when(F.col("role").isNotNull(), F.col("_at"))).over(turn)
+    alive = alive.withColumns({"_edited": edited, "role": role}).filter("_edited is null or _at >= _edited")
     parts = F.sort_array(F.collect_list(F.struct("_at", "text")))
     return alive.groupBy("conv_id", "turn").agg(
-        F.max_by("role", F.when(F.col("role").isNotNull(), F.col("_at"))).alias("role"),
+        F.max("role").alias("role"),
         F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"),
     )
 
