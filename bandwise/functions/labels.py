@@ -22,10 +22,10 @@ def format_value(
 ) -> Column:
     """Fixed decimals, optional thousands separator and percent sign."""
     x = value.cast("double")
-    if thousands:
-        text = F.format_number(x, decimals)
-    else:
-        text = F.format_string(f"%.{decimals}f", x)
+    # One rounding rule, with and without separators: halves go to the even digit.
+    text = F.format_number(x, decimals)
+    if not thousands:
+        text = F.replace(text, F.lit(","), F.lit(""))
     if percentage:
         text = F.concat(text, F.lit("%"))
     infinite = F.when(x > 0, F.lit("inf")).otherwise(F.lit("-inf"))
@@ -45,7 +45,8 @@ def percentile_label(fraction: Column) -> Column:
 
 def quantile_label(fraction: Column) -> Column:
     """0.25 -> ``25th Percentile``"""
-    return F.format_string("%.0fth Percentile", fraction * 100)
+    whole = F.replace(F.format_number(fraction * 100, 0), F.lit(","), F.lit(""))
+    return F.concat(whole, F.lit("th Percentile"))
 
 
 def strength_label(iv: Column) -> Column:

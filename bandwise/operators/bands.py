@@ -9,8 +9,10 @@ stays a DataFrame and is joined, not collected.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from operator import attrgetter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -205,14 +207,14 @@ def clip_outer_bounds(
     """
     if not bands or minimum is None or maximum is None:
         return list(bands)
-    result = list(bands)
-    at = min(range(len(result)), key=lambda i: (result[i].lower, result[i].upper, result[i].id))
-    low = result[at].lower
-    keep_low = include_min and -INF < low < minimum
-    result[at] = replace(result[at], lower=low if keep_low else minimum)
-    at = max(range(len(result)), key=lambda i: (result[i].upper, result[i].lower, result[i].id))
-    result[at] = replace(result[at], upper=maximum)
-    return result
+    rising = sorted(bands, key=attrgetter("lower", "upper", "id"))
+    start = rising[0].lower
+    if not (include_min and math.isfinite(start) and start < minimum):
+        start = minimum
+    opened = [replace(rising[0], lower=start), *rising[1:]]
+    highest = sorted(opened, key=attrgetter("upper", "lower", "id"))[-1]
+    by_id = {b.id: replace(b, upper=maximum) if b is highest else b for b in opened}
+    return [by_id[b.id] for b in bands]
 
 
 # --- checks and description -----------------------------------------------

@@ -68,14 +68,14 @@ def assign_grid(
 
 
 def join_grid(df: DataFrame, band: str, parent: str, grid: DataFrame, out: str) -> DataFrame:
-    """Target segment by left join with the grid table, which is configuration-sized."""
+    """Target segment by left join with the grid table; its size is left to the planner."""
     table = grid.select(
         F.col("band_id").alias("__b__"),
         F.col("parent_id").alias("__p__"),
         F.col("target_id").alias(out),
     )
     on = (F.col(band) == F.col("__b__")) & (F.col(parent) == F.col("__p__"))
-    return df.join(F.broadcast(table), on, "left").drop("__b__", "__p__")
+    return df.join(table, on, "left").drop("__b__", "__p__")
 
 
 def identity_grid(bands: DataFrame, segments: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def merge_equal_categories(
         "new_id", (F.dense_rank().over(Window.orderBy("targets")) - 1).cast("int")
     )
     mapping = ranked.select("band_id", "new_id")
-    merged = categories.join(F.broadcast(mapping), "band_id").select(
+    merged = categories.join(mapping, "band_id").select(
         F.col("new_id").alias("band_id"), "category"
     )
     return merged, _unfold(mapping, grid)

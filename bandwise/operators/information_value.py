@@ -107,14 +107,17 @@ def iv_ranking(
     where: Predicate | None = None,
     bins: int = BINS,
     limit: int = MAP_LIMIT,
+    max_text_values: int | None = MAX_TEXT_VALUES,
 ) -> DataFrame:
     """Information Value of every variable, strongest first: ``variable, iv, strength``.
 
     All variables share three passes: checks and distinct-count sketches, the
     bin edges of all numeric variables, and the count of good and bad rows per
     variable and bin. Rows are repeated per variable only ahead of the partial
-    aggregation in the same task. Text variables with more than ten values are
-    left out: by their sketch if it is clear, else by their number of bins.
+    aggregation in the same task. Text variables with more than
+    ``max_text_values`` values are left out, by their sketch if it is clear,
+    else by their number of bins; ``None`` ranks them all. ``eligible_variables``
+    says which ones those are.
     """
     kind = df.schema[target].dataType
     if not isinstance(kind, (NumericType, BooleanType)):
@@ -128,7 +131,8 @@ def iv_ranking(
     if not checks["binary"]:
         raise ValueError(f"target {target!r} has values other than 0 and 1")
     sketches = read_sketches(df, variables, checks)
-    few = {c for c in variables if sketches[c].distinct <= 2 * MAX_TEXT_VALUES}
+    most = float("inf") if max_text_values is None else max_text_values
+    few = {c for c in variables if sketches[c].distinct <= 2 * most}
     usable = [c for c in variables if c in numeric or c in few]
     if not usable:
         return df.sparkSession.createDataFrame([], "variable string, iv double, strength string")
@@ -157,7 +161,7 @@ def iv_ranking(
         [(c, c in numeric) for c in usable], "variable string, is_number boolean"
     )
     full = listed.join(_value_of(grouped), "variable", "left").filter(
-        F.col("is_number") | (F.coalesce("bins", F.lit(0)) <= MAX_TEXT_VALUES)
+        F.col("is_number") | (F.coalesce("bins", F.lit(0)) <= F.lit(most))
     )
     iv = F.coalesce("iv", F.lit(0.0))
     return full.select("variable", iv.alias("iv"), strength_label(iv).alias("strength")).orderBy(

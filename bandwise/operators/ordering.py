@@ -165,18 +165,37 @@ def ranged_rows(
     """Add the range number of each row in the order of several columns.
 
     Edges are whole ordering tuples, so one value of the first column may hold
-    any share of the rows: the later columns split it.
+    any share of the rows: the later columns split it. ``limit`` is in rows, as
+    the work is; equal tuples stay together.
     """
     place = F.struct(*order_by)
-    if df.agg(F.approx_count_distinct(place)).first()[0] <= limit:
+    if df.count() <= limit:
         return df.withColumn(RANGE, F.lit(0))
-    sample = df.select(*order_by).orderBy(F.xxhash64(*order_by), *order_by).limit(8 * RANGES)
-    rows = _every_nth(sorted(sample.collect(), key=tuple))
+    # Repeats are counted before the sample is taken, so they weigh but don't crowd out others.
+    tuples = df.groupBy(*order_by).agg(F.count("*").alias("__rows__"))
+    sample = tuples.orderBy(F.xxhash64(*order_by), *order_by).limit(8 * RANGES).collect()
+    rows = _heavy_edges(sorted(((tuple(r)[:-1], r["__rows__"]) for r in sample), key=_nulls_first))
     kind = StructType([df.schema[c] for c in order_by])
-    edges = literal_array([row.asDict() for row in rows], kind)
+    edges = literal_array([dict(zip(order_by, row)) for row in rows], kind)
     return df.withColumn(RANGE, _search(place, edges, len(rows)))
 
 
+def _nulls_first(entry: tuple[tuple, int]) -> tuple:
+    return tuple((v is not None, v) for v in entry[0])
+
+
+def _heavy_edges(weighted: list[tuple[tuple, int]]) -> list[tuple]:
+    """Tuples at which a range is full: each holds at least its share of the sampled rows."""
+    share = sum(n for _, n in weighted) / RANGES
+    edges, held = [], 0
+    for place, n in weighted[:-1]:
+        held += n
+        if held >= share:
+            edges.append(place)
+            held = 0
+    return edges[: RANGES - 1]
+
+
 def ranged(df: DataFrame, column: str, limit: int = DISTINCT_LIMIT) -> DataFrame:
     """Add the range number of ``column``; one range when it has few distinct values."""
     edges = range_edges(df, column, limit=limit)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandwise.functions.labels import percentile_label, quantile_label
+from bandwise.functions.labels import percentile_label
 from bandwise.functions.predicates import Predicate, predicate
 from bandwise.operators.outliers import non_mode_quantiles
 from bandwise.operators.quantiles import MAP_LIMIT, column_quantiles
@@ -51,13 +51,16 @@ def distribution_profile(df: DataFrame, column: str, limit: int = MAP_LIMIT) ->
 def quantile_table(
     df: DataFrame, column: str, fractions: Sequence[float], limit: int = MAP_LIMIT
 ) -> DataFrame:
-    """One row, one column per wanted quantile."""
-    long = _quantile_rows(df, column, fractions, limit).select(
-        quantile_label(F.col("fraction")).alias("label"), "value"
-    )
-    labels = [f"{q * 100:.0f}th Percentile" for q in fractions]
-    wide = long.groupBy(F.lit(column).alias("variable")).pivot("label", labels)
-    return wide.agg(F.first("value"))
+    """One row: ``variable``, then a column per wanted quantile in the order asked for.
+
+    Fractions whose labels round to the same text keep a column each, also where the values are all null.
+    """
+    _, found = non_mode_quantiles(df, [column], fractions, limit)[column]
+    row = df.sparkSession.range(1).select(F.lit(column).alias("variable"))
+    values = [
+        F.lit(v).cast("double").alias(f"{q * 100:.0f}th Percentile") for q, v in zip(fractions, found)
+    ]
+    return row.select("variable", *values)
 
 
 def box_plot(df: DataFrame, column: str, limit: int = MAP_LIMIT) -> DataFrame:

@@ -97,7 +97,9 @@ def quantiles_of_counts(
         high = F.get("entries", first + F.get(widths, i) - 1).getField("value")
         h = (F.col("total") - 1) * F.get(fractions, first)
         share = F.when(F.get(halves, i), F.lit(0.5)).otherwise(h - F.floor(h))
-        return F.when(low == high, low).otherwise(low + (high - low) * share)
+        # Not low + (high - low) * share, which is NaN between infinities.
+        between = low * (1 - share) + high * share
+        return F.when((low == high) | (share == 0), low).otherwise(between)
 
     wanted = F.lit(list(range(len(asks))))
     return grouped.select(*keys, F.transform(wanted, quantile).alias("quantiles"))

@@ -161,12 +161,12 @@ def scale_rates(
     """Multiply a rate by the scale factor of the row's segment.
 
     Rows without a known segment (totals) use a maturity factor of 1. The
-    segment table is configuration of a few rows, hence the broadcast.
+    segment table is the caller's, so its size is left to the planner.
     """
     factors = segments.select(
         F.col("segment_id").alias("__segment__"),
         F.col("maf_dollar" if rate_type == DOLLAR else "maf_unit").alias("__maf__"),
     )
-    joined = df.join(F.broadcast(factors), F.col(segment) == F.col("__segment__"), "left")
+    joined = df.join(factors, F.col(segment) == F.col("__segment__"), "left")
     factor = scale_factor(F.coalesce(F.col("__maf__"), F.lit(1.0)), scalar)
     return joined.withColumn(column, F.col(column) * factor).select(*df.columns)

@@ -81,43 +81,60 @@ def _name(column: str, quote: str) -> str:
     return quote + column.replace(quote, quote * 2) + quote
 
 
-def _text(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def _text(value: str, dialect: str) -> str:
+    """A string literal: with backslashes for Spark, with doubled quotes for standard SQL."""
+    if dialect == "spark":
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return "'" + value.replace("'", "''") + "'"
 
 
-def _condition(column: str, band: Band) -> str:
+def _condition(column: str, band: Band, dialect: str) -> str:
     if band.categories is not None:
         if not band.categories:
             return "FALSE"
-        members = ", ".join(_text(c) for c in sorted(band.categories))
-        return f"CAST({column} AS STRING) IN ({members})"
+        members = ", ".join(_text(c, dialect) for c in sorted(band.categories))
+        kind = "STRING" if dialect == "spark" else "VARCHAR"
+        return f"CAST({column} AS {kind}) IN ({members})"
     return f"{column} > {_number(band.lower)} AND {column} <= {_number(band.upper)}"
 
 
-def step_sql(step: Step, parent: str | None, quote: str = "`") -> str:
-    """One CASE expression for a step."""
+def step_sql(
+    step: Step, parent: str | None, quote: str = "`", dialect: str | None = None
+) -> str:
+    """One CASE expression for a step; the dialect follows the quote of names unless given.
+
+    A row belongs to the first band that holds it, also where the grid has no
+    target for the band and its parent.
+    """
+    dialect = dialect or ("spark" if quote == "`" else "standard")
     column = _name(step.variable, quote)
     lines = []
     for b in step.bands:
         if b.id in step.disabled:
             continue
-        when = _condition(column, b)
+        when = _condition(column, b, dialect)
         if step.grid is None:
             lines.append(f"  WHEN {when} THEN {b.id}")
             continue
-        for (band_id, parent_id), target in step.grid.items():
-            if band_id == b.id:
-                lines.append(f"  WHEN {parent} = {parent_id} AND {when} THEN {target}")
+        cells = [
+            f"WHEN {parent_id} THEN {target}"
+            for (band_id, parent_id), target in step.grid.items()
+            if band_id == b.id
+        ]
+        target = f"CASE {parent} {' '.join(cells)} END" if cells else "CAST(NULL AS INT)"
+        lines.append(f"  WHEN {when} THEN {target}")
     if not lines:
         return "CAST(NULL AS INT)"
     return "\n".join(["CASE", *lines, "END"])
 
 
-def scoring_sql(chain: Chain, table: str, out: str = SEGMENT, quote: str = "`") -> str:
+def scoring_sql(
+    chain: Chain, table: str, out: str = SEGMENT, quote: str = "`", dialect: str | None = None
+) -> str:
     """A query that scores ``table``, one nested SELECT per step."""
     query, parent = f"SELECT * FROM {table}", None
     for i, step in enumerate(chain, start=1):
         name = _name(f"{out}_{i}", quote)
-        query = f"SELECT *, {step_sql(step, parent, quote)} AS {name}\nFROM ({query}) AS s{i}"
+        query = f"SELECT *, {step_sql(step, parent, quote, dialect)} AS {name}\nFROM ({query}) AS s{i}"
         parent = name
     return f"SELECT *, {parent} AS {_name(out, quote)}\nFROM ({query}) AS scored"

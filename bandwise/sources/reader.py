@@ -25,18 +25,32 @@ def read_csv(
     delimiter: str = ",",
     header_row: int = 0,
     schema: StructType | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Read delimited text; the first ``header_row`` lines of each file are skipped.
 
     ``schema`` skips inference, which otherwise costs one pass over the data.
+    Quoted cells may hold delimiters and doubled quotes. ``multi_line`` also
+    allows line breaks in them, for files whose header is the first line; such
+    files cannot be split. Without it, a line with an open quote is refused where
+    types are inferred. Cells that a row has too many are dropped, those it lacks
+    are null, as is a cell that doesn't fit the given schema.
     """
     if header_row < 0:
         raise ValueError("header_row must not be negative")
     if header_row == 0 and delimiter != WHITESPACE:
-        reader = spark.read.option("header", True).option("sep", delimiter)
+        reader = spark.read.options(header=True, multiLine=multi_line, **_options(delimiter))
         if schema is None:
-            schema = infer_schema(reader.csv(path))
-        return reader.schema(schema).csv(path)
+            if not multi_line:
+                _refuse_open_quotes(spark, path)
+            cells = reader.csv(path)
+            schema = infer_schema(cells)
+        else:
+            texts = [StructField(f.name, StringType()) for f in schema.fields]
+            cells = reader.schema(StructType(texts)).csv(path)
+        return cells.select(*(_typed(F.col(f"`{f.name}`"), f) for f in schema.fields))
+    if multi_line:
+        raise ValueError("line breaks in cells need delimited files that start with the header")
 
     cells = _cells_from_lines(spark, path, delimiter, header_row)
     if schema is None:
@@ -52,7 +66,8 @@ def infer_schema(text: DataFrame) -> StructType:
         ok = c.rlike(pattern)
         if target:
             ok = ok & c.try_cast(target).isNotNull()
-        return F.bool_and(ok)
+        # A missing cell fits every type, but a column of them is text.
+        return F.bool_and(c.isNull() | ok) & (F.count(c) > 0)
 
     checks = []
     for i, name in enumerate(text.columns):
@@ -76,6 +91,17 @@ def infer_schema(text: DataFrame) -> StructType:
     return StructType.fromDDL(ddl)
 
 
+def _options(delimiter: str) -> dict[str, str]:
+    """How cells are quoted: a quote within quotes is doubled, a backslash is a character like others."""
+    return {"sep": delimiter, "quote": '"', "escape": '"'}
+
+
+def _refuse_open_quotes(spark: SparkSession, path: str) -> None:
+    quotes = F.regexp_count("value", F.lit('"'))
+    if not spark.read.text(path).filter(quotes % 2 == 1).isEmpty():
+        raise ValueError(f"a quote stays open at the end of a line in {path}; pass multi_line=True")
+
+
 def _typed(cell: Column, field: StructField) -> Column:
     return cell.try_cast(field.dataType).alias(field.name)
 
@@ -123,7 +149,7 @@ def _cells_from_lines(
     names_row = spark.createDataFrame([(header,)], head_schema)
     width = header.count(delimiter) + 1
     raw = ", ".join(f"c{i} string" for i in range(width))
-    options = {"sep": delimiter}
+    options = _options(delimiter)
     first = names_row.select(F.from_csv("line", raw, options).alias("r")).first()["r"]
     names = [n for n in first if n is not None]
     wanted = ", ".join(f"`{n}` string" for n in names)

@@ -100,3 +100,26 @@ def test_write(spark, tmp_path, format):
     write_scored(spark.range(10).withColumn("segment", F.col("id") % 2), path, format, partition_by=["segment"])
     reader = spark.read.option("header", True).option("inferSchema", True).format(format)
     assert reader.load(path).filter("segment = 1").count() == 5
+
+
+def test_csv_with_missing_integers_quotes_and_infinities(spark, tmp_path):
+    body = 'a,b,c,d,e\n9007199254740993,"say ""hi"", ok",inf,"c:\\",true\n,x,-inf,y,\n3,,1.5,z,FALSE\n'
+    df = read_csv(spark, write(tmp_path, "q.csv", body))
+    assert types(df) == ["bigint", "string", "double", "string", "boolean"]
+    rows = [tuple(r) for r in df.collect()]
+    inf = float("inf")
+    assert rows == [(9007199254740993, 'say "hi", ok', inf, "c:\\", True), (None, "x", -inf, "y", None), (3, None, 1.5, "z", False)]
+    skipped = read_csv(spark, write(tmp_path, "q1.csv", "noise\n" + body), header_row=1)
+    assert types(skipped) == types(df) and [tuple(r) for r in skipped.collect()] == rows
+
+
+def test_line_breaks_in_cells(spark, tmp_path):
+    path = write(tmp_path, "m.csv", 'a,b\n1,"two\nlines"\n2,x\n')
+    with pytest.raises(ValueError, match="multi_line"):
+        read_csv(spark, path)
+    assert [tuple(r) for r in read_csv(spark, path, multi_line=True).collect()] == [(1, "two\nlines"), (2, "x")]
+
+
+def test_ragged_rows(spark, tmp_path):
+    df = read_csv(spark, write(tmp_path, "r.csv", "a,b\n1,2,3\n4\n"))
+    assert [tuple(r) for r in df.collect()] == [(1, 2), (4, None)]
