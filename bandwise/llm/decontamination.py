@@ -45,6 +45,17 @@ NUMBER_WORDS = frozenset(
 PLAIN, NAME, NUM, UNIT_WORD = 0, 1, 2, 3
 
 
+class _Numbers(dict):
+    """Tokens by number; new ones are added when first asked for."""
+
+    def __init__(self, add):
+        self.add = add
+
+    def __missing__(self, token: str) -> int:
+        number = self[token] = self.add(token)
+        return number
+
+
 class Vocabulary:
     """Tokens by number, each with the hash of its literal form, of its template form, its kind and its normal form."""
 
@@ -52,7 +63,7 @@ class Vocabulary:
         self.clear()
 
     def clear(self) -> None:
-        self.ids: dict[str, int] = {}
+        self.ids = _Numbers(self._add)
         self.forms: list[str] = []
         self.literal = np.zeros(1024, dtype=np.uint64)
         self.template = np.zeros(1024, dtype=np.uint64)
@@ -62,9 +73,12 @@ class Vocabulary:
         number = len(self.forms)
         if number == len(self.kind):
             self.literal, self.template, self.kind = (np.concatenate((x, np.zeros_like(x))) for x in (self.literal, self.template, self.kind))
-        bare = EDGE.sub("", token) or token
+        bare = token.rstrip(".,")
+        letters = bare.isalpha()  # nearly all tokens, and then no pattern is needed
+        if not letters:
+            bare = EDGE.sub("", token) or token
         form = bare.lower()
-        if NUMBER.fullmatch(bare) or QUANTITY.fullmatch(bare) or form in NUMBER_WORDS:
+        if form in NUMBER_WORDS or not letters and (NUMBER.fullmatch(bare) or QUANTITY.fullmatch(bare)):
             kind = NUM
         elif form in UNITS:
             kind = UNIT_WORD
@@ -77,17 +91,12 @@ class Vocabulary:
         self.template[number] = {NAME: NAME_HASH, NUM: NUM_HASH}.get(kind, own)
         self.kind[number] = kind
         self.forms.append(form)
-        self.ids[token] = number
         return number
 
     def __call__(self, tokens: list[str]) -> np.ndarray:
         if len(self.forms) > CACHE:
             self.clear()
-        ids = self.ids
-        try:
-            return np.fromiter(map(ids.__getitem__, tokens), np.int64, len(tokens))
-        except KeyError:
-            return np.fromiter((ids[t] if t in ids else self._add(t) for t in tokens), np.int64, len(tokens))
+        return np.fromiter(map(self.ids.__getitem__, tokens), np.int64, len(tokens))
 
 
 NAME_HASH, NUM_HASH, UNIT_HASH = (xxhash.xxh64_intdigest(f"<{x}>".encode(), 2) for x in ("name", "num", "unit"))
