@@ -20,6 +20,12 @@ from bandwise.plans.chain import SEGMENT, Chain, score
 
 TOTAL = "Total"
 
+# Headers of a wide pivot.
+NULL, SEPARATOR, QUOTE = "null", " | ", '"'
+
+# Columns of a comparison while it is made; the input may use the names it ends with.
+CHAIN, POSITION, MEMBER, NAME = "__chain__", "__position__", "__member__", "__name__"
+
 
 class Scaling:
     """Which metrics are loss rates to be scaled to lifetime, and by what."""
@@ -110,6 +116,12 @@ def _scaled(
     ]
 
 
+def _refuse_cumulative(metrics: Sequence[Metric]) -> None:
+    running = [m.name for m in metrics if m.cumulative]
+    if running:
+        raise ValueError(f"cumulative metrics need ordered segments: {', '.join(running)}")
+
+
 def cell_table(
     df: DataFrame,
     chain: Chain,
@@ -129,6 +141,7 @@ def cell_table(
     last = chain[-1]
     if last.grid is None:
         raise ValueError("the chain has a single step")
+    _refuse_cumulative(metrics)
     base = score(prepare(df, where), chain[:-1], "__parent__")
     rows = base.withColumn("band_id", last.band()).withColumnRenamed("__parent__", "parent_id")
     dims = ["band_id", "parent_id"]
@@ -201,6 +214,7 @@ def pivot_long(
     """
     if not rows:
         raise ValueError("a pivot needs at least one row dimension")
+    _refuse_cumulative(metrics)
     base = prepare(df, where, with_columns)
     dims = [*rows, *columns]
     levels = [
@@ -216,25 +230,49 @@ def pivot_long(
     return found.select(*labels, LEVEL, *(m.name for m in metrics))
 
 
+def _header(label: Column, rolled_up: Column) -> Column:
+    """Text of one dimension of a header; values that could be taken for something else are quoted."""
+    unclear = label.isin(TOTAL, NULL) | label.contains(SEPARATOR) | label.startswith(QUOTE)
+    quoted = F.concat(F.lit(QUOTE), F.replace(label, F.lit(QUOTE), F.lit(QUOTE * 2)), F.lit(QUOTE))
+    shown = F.when(unclear, quoted).otherwise(label)
+    return F.when(rolled_up, F.lit(TOTAL)).otherwise(F.coalesce(shown, F.lit(NULL)))
+
+
 def pivot_wide(
     long: DataFrame, rows: Sequence[str], columns: Sequence[str], metric: str,
-    headers: Sequence[str] | None = None,
+    headers: Sequence[str] | None = None, row_level: str | None = None, most_headers: int = 1000,
 ) -> DataFrame:
     """One metric of ``pivot_long`` with the column dimensions across, totals last.
 
-    ``headers`` (labels joined by `` | ``) fixes the columns; otherwise they
-    are read first. Dimensions of a pivot have a handful of values each.
+    A header joins the labels of its dimensions by `` | ``; values that read
+    ``Total`` or ``null``, hold the separator or start with a quote stand in
+    double quotes, so no value falls together with a total or a missing one.
+    ``headers`` fixes the columns; otherwise they are read first, and more than
+    ``most_headers`` are refused. Rows of a value ``Total`` and of a total stay
+    apart; ``row_level`` names a column that tells which is which (0: no total).
     """
+    level = F.shiftright(LEVEL, len(columns))
+    kept = [*rows, level.alias(row_level)] if row_level else list(rows)
     if not columns:
-        return long.select(*rows, metric)
-    parts = [F.coalesce(F.col(c), F.lit("null")) for c in columns]
-    headed = long.withColumn("__head__", F.concat_ws(" | ", *parts))
+        return long.select(*kept, metric)
+    totals = [
+        F.col(LEVEL).bitwiseAND(1 << (len(columns) - 1 - i)) != 0 for i in range(len(columns))
+    ]
+    parts = [_header(F.col(c), rolled_up) for c, rolled_up in zip(columns, totals)]
+    headed = long.select(
+        *rows, level.alias(LEVEL), F.concat_ws(SEPARATOR, *parts).alias("__head__"),
+        F.array(*totals).alias("__totals__"), F.array(*columns).alias("__labels__"),
+        F.col(metric).alias("__value__"),
+    )
     if headers is None:
-        found = headed.select("__head__", *columns).distinct().collect()
-        found.sort(key=lambda r: [(v == TOTAL, str(v)) for v in r[1:]])
-        headers = list(dict.fromkeys(r["__head__"] for r in found))
-    wide = headed.groupBy(*rows).pivot("__head__", list(headers))
-    return wide.agg(F.first(metric, ignorenulls=True))
+        distinct = headed.select("__head__", "__totals__", "__labels__").distinct()
+        found = distinct.limit(most_headers + 1).collect()
+        if len(found) > most_headers:
+            raise ValueError(f"a pivot with more than {most_headers} columns")
+        found.sort(key=lambda r: [(t, str(v)) for t, v in zip(r["__totals__"], r["__labels__"])])
+        headers = [r["__head__"] for r in found]
+    wide = headed.groupBy(*rows, LEVEL).pivot("__head__", list(headers)).agg(F.first("__value__", ignorenulls=True))
+    return wide.withColumnRenamed(LEVEL, row_level) if row_level else wide.drop(LEVEL)
 
 
 def dimension_candidates(df: DataFrame, columns: Sequence[str], limit: int = 10) -> DataFrame:
@@ -279,34 +317,60 @@ def compare_chains(
     chains: Mapping[str, tuple[Chain, Sequence[Segment]]],
     metrics: Sequence[Metric],
     where: Predicate | None = None,
+    total: bool = False,
+    scaling: Scaling | None = None,
 ) -> DataFrame:
-    """Metrics per segment of several chains side by side, from one scan.
+    """Metrics per segment of several chains side by side, as ``segment_table`` gives them.
 
-    Every row is scored by all chains and repeated once per chain before the
-    partial aggregation. Columns: ``chain, position, segment_id, name``, metrics.
+    Columns: ``chain, position, segment_id, name``, metrics. Metrics of a
+    segment's own rows take one scan: every row is scored by all chains and
+    repeated once per chain before the partial aggregation. Cumulative metrics
+    and shares of the total size need the table of each chain, one scan each.
     """
+    if not chains:
+        raise ValueError("no chains to compare")
     rows = prepare(df, where)
-    columns = rows.columns
-    entries = []
-    for i, (name, (chain, _)) in enumerate(chains.items()):
-        rows = score(rows, chain, f"__c{i}__")
-        entries.append(
-            F.struct(F.lit(name).alias("chain"), F.col(f"__c{i}__").alias("segment_id"))
-        )
-    repeated = rows.select(*columns, F.inline(F.array(*entries)))
-    found = summarize_levels(
-        repeated, ["chain", "segment_id"], [["chain", "segment_id"]], metrics
-    ).drop(LEVEL)
-    listed = [
-        (name, i, s.id, s.name)
-        for name, (_, segments) in chains.items()
-        for i, s in enumerate(segments)
-    ]
-    frame = df.sparkSession.createDataFrame(
-        listed, "chain string, position int, segment_id int, name string"
+    listed = []
+    for name, (_, segments) in chains.items():
+        listed += [(name, i, s.id, s.name, 0) for i, s in enumerate(segments)]
+        if total:
+            listed.append((name, len(segments), None, TOTAL, 1))
+    # Config-sized: the segments of each chain, and a total.
+    result = df.sparkSession.createDataFrame(
+        listed, f"{CHAIN} string, {POSITION} int, {MEMBER} int, {NAME} string, {LEVEL} bigint"
     )
-    return frame.join(found, ["chain", "segment_id"], "left").select(
-        "chain", "position", "segment_id", "name", *(m.name for m in metrics)
+
+    apart = [m for m in metrics if m.cumulative or getattr(m, "uses_total_size", False)]
+    shared = [m for m in metrics if m not in apart]
+    if shared:
+        scored, entries = rows, []
+        for i, (name, (chain, _)) in enumerate(chains.items()):
+            scored = score(scored, chain, f"__c{i}__")
+            entries.append(F.struct(F.lit(name).alias(CHAIN), F.col(f"__c{i}__").alias(MEMBER)))
+        repeated = scored.select(*rows.columns, F.inline(F.array(*entries)))
+        levels = [[CHAIN, MEMBER], [CHAIN]] if total else [[CHAIN, MEMBER]]
+        found = summarize_levels(repeated, [CHAIN, MEMBER], levels, shared)
+        result = null_safe_join(result, found, [CHAIN, MEMBER, LEVEL], "left")
+    if apart:
+        tables = [
+            segment_table(rows, chain, segments, apart, total=total).select(
+                F.lit(name).alias(CHAIN), F.col("position").alias(POSITION), *(m.name for m in apart)
+            )
+            for name, (chain, segments) in chains.items()
+        ]
+        result = result.join(reduce(DataFrame.unionByName, tables), [CHAIN, POSITION], "left")
+
+    # Every chain scales by its own segments.
+    per_chain = [_scaled(metrics, F.col(MEMBER), segments, scaling) for _, segments in chains.values()]
+    values = [
+        first_match(((F.col(CHAIN) == c, v) for c, v in zip(chains, column)), F.lit(None)).alias(m.name)
+        if scaling is not None and m.name in scaling.scalars
+        else F.col(m.name)
+        for m, column in zip(metrics, zip(*per_chain))
+    ]
+    return result.select(
+        F.col(CHAIN).alias("chain"), F.col(POSITION).alias("position"),
+        F.col(MEMBER).alias("segment_id"), F.col(NAME).alias("name"), *values,
     )
 
 

@@ -170,6 +170,34 @@ def pivot_laid_out_wide(spark, sf_dir):
     return pivot_wide(long, ["l_returnflag"], ["l_linestatus"], "volume")
 
 
+def _lookalikes_sql() -> str:
+    """One counted column per header: a value, its text in the header."""
+    keys = [("key = 'Total'", '"Total"'), ("key = 'null'", '"null"'), ("key = 'a | b'", '"a | b"'), ("key IS NULL", "null")]
+    states = [("l_linestatus = 'F'", "F"), ("l_linestatus = 'O'", "O"), ("true", "Total")]
+    cells = [(f"{k} AND {s}", f"{a} | {b}") for k, a in keys for s, b in states] + [("true", "Total | Total")]
+    columns = ", ".join(
+        "nullif(count(*) FILTER ({}), 0) AS \"{}\"".format(test, name.replace('"', '""')) for test, name in cells
+    )
+    return f"""
+    SELECT CASE WHEN grouping(flag) = 1 THEN 'Total' ELSE flag END AS flag, grouping(flag) AS level, {columns}
+    FROM (SELECT *, CASE l_returnflag WHEN 'R' THEN 'Total' WHEN 'A' THEN 'null' END AS flag,
+            CASE WHEN l_linenumber = 1 THEN 'Total' WHEN l_linenumber = 2 THEN 'null' WHEN l_linenumber = 3 THEN 'a | b' END AS key
+          FROM lineitem)
+    GROUP BY ROLLUP (flag)
+    """
+
+
+@query(_lookalikes_sql())
+def pivot_wide_with_lookalikes(spark, sf_dir):
+    """Two dimensions across; the data hold ``Total``, ``null``, missing values and the separator."""
+    flag = F.when(F.col("l_returnflag") == "R", "Total").when(F.col("l_returnflag") == "A", "null")
+    number = F.col("l_linenumber")
+    key = F.when(number == 1, "Total").when(number == 2, "null").when(number == 3, "a | b")
+    rows = table(spark, sf_dir, "lineitem").withColumns({"flag": flag, "key": key})
+    long = pivot_long(rows, ["flag"], ["key", "l_linestatus"], _metrics()[:1])
+    return pivot_wide(long, ["flag"], ["key", "l_linestatus"], "volume", row_level="level")
+
+
 @query(
     f"""
     WITH {SCORED}
@@ -219,6 +247,40 @@ def chains_side_by_side(spark, sf_dir):
     return round_columns(found, 4, "rate")
 
 
+@query(
+    f"""
+    WITH {SCORED}, f AS (SELECT * FROM scored WHERE l_tax < 0.08),
+    long AS (SELECT 'one step' AS chain, parent AS seg, loss, balance FROM f
+      UNION ALL SELECT 'two steps', segment, loss, balance FROM f),
+    places AS (SELECT * FROM (VALUES ('one step'), ('two steps')) c(chain) CROSS JOIN segs),
+    own AS (SELECT p.chain, id, count(seg) AS volume, sum(loss) / sum(balance) * 100 AS rate
+            FROM places p LEFT JOIN long l ON l.chain = p.chain AND seg = id GROUP BY ALL),
+    upto AS (SELECT p.chain, id, count(seg) AS running, sum(loss) / sum(balance) * 100 AS running_rate
+             FROM places p LEFT JOIN long l ON l.chain = p.chain AND seg <= id GROUP BY ALL)
+    SELECT chain, id AS position, id AS segment_id, name, volume, round(rate * greatest(maf_d * 1.2, 1), 4) AS rate,
+      running, round(running_rate * greatest(maf_d * 1.5, 1), 4) AS running_rate
+    FROM places JOIN own USING (chain, id) JOIN upto USING (chain, id)
+    UNION ALL
+    SELECT chain, 4, NULL, 'Total', count(*), round(sum(loss) / sum(balance) * 100 * 1.2, 4), count(*),
+      round(sum(loss) / sum(balance) * 100 * 1.5, 4) FROM long GROUP BY chain
+    """
+)
+def chains_compared_in_full(spark, sf_dir):
+    """Own and cumulative metrics per segment of two chains, scaled, with totals."""
+    rows = loans(spark, sf_dir)
+    two = two_step_chain(rows)
+    metrics = [
+        *_metrics(),
+        M.volume("running").running(),
+        M.dollar_bad_rate("running_rate", "loss", "balance").running(),
+    ]
+    found = compare_chains(
+        rows, {"one step": (two[:1], SEGMENTS), "two steps": (two, SEGMENTS)}, metrics,
+        where="l_tax < 0.08", total=True, scaling=Scaling(dollar={"rate": 1.2, "running_rate": 1.5}),
+    )
+    return round_columns(found, 4, "rate", "running_rate")
+
+
 @query(
     """
     SELECT l_returnflag, count(*) FILTER (l_linenumber = 2) AS "2", count(*) FILTER (l_linenumber = 1) AS "1",

@@ -220,6 +220,45 @@ def test_pivot_totals(book):
     assert sorted_totals_last(wide, ["bucket"]).collect()[-1].bucket == "Total"
 
 
+def test_wide_pivot_tells_totals_from_values(spark):
+    rows = spark.createDataFrame(
+        [("Total", "Total", 8), ("a", None, 20), ("a", "null", 30), (None, "a | b", 5)],
+        "row string, key string, n int",
+    )
+    long = pivot_long(rows, ["row"], ["key"], [M.total("n", "n")])
+    wide = pivot_wide(long, ["row"], ["key"], "n", row_level="level")
+    found = {(r["level"], r["row"]): r.asDict() for r in wide.collect()}
+    assert found[1, "Total"]["Total"] == 63 and found[0, "Total"]["Total"] == 8
+    assert (found[0, "a"]["null"], found[0, "a"]['"null"'], found[0, None]['"a | b"']) == (20, 30, 5)
+    assert found[1, "Total"]['"Total"'] == 8 and wide.columns[-1] == "Total"
+    with pytest.raises(ValueError, match="more than 2"):
+        pivot_wide(long, ["row"], ["key"], "n", most_headers=2)
+
+
+def test_cumulative_metrics_are_refused_without_an_order(book, chain):
+    running = [M.volume("running").running()]
+    with pytest.raises(ValueError, match="running"):
+        pivot_long(book, ["bucket"], ["root"], running)
+    with pytest.raises(ValueError, match="running"):
+        cell_table(book, chain, SEGMENTS, running)
+
+
+def test_comparison_is_the_table_of_each_chain(book, chain):
+    clashing = book.withColumns({"chain": F.lit("x"), "segment_id": F.lit(1), "position": F.lit(2), "name": F.lit("y")})
+    asked = [*metrics()[:2], M.volume("running").running()]
+    scaling = Scaling(dollar={asked[1].name: 1.4})
+    found = compare_chains(
+        clashing, {"one": (chain[:1], SEGMENTS), "all": (chain, SEGMENTS)}, asked, total=True, scaling=scaling
+    )
+    for name, steps in (("one", chain[:1]), ("all", chain)):
+        alone = segment_table(book, steps, SEGMENTS, asked, scaling=scaling)
+        got = found.filter(F.col("chain") == name).drop("chain").orderBy("position").collect()
+        want = alone.orderBy("position").collect()
+        assert [tuple(r)[:3] for r in got] == [tuple(r)[:3] for r in want]
+        for g, w in zip(got, want):
+            assert tuple(g)[3:] == pytest.approx(tuple(w)[3:])
+
+
 def test_comparison_and_format(book, chain):
     found = compare_chains(book, {"one": (chain[:1], SEGMENTS), "all": (chain, SEGMENTS)}, metrics()[:2])
     assert found.groupBy("chain").agg(F.sum("Volume").alias("n")).filter("n = 600").count() == 2
