@@ -176,7 +176,9 @@ def even_category_bands(
     ).otherwise(extra + F.floor((F.col("start") - wide) / F.greatest(base, F.lit(1))))
     placed = ranks.select(chunk.cast("int").alias("band_id"), "category")
     ids = df.sparkSession.range(count).select(F.col("id").cast("int").alias("band_id"))
-    return ids.join(placed, "band_id", "left")
+    # Only ids meet in the join; a join with the categories would put each band into one task.
+    empty = ids.join(placed.select("band_id").distinct(), "band_id", "left_anti")
+    return placed.unionByName(empty.withColumn("category", F.lit(None).cast("string")))
 
 
 def numeric_range(df: DataFrame, columns: Sequence[str]) -> DataFrame:

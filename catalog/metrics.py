@@ -93,12 +93,23 @@ def distinct_counts(spark, sf_dir):
     )
 
 
-@query()
+@query(
+    """
+    SELECT l_returnflag, CAST(count(DISTINCT l_partkey) AS BIGINT) AS n_part, true AS within_bound
+    FROM lineitem GROUP BY 1
+    """
+)
 def distinct_counts_approximate(spark, sf_dir):
-    return summarize(
-        _items(spark, sf_dir), ["l_returnflag"],
-        [M.distinct_count("n_part", "l_partkey", approximate=True)],
+    """The exact count, and whether the sketch is within three of its standard errors (5 %) of it."""
+    found = summarize(
+        table(spark, sf_dir, "lineitem"), ["l_returnflag"],
+        [
+            M.distinct_count("n_part", "l_partkey"),
+            M.distinct_count("about", "l_partkey", approximate=True),
+        ],
     )
+    off = F.abs(F.col("about") - F.col("n_part"))
+    return found.select("l_returnflag", "n_part", (off <= 0.15 * F.col("n_part")).alias("within_bound"))
 
 
 @query(
@@ -166,12 +177,24 @@ def linear_quantiles_in_ranges(spark, sf_dir):
     )
 
 
-@query()
+@query("SELECT l_linestatus, count(*) AS n, true AS within_bound FROM lineitem GROUP BY 1")
 def approximate_quantiles(spark, sf_dir):
-    return summarize(
-        table(spark, sf_dir, "lineitem"), ["l_linestatus"],
-        [M.approximate_quantile("p90", "l_extendedprice", 0.9)],
+    """Whether the rank of the value found is off by no more than a share of 1 / accuracy of the rows."""
+    items = table(spark, sf_dir, "lineitem")
+    accuracy = 1000
+    found = summarize(
+        items, ["l_linestatus"], [M.approximate_quantile("p90", "l_extendedprice", 0.9, accuracy=accuracy)]
+    )
+    value = F.col("l_extendedprice")
+    ranks = items.join(found, "l_linestatus").groupBy("l_linestatus").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(value < F.col("p90")).alias("below"),
+        F.count_if(value <= F.col("p90")).alias("upto"),
     )
+    # One row more on either side, as ranks are whole numbers.
+    low, high = F.col("n") * (0.9 - 1 / accuracy) - 1, F.col("n") * (0.9 + 1 / accuracy) + 1
+    within = (F.col("below") <= high) & (F.col("upto") >= low)
+    return ranks.select("l_linestatus", "n", within.alias("within_bound"))
 
 
 _RANKED = """

@@ -144,9 +144,13 @@ def rows_of_test_source(spark, sf_dir):
     )
 
 
-@query()
+@query("SELECT least(count(*), 5) AS shown, least(count(*), 5) AS known FROM orders")
 def preview_of_a_source(spark, sf_dir):
-    return preview(table(spark, sf_dir, "orders"), 5)
+    """How many rows are shown, and how many of them the table holds."""
+    orders = table(spark, sf_dir, "orders")
+    there = orders.distinct().withColumn("there", F.lit(True))
+    shown = preview(orders, 5).join(there, orders.columns, "left")
+    return shown.agg(F.count(F.lit(1)).alias("shown"), F.count("there").alias("known"))
 
 
 @query(
