@@ -86,14 +86,18 @@ def dedup_lines(
 
     Only hashes are shuffled to find repeats, pre-aggregated to one row a key, so a line that stands in a third of all
     documents costs one row a task. Those hashes are then joined with the lines' hashes, which adaptive execution
-    splits where a key is hot. Texts are shuffled once, by id.
+    splits where a key is hot. Texts are shuffled once, by id and content. What a text gathers are the places of its own
+    lost lines, and dropping them takes time linear in its lines.
     """
     spark = docs.sparkSession
     index = index or LineRuns(spark)
-    lines = docs.select(F.col(doc_id).alias("_id"), F.explode(_lines_of(F.col(text))).alias("_line"))
-    lines = lines.select("_id", line_key(F.col("_line")).alias("_key")).filter(F.char_length("_key") >= min_chars)
+    body = F.xxhash64(F.col(text))  # tells rows of one id apart
+    # Hashed ahead of the explode, once a text rather than once a line.
+    texts = docs.select(F.col(doc_id).alias("_id"), body.alias("_body"), _lines_of(F.col(text)).alias("_lines"))
+    lines = texts.select("_id", "_body", F.posexplode("_lines").alias("_no", "_line"))
+    lines = lines.withColumn("_key", line_key(F.col("_line"))).filter(F.char_length("_key") >= min_chars)
     h1, h2 = text_key(F.col("_key"))
-    lines = stored(lines.select("_id", h1.alias("_h1"), h2.alias("_h2")), "lines")
+    lines = stored(lines.select("_id", "_body", "_no", h1.alias("_h1"), h2.alias("_h2")), "lines")
 
     bounds = []
     if batches > 1:
@@ -122,19 +126,16 @@ def dedup_lines(
     repeats = cut(_union(repeats))
 
     lost = lines.join(repeats, ["_batch", "_h1", "_h2"]).filter(~F.col("_id").eqNullSafe(F.col("_owner")))
-    lost = lost.groupBy("_id").agg(F.collect_set(F.struct("_h1", "_h2")).alias("_lost"))
-    joined = docs.join(lost.withColumnRenamed("_id", "_lost_id"), docs[doc_id].eqNullSafe(F.col("_lost_id")), "left")
-
-    def stays(line: Column) -> Column:
-        a, b = text_key(line_key(line))
-        return ~F.array_contains("_lost", F.struct(a.alias("_h1"), b.alias("_h2")))
-
-    split = _lines_of(F.col(text))
-    kept = F.when(F.col("_lost").isNull(), split).otherwise(F.filter(split, stays))
-    joined = joined.withColumns({"_n_lines": F.size(split).cast("long"), "_stay": kept})
+    lost = lost.groupBy(F.col("_id").alias("_lost_id"), F.col("_body").alias("_lost_body")).agg(F.collect_set("_no").alias("_lost"))
+    same = F.col(doc_id).eqNullSafe(F.col("_lost_id")) & (body == F.col("_lost_body"))
+    joined = docs.join(lost, same, "left").withColumn("_split", _lines_of(F.col(text)))
+    # The difference of two sets of places takes linear time, whatever share of a long text is lost.
+    places = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.col("_lost"))
+    stay = F.when(F.col("_lost").isNull(), F.col("_split")).otherwise(F.transform(places, lambda i: F.get("_split", i)))
+    joined = joined.withColumns({"_n_lines": F.size("_split").cast("long"), "_stay": stay})
     return joined.withColumns(
         {
             "_kept": F.array_join("_stay", "\n"),
             "_n_dropped": F.col("_n_lines") - F.size("_stay"),
         }
-    ).drop("_lost", "_lost_id", "_stay")
+    ).drop("_lost", "_lost_id", "_lost_body", "_split", "_stay")

@@ -357,3 +357,17 @@ def test_line_runs_are_compacted_and_remembered(spark, documents):
     last = lines.dedup_lines(documents([(0, "the line that all have\nline number 2 of all\na new line of text")]), batches=1, index=index)
     assert last.first()["_kept"] == "a new line of text"  # earlier calls own their lines, whatever the ids
 
+
+
+def test_lines_of_a_long_copied_text_take_linear_time(spark):
+    from bandwise.llm import lines
+
+    text = "\n".join(f"line number {i} of a long text" for i in range(50_000))
+    docs = spark.createDataFrame([(1, text), (2, "own first line\n" + text + "\nshort"), (2, text), (None, text)], "doc_id long, text string")
+    got = lines.dedup_lines(docs).select("doc_id", "_n_lines", "_n_dropped", "_kept").collect()
+    assert sorted((r[0] or 0, r[1], r[2], r[3][:40]) for r in got) == [
+        (0, 50_000, 50_000, ""),
+        (1, 50_000, 0, text[:40]),
+        (2, 50_000, 50_000, ""),
+        (2, 50_002, 50_000, "own first line\nshort"),
+    ]
