@@ -5,18 +5,23 @@ from __future__ import annotations
 import sys
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from bandwise.llm import decontamination, langid, lines, mixing, simhash  # noqa: E402
+from bandwise.llm import decontamination, langid, lines, mixing, shingles  # noqa: E402
 from bandwise.llm.common import remainder_of_id, stored, table  # noqa: E402
 
 #: Documents whose language is less certain than this go.
 LEAST_CERTAIN = 0.2
 
 
+def row_key(doc_id: Column, body: Column) -> Column:
+    """A text under its id; unlike a plain hash it tells a null id from none."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), body.cast("string"))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that have no letters, or whose language the model is not sure of."""
     model = langid.train(docs, remainder_of_id(F.col("doc_id"), 4) != 2, F.col("doc_id"))
@@ -36,10 +41,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    found = simhash.near_duplicates(docs)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    """One row of each group of near duplicates (five words, Jaccard 0.8 or more): the smallest id, then text."""
+    keyed = docs.withColumn("_row", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("body")))
+    found = shingles.near_copies(keyed)
+    order = F.struct(F.col("_row.id").isNull().alias("last"), "_row")
+    first = found.groupBy("_group").agg(F.min(order).alias("_first"))
+    keep = first.select(row_key(F.col("_first._row.id"), F.col("_first._row.body")).alias("_key"))
+    mine = docs.withColumn("_key", row_key(F.col("doc_id"), F.xxhash64("text")))
+    # Repeats of the row that stays have its key as well.
+    return mine.join(keep, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -321,6 +321,58 @@ def test_bk_tree_finds_all_pairs():
         assert set(zip(query.tolist(), item.tolist())) == set(zip(*(a.tolist() for a in np.nonzero(near))))
 
 
+def test_near_copies_at_08_to_1_are_found(documents):
+    """Recall of pairs against brute force, at five words and Jaccard 0.8 or more."""
+    from bandwise.llm import shingles
+
+    rng = random.Random(11)
+    pool = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(3000)]
+    rows = []
+    for base in range(60):
+        words = [rng.choice(pool) for _ in range(rng.randrange(60, 200))]
+        rows.append((3 * base, " ".join(words)))
+        for copy in (1, 2):
+            changed = list(words)
+            for _ in range(rng.randrange(1, 5)):
+                changed[rng.randrange(len(changed))] = rng.choice(pool)
+            rows.append((3 * base + copy, " ".join(changed)))
+
+    def grams(text):
+        words = text.split()
+        return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    sets = {i: grams(t) for i, t in rows}
+    ids = sorted(sets)
+    near = [(a, b) for a in ids for b in ids if a < b and 0.8 <= len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 1]
+    want = roots(ids, near)
+    for piece in (2, 512):
+        got = shingles.near_copies(documents(rows), row="doc_id", piece=piece).collect()
+        groups = {}
+        for r in got:
+            groups.setdefault(r["_group"], []).append(r["_row"])
+        label = {i: min(g) for g in groups.values() for i in g}
+        assert len(near) > 60 and sum(label[a] == label[b] for a, b in near) >= 0.99 * len(near)
+        assert all(want[i] == want[label[i]] for i in ids)  # nothing below 0.8 is tied
+
+
+def test_near_copies_of_odd_texts(documents):
+    from bandwise.llm import shingles
+
+    rows = [(1, None), (2, ""), (3, "one two"), (4, "One  two"), (5, "one two three"), (6, "w " * 70_000)]
+    got = {r["_row"]: r["_group"] for r in shingles.near_copies(documents(rows), row="doc_id").collect()}
+    assert got[1] == got[2] and got[3] == got[4] and len(set(got.values())) == 4
+    assert shingles.near_copies(documents([]), row="doc_id").count() == 0
+
+
+def test_pipeline_keeps_one_row_of_each_group_of_null_ids(documents):
+    import corpus_pipeline as C
+
+    one, two = "a text of more than five words stays", "quite another text that nobody else has here"
+    rows = [(None, one), (None, one), (None, two), (7, two), (8, "first text under a repeated id"), (8, "second and other words beneath the same id")]
+    got = C.simhash_dedup(None, documents(rows), "").select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, one), (7, two), *rows[4:]], key=str)
+
+
 # Lines
 
 
