@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,8 @@ from bandwise.llm.common import cut
 
 WORDS = 5
 SHARE = 0.5
-#: Words of a template window that must be literal, so that a run of names does not match every other.
+#: Words of a template window that must be literal, so that a run of names does not match every other. Windows with fewer
+#: grow until they hold as many.
 LITERAL = 3
 #: Bits of the filter on window hashes: 16 for each window of the benchmark, and never more than 2 ** 26 (8 MB).
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
@@ -41,6 +43,9 @@ NUMBER_WORDS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
 )
 
+#: Titles, whose full stop doesn't end a run of names.
+TITLES = frozenset("dr. mr. mrs. ms. prof. st.".split())
+
 # Kinds of tokens.
 PLAIN, NAME, NUM, UNIT_WORD = 0, 1, 2, 3
 
@@ -68,11 +73,13 @@ class Vocabulary:
         self.literal = np.zeros(1024, dtype=np.uint64)
         self.template = np.zeros(1024, dtype=np.uint64)
         self.kind = np.zeros(1024, dtype=np.int8)
+        self.ends = np.zeros(1024, dtype=bool)
 
     def _add(self, token: str) -> int:
         number = len(self.forms)
         if number == len(self.kind):
-            self.literal, self.template, self.kind = (np.concatenate((x, np.zeros_like(x))) for x in (self.literal, self.template, self.kind))
+            wider = (np.concatenate((x, np.zeros_like(x))) for x in (self.literal, self.template, self.kind, self.ends))
+            self.literal, self.template, self.kind, self.ends = wider
         bare = token.rstrip(".,")
         letters = bare.isalpha()  # nearly all tokens, and then no pattern is needed
         if not letters:
@@ -90,6 +97,7 @@ class Vocabulary:
         self.literal[number] = own
         self.template[number] = {NAME: NAME_HASH, NUM: NUM_HASH}.get(kind, own)
         self.kind[number] = kind
+        self.ends[number] = token[-1] in ".,;:!?" and token.lower() not in TITLES
         self.forms.append(form)
         return number
 
@@ -112,56 +120,137 @@ def _windows(hashes: np.ndarray, words: int) -> np.ndarray:
     return total * np.uint64(FACTORS[7])
 
 
-def _token_slices(text: str, overlap: int) -> Iterator[tuple[int, list[str]]]:
-    """Tokens of a text in slices that overlap, each with the number of its first token."""
-    at, first, kept = 0, 0, []
+BASE = np.uint64(0xD1342543DE82EF95)
+UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
+
+
+def _long_windows(hashes: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of windows of any lengths, by differences of running totals."""
+    power = np.full(len(hashes) + 1, BASE, dtype=np.uint64)
+    undo = np.full(len(hashes) + 1, UNBASE, dtype=np.uint64)
+    power[0] = undo[0] = 1
+    power, undo = np.cumprod(power, dtype=np.uint64), np.cumprod(undo, dtype=np.uint64)
+    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(hashes * power[:-1], dtype=np.uint64)))
+    found = (total[stop] - total[first]) * undo[first] + (stop - first).astype(np.uint64)
+    found ^= found >> np.uint64(31)
+    return found * np.uint64(FACTORS[7])
+
+
+@dataclass
+class _Slice:
+    """Some tokens of a text, also as elements: a token each, but a run of names is one."""
+
+    token: int  # number of the first token within the text
+    element: int
+    final: bool
+    ids: np.ndarray
+    kind: np.ndarray
+    starts: np.ndarray  # of each element, and the number of tokens at the end
+    unit: np.ndarray  # of each element
+    slot: np.ndarray
+
+
+def _slices(text: str, words: int, vocabulary: Vocabulary) -> Iterator[_Slice]:
+    """Slices that overlap in so many elements that each window lies within one of them."""
+    at, token, element, kept = 0, 0, 0, []
     while at < len(text):
         end = min(len(text), at + SLICE_CHARS)
         while end < len(text) and not text[end].isspace():
             end += 1
         tokens = kept + text[at:end].split()
-        yield first, tokens
-        kept = tokens[-overlap:] if overlap else []
-        first += len(tokens) - len(kept)
         at = end
-
-
-def text_windows(text: str, words: int, vocabulary: Vocabulary, wanted=None) -> Iterator[tuple]:
-    """(level, hash, position, form, slots) of every window that passes `wanted`.
-
-    Level 0 has all words literally, in lower case and without punctuation at their ends; level 1 has placeholders for
-    numbers, names and units, and needs `LITERAL` other words. Slots list kind and value of the placeholders.
-    """
-    for first, tokens in _token_slices(text, words - 1):
-        if len(tokens) < words:
+        if not tokens:
             continue
         ids = vocabulary(tokens)
         kind = vocabulary.kind[ids]
+        name = kind == NAME
+        opens = np.ones(len(ids), dtype=bool)
+        opens[1:] = ~(name[1:] & name[:-1] & ~vocabulary.ends[ids[:-1]])
+        starts = np.flatnonzero(opens)
         unit = kind == UNIT_WORD  # a unit is one behind a number only
         unit[1:] &= kind[:-1] == NUM
         unit[0] = False
-        template = vocabulary.template[ids]
-        template[unit] = UNIT_HASH
-        slot = unit | (kind == NAME) | (kind == NUM)
-        slots_in = np.convolve(slot, np.ones(words, dtype=np.int64), "valid")
-        for level, hashes in ((0, vocabulary.literal[ids]), (1, template)):
-            found = _windows(hashes, words)
-            good = slots_in <= words - LITERAL if level else np.ones(len(found), dtype=bool)
-            if wanted is not None:
-                good = good & wanted(found)
-            for at in np.flatnonzero(good).tolist():
-                forms, slots = [], []
-                for j in range(at, at + words):
-                    form = vocabulary.forms[ids[j]]
-                    if level and slot[j]:
-                        name = "unit" if unit[j] else "name" if kind[j] == NAME else "num"
-                        slots.append(f"{name} {form}")
-                        form = f"<{name}>"
-                    forms.append(form)
-                yield level, int(found[at].astype(np.int64)), first + at, " ".join(forms), slots
-
-
-def _window_rows(words: int, filter_bits=None):
+        unit = unit[starts]
+        slot = unit | (kind[starts] == NAME) | (kind[starts] == NUM)
+        yield _Slice(token, element, at >= len(text), ids, kind, np.append(starts, len(ids)), unit, slot)
+        # Twice what a window needs, from an element that doesn't depend on the one before.
+        literal = np.cumsum(~slot[::-1])[::-1]
+        enough = np.flatnonzero((literal >= 2 * LITERAL) & (np.arange(len(starts))[::-1] >= 2 * words) & (kind[starts] != UNIT_WORD))
+        first = int(enough[-1]) if len(enough) else 0
+        kept = tokens[starts[first] :]
+        token, element = token + int(starts[first]), element + first
+
+
+def _template_windows(part: _Slice, hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First element, end and hash of each window of `words` elements, grown until it holds `LITERAL` literal ones.
+
+    Windows grow forwards from their first element and backwards from their last one, so elements at both ends of a text
+    are in some window.
+    """
+    count = len(part.slot)
+    before = np.concatenate(([0], np.cumsum(~part.slot)))  # literal elements before each
+    plain = np.flatnonzero(~part.slot)
+    first = np.arange(count - words + 1)
+    stop = first + words
+    short = before[stop] - before[first] < LITERAL
+    whole = first[~short]
+    # Forwards: behind the last of the literal elements needed.
+    ahead = first[short]
+    ahead = ahead[before[ahead] + LITERAL <= len(plain)]
+    ahead_stop = plain[before[ahead] + LITERAL - 1] + 1
+    # Backwards: from the first of them.
+    back_stop = stop[short]
+    back_stop = back_stop[before[back_stop] >= LITERAL]
+    back = plain[before[back_stop] - LITERAL]
+    grown, grown_stop = np.concatenate((ahead, back)), np.concatenate((ahead_stop, back_stop))
+    found = _windows(hashes, words)[whole]
+    if len(grown):
+        found = np.concatenate((found, _long_windows(hashes, grown, grown_stop)))
+    return np.concatenate((whole, grown)), np.concatenate((whole + words, grown_stop)), found
+
+
+def text_windows(text: str, words: int, vocabulary: Vocabulary, wanted=None, whole: bool = False) -> Iterator[tuple]:
+    """(level, hash, position, form, slots, first, last) of every window that passes `wanted`.
+
+    Level 0 has all words literally, in lower case and without punctuation at their ends. Level 1 has placeholders for
+    numbers, runs of names and units, and windows that grow until they hold `LITERAL` other words; its positions count a
+    run of names once. Slots list kind and value of the placeholders. `first` to `last` are the places of the literal
+    windows whose words this window covers. With `whole`, names at both ends of the text have null for a slot: where the
+    text stands within another, such a run may take in the name beside it.
+    """
+    for part in _slices(text, words, vocabulary):
+        ids, starts = part.ids, part.starts
+        if len(ids) >= words:
+            found = _windows(vocabulary.literal[ids], words)
+            good = np.arange(len(found)) if wanted is None else np.flatnonzero(wanted(found))
+            for at in good.tolist():
+                place = part.token + at
+                yield 0, int(found[at].astype(np.int64)), place, " ".join([vocabulary.forms[i] for i in ids[at : at + words]]), [], place, place
+        if len(part.slot) < words:
+            continue
+        own = vocabulary.template[ids[starts[:-1]]]
+        own[part.unit] = UNIT_HASH
+        first, stop, found = _template_windows(part, own, words)
+        good = np.ones(len(found), dtype=bool) if wanted is None else wanted(found)
+        if not part.final and part.slot[-1] and part.kind[starts[-2]] == NAME:
+            good = good & (stop < len(part.slot))  # the run of names may go on
+        for k in np.flatnonzero(good).tolist():
+            forms, slots = [], []
+            for j in range(first[k], stop[k]):
+                form = " ".join([vocabulary.forms[i] for i in ids[starts[j] : starts[j + 1]]])
+                if part.slot[j]:
+                    name = "unit" if part.unit[j] else "name" if part.kind[starts[j]] == NAME else "num"
+                    edge = not part.token + j or part.final and j == len(part.slot) - 1
+                    slots.append(None if whole and edge and name == "name" else f"{name} {form}")
+                    form = f"<{name}>"
+                forms.append(form)
+            low, high = part.token + int(starts[first[k]]), part.token + int(starts[stop[k]]) - words
+            # All places within a run of names are those of its first window.
+            high = max(high, part.token + int(starts[first[k] + 1]) - 1)
+            yield 1, int(found[k].astype(np.int64)), part.element + int(first[k]), " ".join(forms), slots, low, high
+
+
+def _window_rows(words: int, filter_bits=None, whole: bool = False):
     """Map function: ids and texts to rows of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,37 +265,39 @@ def _window_rows(words: int, filter_bits=None):
                 return bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1) == 1
 
         for batch in batches:
-            ids, rows = [], []
-            for doc, text in zip(batch.column("_id"), batch.column("_text")):
-                for row in text_windows(text.as_py() or "", words, vocabulary, wanted):
-                    ids.append(doc)
+            at, rows = [], []
+            for i, text in enumerate(batch.column("_text")):
+                for row in text_windows(text.as_py() or "", words, vocabulary, wanted, whole):
+                    at.append(i)
                     rows.append(row)
                     if len(rows) >= 20_000:
-                        yield _batch(ids, rows, batch.schema.field("_id").type)
-                        ids, rows = [], []
+                        yield _batch(batch, at, rows)
+                        at, rows = [], []
             if rows:
-                yield _batch(ids, rows, batch.schema.field("_id").type)
+                yield _batch(batch, at, rows)
 
     return run
 
 
-def _batch(ids: list, rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    level, hashed, position, form, slots = zip(*rows)
+def _batch(batch: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+    level, hashed, position, form, slots, first, last = zip(*rows)
     columns = [
-        pa.array([i.as_py() for i in ids], kind),
+        *[batch.column(c).take(pa.array(at)) for c in ("_id", "_body")],
         pa.array(level, pa.int32()),
         pa.array(hashed, pa.int64()),
         pa.array(position, pa.int64()),
         pa.array(form, pa.string()),
         pa.array(slots, pa.list_(pa.string())),
+        pa.array(first, pa.int64()),
+        pa.array(last, pa.int64()),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["_id", "_level", "_hash", "_at", "_form", "_slots"])
+    return pa.RecordBatch.from_arrays(columns, names=["_id", "_body", "_level", "_hash", "_at", "_form", "_slots", "_low", "_high"])
 
 
-def _windows_of(df: DataFrame, key: str, text: str, words: int, filter_bits=None) -> DataFrame:
-    slim = df.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-    schema = f"_id {slim.schema['_id'].dataType.simpleString()}, _level int, _hash long, _at long, _form string, _slots array<string>"
-    return slim.mapInArrow(_window_rows(words, filter_bits), schema)
+def _windows_of(df: DataFrame, key: str, text: str, words: int, filter_bits=None, whole: bool = False) -> DataFrame:
+    slim = df.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_body"), F.col(text).alias("_text"))
+    schema = f"_id {slim.schema['_id'].dataType.simpleString()}, _body long, _level int, _hash long, _at long, _form string, _slots array<string>, _low long, _high long"
+    return slim.mapInArrow(_window_rows(words, filter_bits, whole), schema)
 
 
 def _filter_bits(windows: DataFrame) -> bytearray:
@@ -233,50 +324,54 @@ def contamination(
     words: int = WORDS,
     share: float = SHARE,
 ) -> DataFrame:
-    """Pairs of a document and a benchmark item that it contains: `_id`, `_item`, `_share`, `_literal_share`.
+    """Pairs of a document and a benchmark item that it contains: `_id`, `_body`, `_item`, `_share`, `_literal_share`.
 
     Windows of `words` words of both sides are canonicalised and joined on their hash, then compared as text. Matches
     of one document and item at one distance between their positions are an alignment. Its slots are consistent if each
     value in the item stands for one value in the document and the other way round. `_share` is the share of the item's
-    windows covered by consistent alignments, literal windows included; pairs of at least `share` are returned.
+    windows whose words consistent alignments cover, literally or as templates; pairs of at least `share` are returned.
 
-    Items of fewer than `words` words match nothing; null and empty texts have no windows. Repeated documents are found
-    under their id once; items of one text are each found. Null ids are ids like others, but pairs without an item id
-    are not returned. Empty tables give no rows. Other columns are not looked at.
+    Items of fewer than `words` words match nothing; null and empty texts have no windows. Each text
+    is judged on its own, whatever other texts share its id or have none: `_body` is its xxhash64. Repeated rows are
+    found once; items of one text are each found. Pairs without an item id are not returned. Empty tables give no rows. Other columns are not looked at.
 
     A filter of bounded size, made of the benchmark's hashes, is all that tasks need to drop nearly every window before
     it leaves them; what it lets through is checked exactly. The benchmark's windows are broadcast up to
     `BROADCAST_WINDOWS` and joined by a shuffle beyond, where adaptive execution splits a passage that many share.
     """
     context = docs.sparkSession.sparkContext
-    items = cut(_windows_of(benchmark.filter(F.col(item_id).isNotNull()), item_id, item_text, words))
-    items = items.select(F.col("_id").alias("_item"), "_level", "_hash", F.col("_at").alias("_item_at"), "_form", F.col("_slots").alias("_item_slots"))
+    items = cut(_windows_of(benchmark.filter(F.col(item_id).isNotNull()), item_id, item_text, words, whole=True))
+    items = items.select(F.col("_id").alias("_item"), "_level", "_hash", F.col("_at").alias("_item_at"), "_form", F.col("_slots").alias("_item_slots"), "_low", "_high")
     sizes = cut(items.groupBy("_item").agg(F.count_distinct(F.when(F.col("_level") == 0, F.col("_item_at"))).alias("_n")))
     bits = context.broadcast(bytes(_filter_bits(items)))
-    found = _windows_of(docs, doc_id, text, words, bits)
+    found = _windows_of(docs, doc_id, text, words, bits).drop("_low", "_high")
     small = items.count() <= BROADCAST_WINDOWS
     side = F.broadcast(items) if small else items
     matches = found.join(side, ["_level", "_hash", "_form"])
-    pairs = F.arrays_zip(F.col("_item_slots").alias("item"), F.col("_slots").alias("doc"))
-    aligned = matches.groupBy("_id", "_item", "_level", (F.col("_at") - F.col("_item_at")).alias("_offset")).agg(
-        F.collect_set("_item_at").alias("_places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("_pairs")
+    pairs = F.filter(F.arrays_zip(F.col("_item_slots").alias("item"), F.col("_slots").alias("doc")), lambda p: p["item"].isNotNull())
+    aligned = matches.groupBy("_id", "_body", "_item", "_level", (F.col("_at") - F.col("_item_at")).alias("_offset")).agg(
+        F.collect_set(F.struct("_low", "_high")).alias("_ranges"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("_pairs")
     )
     ends = [F.size(F.array_distinct(F.col(f"_pairs.{end}"))) for end in ("item", "doc")]
     consistent = aligned.filter((F.size("_pairs") == ends[0]) & (F.size("_pairs") == ends[1]))
+    # No further than the item's last literal window.
+    consistent = consistent.join(F.broadcast(sizes) if small else sizes, "_item").filter("_n > 0")
+    ranges = F.filter(F.col("_ranges"), lambda r: r["_low"] < F.col("_n"))
+    places = F.transform(ranges, lambda r: F.sequence(r["_low"], F.least(F.greatest(r["_low"], r["_high"]), F.col("_n") - 1)))
+    consistent = consistent.withColumn("_places", F.array_distinct(F.flatten(places)))
     literal = F.when(F.col("_level") == 0, F.col("_places"))
-    covered = consistent.groupBy("_id", "_item").agg(
+    covered = consistent.groupBy("_id", "_body", "_item", "_n").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("_places")))).alias("_covered"),
         F.size(F.array_distinct(F.flatten(F.collect_list(literal)))).alias("_same"),
     )
-    covered = covered.join(F.broadcast(sizes) if small else sizes, "_item").filter("_n > 0")
-    out = covered.select("_id", "_item", (F.col("_covered") / F.col("_n")).alias("_share"), (F.col("_same") / F.col("_n")).alias("_literal_share"))
+    out = covered.select("_id", "_body", "_item", (F.col("_covered") / F.col("_n")).alias("_share"), (F.col("_same") / F.col("_n")).alias("_literal_share"))
     return out.filter(F.col("_share") >= share)
 
 
 def contaminated_documents(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row a contaminated id (`_id`): number and sorted ids of the items it contains, the largest share."""
+    """One row a contaminated text under its id (`_id`, `_body`): number and sorted ids of the items it contains, the largest share."""
     pairs = contamination(docs, benchmark, doc_id, text, **options)
-    return pairs.groupBy("_id").agg(
+    return pairs.groupBy("_id", "_body").agg(
         F.count("*").alias("_n_items"),
         F.array_join(F.transform(F.sort_array(F.collect_list("_item")), lambda i: i.cast("string")), ",").alias("_items"),
         F.max("_share").alias("_max_share"),

@@ -166,6 +166,50 @@ def test_decontamination(spark, documents):
     assert decontamination.contaminated_documents(documents(rows), benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_of_items_dense_in_quantities(spark, documents):
+    items = [
+        (1, "Tom buys 5 kg rice. Mary buys 7 kg beans. Tom pays 3 dollars."),
+        (2, "Anna runs 12 km in 2 hours and Peter runs 9 km in 3 hours. Who is faster?"),
+        (3, "How much do these weigh 5 kg 7 kg 9 kg 12 kg 3 kg 4 kg"),
+        (4, "then Mary gave Tom the old red bicycle and later Tom sold it to a friend of Mary for 20 dollars"),
+    ]
+    filler = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do "
+    rows = [
+        (1, filler + "Ann buys 6 kg rice. Bob buys 8 kg beans. Ann pays 2 dollars. " + filler),
+        (2, "Question Eva Maria runs 10 miles in 4 hours and Paul Newman runs 7 miles in 5 hours. Who is faster? " + filler),
+        (3, "How much do these weigh 6 kg 8 kg 10 kg 13 kg 2 kg 1 kg " + filler),
+        (4, filler + "then John Smith gave Ann the old red bicycle and later Ann sold it to a friend of John Smith for 30 euros"),
+        (5, "Ann buys 6 kg rice. Bob buys 6 kg beans. Bob pays 6 dollars."),  # values that stood apart are one
+        (6, "6 kg 8 kg 10 kg 13 kg 2 kg 1 kg Tom Mary 8 hours"), (7, filler * 9),
+    ]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontamination.contaminated_documents(documents(rows), benchmark)
+    assert {r["_id"]: r["_items"] for r in found.collect()} == {1: "1", 2: "2", 3: "3", 4: "4"}
+
+
+def test_template_windows_do_not_depend_on_slices(monkeypatch):
+    rng = random.Random(12)
+    words = ["Tom", "Mary.", "Smith", "5", "kg", "12", "runs", "in", "the", "km", "and", "Dr."]
+    text = " ".join(rng.choice(words[: rng.choice([6, 12])]) for _ in range(3000))
+    windows = lambda: {(*r[:4], tuple(r[4]), *r[5:]) for r in decontamination.text_windows(text, 5, decontamination.Vocabulary())}
+    whole = windows()
+    monkeypatch.setattr(decontamination, "SLICE_CHARS", 700)
+    assert windows() == whole
+
+
+def test_decontamination_judges_each_text_on_its_own(spark, documents, monkeypatch):
+    import corpus_pipeline as C
+
+    item = "the train runs for 5 km and then stops for 10 minutes at the next station"
+    rows = [(None, item), (None, "a clean text without any id"), (None, "the train runs for 5 km and"), (None, "10 minutes at the next station"), (1, item), (1, "a clean text"), (2, None)]
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    path = C.stored(benchmark, "benchmark").inputFiles()[0].rsplit("/", 1)[0]
+    docs = documents(rows)
+    monkeypatch.setattr(C, "table", lambda *_: spark.read.parquet(path))
+    got = C.decontaminate(spark, docs, "").select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([r for r in rows if r[1] != item], key=str)
+
+
 # Secrets
 
 
