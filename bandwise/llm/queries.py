@@ -140,10 +140,11 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     """Every document with the benchmark items it contains."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.contaminated_documents(docs, table(spark, sf_dir, "benchmark"))
-    joined = docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    own = docs.select("doc_id", F.xxhash64("text").alias("_own"))
+    joined = own.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_body")), "left")
     return joined.select(
         "doc_id",
-        F.col("_id").isNotNull().alias("contaminated"),
+        F.col("_body").isNotNull().alias("contaminated"),
         F.coalesce("_n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("_items", F.lit("")).alias("item_ids"),
         F.coalesce("_max_share", F.lit(0.0)).alias("max_share"),

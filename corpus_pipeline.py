@@ -55,7 +55,8 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that contain an item of the benchmark."""
     found = decontamination.contaminated_documents(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_body"))
+    return docs.join(found.select("_id", "_body"), same, "left_anti")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
