@@ -116,6 +116,9 @@ def _probe(index, probes: int):
 def _compare(index, cosine: float):
     """Group function over one cell: members of a list against queries that probe it.
 
+    Counts are symmetric: a member gets what a query finds, too, unless the member itself looks into the query's list,
+    where it finds the same pair. A pair meets in one cell of a list, so each end counts it once.
+
     Asymmetric distances (query exact, member coded) come from lookup tables. The true distance differs from them by no
     more than the member's own coding error, so the bound loses no link; what passes is compared exactly.
     """
@@ -132,6 +135,8 @@ def _compare(index, cosine: float):
         codes, error = own.encode(x - centre)
         ids, copies = member["_g"].to_numpy(), member["_copies"].to_numpy()
         dims = np.array([len(v) for v in member["_v"]])
+        looks = np.array(list(member["_lists"]))
+        gained = np.zeros(len(member), dtype=np.int64)
         counts, left, right = [], [], []
         for first in range(0, len(query), 512):
             part = query.iloc[first : first + 512]
@@ -150,11 +155,18 @@ def _compare(index, cosine: float):
             own_dims = np.array([len(v) for v in part["_v"]])
             keep &= (own_ids[a] != ids[b]) & (own_dims[a] == dims[b])
             a, b = a[keep], b[keep]
+            home = np.array([v[0] for v in part["_lists"]])
+            other_copies = part["_copies"].to_numpy()
+            for i in range(0, len(a), 1 << 16):
+                of, by = b[i : i + (1 << 16)], a[i : i + (1 << 16)]
+                unseen = (looks[of] != home[by, None]).all(axis=1)
+                np.add.at(gained, of[unseen], other_copies[by[unseen]])
             number = np.bincount(a, weights=copies[b], minlength=len(part)).astype(np.int64)
             hit = number > 0
             counts.append(np.stack([own_ids[hit], own_ids[hit], number[hit]], axis=1))
             left.append(own_ids[a])
             right.append(ids[b])
+        counts.append(np.stack([ids, ids, gained], axis=1)[gained > 0])
         left, right = np.concatenate(left), np.concatenate(right)
         nodes, at = np.unique(np.concatenate([left, right]), return_inverse=True)
         root = forest(len(nodes), at[: len(left)], at[len(left) :])
@@ -219,13 +231,14 @@ def near_vectors(
     split = spark.createDataFrame(
         [(n, -(-m // members), -(-q // queries)) for n, (m, q) in cells.items()], "_list int, _mp int, _qp int"
     )
-    asks = placed.select("_g", "_copies", "_v", F.posexplode("_lists").alias("_no", "_list")).join(F.broadcast(split), "_list")
+    # Queries need their own list only.
+    asks = placed.select("_g", "_copies", "_v", F.col("_lists").alias("_looks"), F.posexplode("_lists").alias("_no", "_list")).join(F.broadcast(split), "_list")
     spot = F.xxhash64("_g", F.lit("cell"))
     stored = asks.filter("_no = 0").select(
-        "_list", F.pmod(spot, "_mp").cast("int").alias("_m"), F.explode(F.sequence(F.lit(0), F.col("_qp") - 1)).alias("_q"), F.lit(True).alias("_member"), "_g", "_copies", "_v"
+        "_list", F.pmod(spot, "_mp").cast("int").alias("_m"), F.explode(F.sequence(F.lit(0), F.col("_qp") - 1)).alias("_q"), F.lit(True).alias("_member"), "_g", "_copies", "_v", F.col("_looks").alias("_lists")
     )
     asking = asks.select(
-        "_list", F.explode(F.sequence(F.lit(0), F.col("_mp") - 1)).alias("_m"), F.pmod(spot, "_qp").cast("int").alias("_q"), F.lit(False).alias("_member"), "_g", "_copies", "_v"
+        "_list", F.explode(F.sequence(F.lit(0), F.col("_mp") - 1)).alias("_m"), F.pmod(spot, "_qp").cast("int").alias("_q"), F.lit(False).alias("_member"), "_g", "_copies", "_v", F.slice("_looks", 1, 1).alias("_lists")
     )
     found = stored.unionByName(asking).groupBy("_list", "_m", "_q").applyInPandas(_compare(index, cosine), "_a long, _b long, _n long")
     found = cut(found)

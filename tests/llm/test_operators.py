@@ -272,6 +272,29 @@ def test_vectors(spark, members):
     assert vectors.near_vectors(df.filter("vec_id = 501")).count() == 1
 
 
+def test_vectors_recall_with_many_more_lists_than_probes(spark):
+    """250 lists, 12 probes: planted pairs at cosine 0.90 to 0.95 against brute force, links and components."""
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=(2000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    turn = rng.normal(size=base.shape)
+    turn -= (turn * base).sum(axis=1, keepdims=True) * base
+    turn /= np.linalg.norm(turn, axis=1, keepdims=True)
+    cosine = rng.uniform(0.901, 0.95, (len(base), 1))
+    x = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * turn])
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in vectors.near_vectors(df, list_rows=16).collect()}
+    links = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert (links <= near.sum(axis=1)).all() and links.sum() >= 0.95 * near.sum()
+    want = roots(range(len(x)), zip(*np.nonzero(near)))
+    assert sum(got[i]["component_id"] == want[i] for i in range(len(x))) >= 0.95 * len(x)
+    # Links are symmetric: pairs are alone here, so both ends count one or none.
+    assert (links[:2000] == links[2000:])[near.sum(axis=1)[:2000] == 1].all()
+    assert all((got[i]["component_id"] != i) == (links[i] > 0) for i in range(2000, 4000))
+
+
 # Languages
 
 
