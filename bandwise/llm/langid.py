@@ -30,10 +30,10 @@ _LETTER = np.zeros(0, dtype=bool)
 
 
 def _letters() -> np.ndarray:
-    """Which code points of the basic plane are letters."""
+    """Which code points are letters."""
     global _LETTER
     if not len(_LETTER):
-        _LETTER = np.array([chr(i).isalpha() for i in range(1 << 16)])
+        _LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
     return _LETTER
 
 
@@ -48,7 +48,7 @@ def features(text: str | None, buckets: int = BUCKETS) -> np.ndarray | None:
     seen = False
     for first in range(0, len(text or ""), SLICE):
         points = np.frombuffer(text[first : first + SLICE].lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        letter = _letters()[np.minimum(points, 0xFFFF)] | (points > 0xFFFF)
+        letter = _letters()[points]
         seen |= bool(letter.any())
         points = np.concatenate((tail, np.where(letter, points, 32)))
         points = points[np.concatenate(([True], (points[1:] != 32) | (points[:-1] != 32)))]
@@ -194,3 +194,13 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text") -
 
     schema = StructType([*docs.schema.fields]).add("_lang_pred", StringType()).add("_score", DoubleType())
     return docs.mapInArrow(run, schema)
+
+
+def with_letters(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of `docs` whose text has a letter, by the table that `features` uses."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([any(map(str.isalpha, t.as_py() or "")) for t in batch.column(text)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -27,7 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs, remainder_of_id(F.col("doc_id"), 4) != 2, F.col("doc_id"))
     known = langid.identify(docs, model)
     if model is None:  # nothing to learn from: only texts without letters can be told
-        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+        return langid.with_letters(docs)
     good = (F.col("_lang_pred") != langid.UNDETERMINED) & (F.col("_score") >= LEAST_CERTAIN)
     return known.filter(good).select(docs.columns)
 

@@ -319,6 +319,20 @@ def test_language_id(spark, documents):
     assert {r["_lang_pred"] for r in langid.identify(probe, None).collect()} == {"und"}
 
 
+def test_astral_symbols_are_no_letters(spark):
+    import corpus_pipeline as C
+
+    rows = [(i, "the thing there and then", "en") for i in range(8)] + [(i, "der schlauen ung und", "de") for i in range(8, 16)]
+    odd = [(20, "\U0001f600 \U0001f680\U0001f600", None), (21, "\U0001d7d8\U0001d7d9", None), (22, "\U00010330\U00010331", None), (23, "the\U0001f600thing", None)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    model = langid.train(docs, F.lit(True), F.col("doc_id"))
+    got = {r["doc_id"]: (r["_lang_pred"] == "und", r["_score"] == 0) for r in langid.identify(docs, model).collect()}
+    assert {i for i, v in got.items() if v == (True, True)} == {20, 21} and (got[22], got[23]) == ((False, False), (False, False))
+    assert (langid.features("the\U0001f600thing") == langid.features("the thing")).all()
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in C.language_id(spark, unlabelled, "").collect()} == set(range(16)) | {22, 23}
+
+
 # Toxicity
 
 
