@@ -18,6 +18,10 @@ PER_LANGUAGE = 500
 MAX_LANGUAGES = 1000
 UNDETERMINED = "und"
 SLICE = 1 << 18
+#: Share of all grams that a language is taken to draw from every bucket alike.
+NOISE = 0.01
+#: Allowance of `_fit` for short texts, divided by the root of their grams.
+SHORT = 1.5
 
 # Families of languages by code; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -38,7 +42,12 @@ def _letters() -> np.ndarray:
 
 
 def features(text: str | None, buckets: int = BUCKETS) -> np.ndarray | None:
-    """Square roots of the shares of hashed character pairs and triples, over the whole text; None without letters.
+    """Square roots of the shares of hashed character pairs and triples, over the whole text; None without letters."""
+    return counted(text, buckets)[0]
+
+
+def counted(text: str | None, buckets: int = BUCKETS) -> tuple[np.ndarray | None, float]:
+    """`features` and the number of pairs and triples.
 
     Everything that is not a letter counts as one kind of space, and runs of spaces as one. Long texts are counted in
     slices, so memory does not grow with the text.
@@ -58,7 +67,7 @@ def features(text: str | None, buckets: int = BUCKETS) -> np.ndarray | None:
         for grams in (pairs, triples):
             counts += np.bincount((grams ^ (grams >> np.uint32(15))) % np.uint32(buckets), minlength=buckets)
     total = counts.sum()
-    return np.sqrt(counts / total).astype(np.float32) if seen and total else None
+    return (np.sqrt(counts / total).astype(np.float32), float(total)) if seen and total else (None, 0.0)
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 150) -> tuple[np.ndarray, float]:
@@ -77,10 +86,12 @@ def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 1
 
 @dataclass
 class LanguageModel:
-    """One-versus-one separators of the families, and of the languages within each."""
+    """One-versus-one separators of the families and of the languages within each; what texts of each language look like."""
 
     families: dict[str, list[str]]
     duels: dict[tuple[str, str], tuple[np.ndarray, float]]
+    logs: np.ndarray  # language, bucket: log probability
+    usual: np.ndarray  # of each language: mean log probability in texts it was not learned from
 
     @classmethod
     def fit(cls, x: np.ndarray, langs: list[str]) -> LanguageModel:
@@ -93,7 +104,31 @@ class LanguageModel:
             for a, b in combinations(names, 2):
                 rows = (labels == a) | (labels == b)
                 duels[prefix + a, prefix + b] = fit_svm(x[rows], np.where(labels[rows] == a, 1, -1).astype(np.float32))
-        return cls(families, duels)
+        logs, usual = zip(*(cls._usual(x[named == lang]) for lang in sorted(set(langs))))
+        return cls(families, duels, np.stack(logs), np.array(usual))
+
+    @staticmethod
+    def _usual(x: np.ndarray) -> tuple[np.ndarray, float]:
+        def learn(part: np.ndarray) -> np.ndarray:
+            return np.log((1 - NOISE) * (part.astype(float) ** 2).mean(axis=0) + NOISE / x.shape[1])
+
+        logs = learn(x)
+        if len(x) < 2:  # one text doesn't tell how much others differ
+            return logs, float(logs.mean())
+        halves = x[::2], x[1::2]
+        apart = [(b.astype(float) ** 2 @ learn(a)) for a, b in (halves, halves[::-1])]
+        return logs, float(np.concatenate(apart).mean())
+
+    def fit_of(self, x: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """About 1 for a text like those of some language, 0 for grams at random; short texts get an allowance.
+
+        The mean log probability of the grams, from that of all buckets alike (0) to that of the language's texts (1).
+        A language that isn't known well enough to tell fits everything.
+        """
+        floor = self.logs.mean(axis=1)
+        span = self.usual - floor
+        share = (x.astype(float) ** 2 @ self.logs.T - floor) / np.where(span > 0, span, 1)
+        return np.where(span > 0, share, 1).max(axis=1) + SHORT / np.sqrt(np.maximum(grams, 1))
 
     def _winner(self, names: list[str], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Who wins most duels, ties by the sum of margins, and the narrowest win as a value between 0 and 1."""
@@ -158,41 +193,48 @@ def train(
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
-    """`docs` with `_lang_pred` and `_score` (0 to 1, the narrowest win in both steps).
+    """`docs` with `_lang_pred`, `_score` (0 to 1, the narrowest win in both steps) and `_fit` (see `fit_of`).
+
+    `_score` compares the learned languages, one of which always wins; `_fit` tells texts of none of them.
 
-    Null texts and texts without letters are `und` with score 0, as is everything without a model. Texts are read whole.
+    Null texts and texts without letters are `und` with score and fit 0, as is everything without a model. Texts are read whole.
     Repeated rows get the same answer; an empty table stays empty. Columns of `docs` keep their names and values,
-    whatever they are, but for these two. Rows are never shuffled.
+    whatever they are, but for these three. Rows are never shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("_lang_pred", "_score")
+    docs = docs.drop("_lang_pred", "_score", "_fit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            langs, scores = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
-            rows, found = [], []
+            langs, scores, fits = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            rows, found, grams = [], [], []
 
             def flush() -> None:
                 if rows:
-                    names, sure = own.predict(np.stack(found))
+                    stacked = np.stack(found)
+                    names, sure = own.predict(stacked)
+                    fits[rows] = own.fit_of(stacked, np.array(grams))
                     for row, name, score in zip(rows, names, sure):
                         langs[row], scores[row] = name, score
                     rows.clear()
                     found.clear()
+                    grams.clear()
 
             for i, value in enumerate(batch.column(text) if own else ()):
-                x = features(value.as_py())
+                x, total = counted(value.as_py())
                 if x is not None:
                     rows.append(i)
                     found.append(x)
+                    grams.append(total)
                 if len(rows) == 256:
                     flush()
             flush()
-            names = [*batch.schema.names, "_lang_pred", "_score"]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], names=names)
+            names = [*batch.schema.names, "_lang_pred", "_score", "_fit"]
+            columns = [pa.array(langs, pa.string()), pa.array(scores), pa.array(fits)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=names)
 
-    schema = StructType([*docs.schema.fields]).add("_lang_pred", StringType()).add("_score", DoubleType())
+    schema = StructType([*docs.schema.fields]).add("_lang_pred", StringType()).add("_score", DoubleType()).add("_fit", DoubleType())
     return docs.mapInArrow(run, schema)
 
 

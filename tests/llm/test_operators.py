@@ -333,6 +333,24 @@ def test_astral_symbols_are_no_letters(spark):
     assert {r["doc_id"] for r in C.language_id(spark, unlabelled, "").collect()} == set(range(16)) | {22, 23}
 
 
+def test_language_stage_rejects_what_is_no_learned_language(spark):
+    import corpus_pipeline as C
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(13)
+    foreign = ["ska", "wo", "dzi", "prz", "czy", "nik", "owa", "zło", "ki", "jest"]
+
+    def words(pieces, n):
+        return " ".join("".join(rng.choice(pieces) for _ in range(rng.randrange(2, 6))) for _ in range(n))
+
+    odd = [(-i, words("abcdefghijklmnopqrstuvwxyz", n), None) for i, n in enumerate([10, 40, 200] * 10, 1)]
+    odd += [(-i, words(foreign, n), None) for i, n in enumerate([10, 40, 200] * 10, 101)]
+    odd += [(-i, words("абвгдежзиклмнопрст", n), None) for i, n in enumerate([3, 40, 200] * 10, 201)]
+    kept = {r["doc_id"] for r in C.language_id(spark, docs.unionByName(spark.createDataFrame(odd, docs.schema)), "").collect()}
+    lettered = {r["doc_id"] for r in docs.collect() if any(map(str.isalpha, r["text"] or ""))}
+    assert sum(i < 0 for i in kept) == 0 and len(lettered - kept) <= 0.002 * len(lettered)
+
+
 # Toxicity
 
 
