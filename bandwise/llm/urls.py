@@ -53,19 +53,54 @@ def plain_url(url: Column) -> Column:
     return F.regexp_replace(url, r"(?s)(\?utm_source=[^&#]*)?(#.*)?\z", "")
 
 
+def _without_dots(path: Column) -> Column:
+    """A path without `.` and `..`, which take the part before them along but never the root."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda done, part: F.when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1))))
+        .when(part == ".", done)
+        .otherwise(F.concat(done, F.array(part))),
+    )
+    closed = F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    return F.concat(F.array_join(kept, "/"), closed)
+
+
+def absolute_link(url: Column, link: Column) -> Column:
+    """Where a link on the page `url` leads to; null without a link.
+
+    `&amp;` is decoded. Links with a scheme stay as they are; `//host` takes the page's scheme, `/path` its host, `?query`
+    its path, `#fragment` its query, and other links are relative to the folder of its path. Links on pages without `://`
+    stay as they are.
+    """
+    link = F.nullif(F.regexp_replace(link, r"(?i)&(amp|#38|#x26);", "&"), F.lit(""))
+    scheme = F.regexp_extract(url, r"(?s)\A(.*?:)//", 1)
+    root = F.regexp_extract(url, r"(?s)\A(.*?://[^/?#]*)", 1)
+    path = path_of(url)
+    before_fragment = F.regexp_replace(url, r"(?s)#.*\z", "")
+    folder = F.coalesce(F.nullif(F.regexp_extract(path, r"(?s)\A(.*/)", 1), F.lit("")), F.lit("/"))
+    own = F.regexp_extract(link, r"(?s)\A([^?#]*)", 1)
+    rest = F.regexp_extract(link, r"(?s)\A[^?#]*(.*)\z", 1)
+    whole = F.when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(folder, own))
+    return (
+        F.when(root == "", link)
+        .when(link.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), link)
+        .when(F.startswith(link, F.lit("//")), F.concat(scheme, link))
+        .when(F.startswith(link, F.lit("#")), F.concat(before_fragment, link))
+        .when(F.startswith(link, F.lit("?")), F.concat(root, path, link))
+        .otherwise(F.concat(root, _without_dots(whole), rest))
+    )
+
+
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Edges `_from`, `_to` from a page's url to its canonical link, its refresh target, and its plain form."""
     canonical = F.regexp_extract(html, r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
     refresh = F.regexp_extract(
         html, r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?([^"'\s>]+)""", 1
     )
-    root = F.regexp_extract(url, r"(?s)\A(.*?://[^/?#]*)", 1)
-
-    def absolute(link: Column) -> Column:
-        link = F.nullif(link, F.lit(""))
-        return F.when(F.startswith(link, F.lit("/")), F.concat(root, link)).otherwise(link)
-
-    found = F.array(absolute(canonical), absolute(refresh), plain_url(F.col(url)))
+    links = [absolute_link(F.col(url), link) for link in (canonical, refresh)]
+    found = F.array(*links, plain_url(F.col(url)))
     # The explode must not keep the pages' html.
     edges = pages.select(F.col(url).alias("_from"), F.explode(F.array_compact(found)).alias("_to"))
     return edges.filter("_from <> _to")

@@ -142,6 +142,24 @@ def test_urls_pass_decisions_to_aliases(spark):
     assert urls.judge_urls(df.limit(0), rules, urls.alias_edges(df.limit(0))).count() == 0
 
 
+def test_links_of_each_form_are_resolved(spark):
+    page = "https://Host.io/a/b/c.html?q=1#top"
+    forms = {
+        "//other.net/es/x": "https://other.net/es/x", "/z": "https://Host.io/z", "b.html": "https://Host.io/a/b/b.html", "../b": "https://Host.io/a/b",
+        "./d?x=../1&amp;y=2#f": "https://Host.io/a/b/d?x=../1&y=2#f", "../../../../e": "https://Host.io/e", "..": "https://Host.io/a/", "?p=2": "https://Host.io/a/b/c.html?p=2",
+        "http://x.org/?a=1&amp;b=2": "http://x.org/?a=1&b=2", "/a/./b/../c/": "https://Host.io/a/c/", "b:c": "b:c", "#end": "https://Host.io/a/b/c.html?q=1#end",
+    }
+    rows = [(page, f'<link rel="canonical" href="{link}">') for link in forms]
+    rows += [("http://bare.io", '<meta http-equiv="refresh" content="0; url=x/y">'), ("no url", '<link rel="canonical" href="/z">'), (None, '<link rel="canonical" href="/z">')]
+    got = urls.alias_edges(spark.createDataFrame(rows, "url string, html string")).collect()
+    plain = "https://Host.io/a/b/c.html?q=1"
+    assert {(r["_from"], r["_to"]) for r in got} == {(page, to) for to in forms.values()} | {(page, plain), ("http://bare.io", "http://bare.io/x/y"), ("no url", "/z")}
+    pages = [(1, "http://a.io/x", '<link rel="canonical" href="//bad.org/x">'), (2, "http://bad.org/x", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    judged = urls.judge_urls(df, [urls.Rule("block", "bad.org")], urls.alias_edges(df)).collect()
+    assert {r["page_id"]: r["_verdict"] for r in judged} == {1: "block", 2: "block"}
+
+
 # Decontamination
 
 
