@@ -124,13 +124,23 @@ BASE = np.uint64(0xD1342543DE82EF95)
 UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
+_POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def _powers(count: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, at least `count` of each; kept for the next text."""
+    if len(_POWERS[0]) < count:
+        for i, base in enumerate((BASE, UNBASE)):
+            steps = np.full(2 * count, base, dtype=np.uint64)
+            steps[0] = 1
+            _POWERS[i] = np.cumprod(steps, dtype=np.uint64)
+    return _POWERS
+
+
 def _long_windows(hashes: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Hashes of windows of any lengths, by differences of running totals."""
-    power = np.full(len(hashes) + 1, BASE, dtype=np.uint64)
-    undo = np.full(len(hashes) + 1, UNBASE, dtype=np.uint64)
-    power[0] = undo[0] = 1
-    power, undo = np.cumprod(power, dtype=np.uint64), np.cumprod(undo, dtype=np.uint64)
-    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(hashes * power[:-1], dtype=np.uint64)))
+    power, undo = _powers(len(hashes) + 1)
+    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(hashes * power[: len(hashes)], dtype=np.uint64)))
     found = (total[stop] - total[first]) * undo[first] + (stop - first).astype(np.uint64)
     found ^= found >> np.uint64(31)
     return found * np.uint64(FACTORS[7])
@@ -173,6 +183,8 @@ def _slices(text: str, words: int, vocabulary: Vocabulary) -> Iterator[_Slice]:
         unit = unit[starts]
         slot = unit | (kind[starts] == NAME) | (kind[starts] == NUM)
         yield _Slice(token, element, at >= len(text), ids, kind, np.append(starts, len(ids)), unit, slot)
+        if at >= len(text):
+            return
         # Twice what a window needs, from an element that doesn't depend on the one before.
         literal = np.cumsum(~slot[::-1])[::-1]
         enough = np.flatnonzero((literal >= 2 * LITERAL) & (np.arange(len(starts))[::-1] >= 2 * words) & (kind[starts] != UNIT_WORD))
