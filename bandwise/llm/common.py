@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # ASCII white space and letters, as the contracts of the operators name them.
 SPACES = " \t\n\x0b\x0c\r"
@@ -66,3 +67,20 @@ def text_key(*columns: Column) -> tuple[Column, Column]:
 def remainder_of_id(column: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo; null ids have none."""
     return F.crc32(column.cast("string").cast("binary")) % divisor
+
+
+def placed(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """Adds `_at`, the place of a row within its group in the given order from 0, and `_n`, the rows of the group.
+
+    Ranges of (group, order) are sorted in parallel and written once, so that each row keeps its place when an executor
+    is lost; what a group has in earlier ranges comes from a table of one row a group and range. Groups may hold any
+    share of the rows, but rows that are equal in all of `order` stay in one range.
+    """
+    run = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    run = stored(run.withColumn("_place", F.monotonically_increasing_id()), "sorted")
+    run = run.withColumn("_range", F.shiftright("_place", 33))
+    w = Window.partitionBy(group).orderBy("_range")
+    before = F.coalesce(F.sum("_rows").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = run.groupBy(group, "_range").agg(F.min("_place").alias("_first"), F.count("*").alias("_rows"))
+    starts = sizes.select(group, "_range", (before - F.col("_first")).alias("_shift"), F.sum("_rows").over(Window.partitionBy(group)).alias("_n"))
+    return run.join(starts, [group, "_range"]).withColumn("_at", F.col("_place") + F.col("_shift")).drop("_place", "_range", "_shift")

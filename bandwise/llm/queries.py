@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bandwise.llm import chat, decontamination, langid, lines, mixing, secrets, simhash, toxicity, urls, vectors
-from bandwise.llm.common import remainder_of_id, table
+from bandwise.llm import chat, decontamination, langid, lines, merkle, mixing, secrets, simhash, toxicity, urls, vectors
+from bandwise.llm.common import ascii_lower, remainder_of_id, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -257,3 +257,75 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").cast("long").alias("n_dropped"), F.sha2("_kept", 256).alias("kept_sha256")
     )
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of ASCII text, bit by bit."""
+    step = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    byte = f"list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: {step})"
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda d: ascii(d)::BIGINT)), lambda c, b: {byte}), 4294967295)"
+
+
+def _merkle_sql(levels: int = 6, upper: int = 2) -> str:
+    """Levels written out: enough for 8 ** levels rows a language and 8 ** upper languages."""
+
+    def encoded(column: str) -> str:
+        return f"coalesce(strlen({column}::VARCHAR) || ':' || {column}::VARCHAR, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join([*map(encoded, ("doc_id", "source", "lang", "n_chars")), encoded(text)]) + ")"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        f"""leaves AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce('=' || lang, '') AS grp, {leaf("text")} AS leaf,
+    CASE WHEN {_crc32_sql("doc_id::VARCHAR")} % 3 = 0 THEN {leaf(lower)} ELSE {leaf("text")} END AS changed
+  FROM documents)""",
+        "n0 AS (SELECT grp, id, leaf AS node, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf, id) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM leaves)",
+    ]
+
+    def tree(name: str, levels: int) -> None:
+        for k in range(levels):
+            parts.append(
+                f"{name}{k + 1} AS (SELECT grp, pos // 8 AS pos, max(n) AS n, CASE WHEN max(n) > {8**k} THEN sha256(string_agg(node, '' ORDER BY pos)) ELSE max(node) END AS node "
+                f"FROM {name}{k} GROUP BY grp, pos // 8)"
+            )
+
+    def fold(name: str, nodes: str, levels: int) -> None:
+        for k in range(levels):
+            parts.append(
+                f"{name}{k + 1} AS (SELECT f.id, f.grp, f.pos // 8 AS pos, "
+                f"CASE WHEN max(t.n) > {8**k} THEN sha256(string_agg(CASE WHEN t.pos = f.pos THEN f.node ELSE t.node END, '' ORDER BY t.pos)) ELSE max(f.node) END AS node, "
+                f"max(f.proof) || coalesce(string_agg(t.node, '' ORDER BY t.pos) FILTER (t.pos <> f.pos), '') AS proof "
+                f"FROM {name}{k} f JOIN {nodes}{k} t ON t.grp = f.grp AND t.pos // 8 = f.pos // 8 GROUP BY f.id, f.grp, f.pos)"
+            )
+
+    tree("n", levels)
+    parts.append(f"m0 AS (SELECT '' AS grp, grp AS name, node, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n FROM n{levels})")
+    tree("m", upper)
+    parts.append("f0 AS (SELECT l.id, l.grp, n0.pos, changed AS node, '' AS proof FROM leaves l JOIN n0 USING (id))")
+    fold("f", "n", levels)
+    parts.append(f"g0 AS (SELECT f.id, m0.grp, m0.pos, f.node, f.proof FROM f{levels} f JOIN m0 ON m0.name = f.grp)")
+    fold("g", "m", upper)
+    return (
+        "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, m0.node AS subroot, m{upper}.node AS root, sha256(g.proof) AS proof_sha256, g.node AS folded_root, g.node = m{upper}.node AS verified
+FROM leaves l JOIN m0 ON m0.name = l.grp JOIN g{upper} g ON g.id = l.id CROSS JOIN m{upper}"""
+    )
+
+
+@_query(_merkle_sql())
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as leaves, with their proofs; in a third of them the text is tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(remainder_of_id(F.col("doc_id"), 3) == 0, ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    rows = merkle.proofs(merkle.manifest(docs, changed={"text": tampered}))
+    return rows.select(
+        F.col("_id").alias("doc_id"),
+        merkle.as_hex(F.col("_node")).alias("leaf"),
+        merkle.as_hex(F.col("_subroot")).alias("subroot"),
+        merkle.as_hex(F.col("_root")).alias("root"),
+        F.col("_proof").alias("proof_sha256"),
+        merkle.as_hex(F.col("_folded")).alias("folded_root"),
+        F.col("_verified").alias("verified"),
+    )
