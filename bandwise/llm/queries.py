@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bandwise.llm import chat, decontamination, langid, lines, merkle, mixing, secrets, simhash, toxicity, urls, vectors
-from bandwise.llm.common import ascii_lower, remainder_of_id, table
+from bandwise.llm import chat, decontamination, langid, lines, merkle, mixing, secrets, simhash, toxicity, urls, vectors, warc
+from bandwise.llm.common import ascii_lower, remainder_of_id, stored, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -329,3 +329,27 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         merkle.as_hex(F.col("_folded")).alias("folded_root"),
         F.col("_verified").alias("verified"),
     )
+
+
+@_query("""
+WITH hashed AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, coalesce(html, '') AS payload, unhex(sha1(coalesce(html, '')))::BIT::VARCHAR AS bits FROM pages),
+firsts AS (SELECT payload, min(page_id) AS first_id FROM hashed GROUP BY payload)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda j: substr(bits, 5 * i + j + 1, 1)::INT * (16 >> j)))::INT, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM hashed JOIN firsts USING (payload)""")
+def op11_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as WARC records in ZIP packages, read back by ranges."""
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    packages = warc.write_packages(pages)
+    found = warc.resolve_revisits(stored(warc.read_records(stored(warc.locate_records(packages), "ranges")), "records"))
+    return found.select(
+        F.col("_id").cast(kind).alias("page_id"),
+        F.col("_bytes").alias("payload_bytes"),
+        F.col("_digest").alias("payload_digest"),
+        F.col("_type").alias("record_type"),
+        F.col("_refers_id").cast(kind).alias("refers_to"),
+    )
