@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bandwise.llm import chat, decontamination, langid, lines, merkle, mixing, secrets, simhash, toxicity, urls, vectors, warc
+from bandwise.llm import chat, collocations, decontamination, langid, lines, merkle, mixing, secrets, simhash, toxicity, urls, vectors, warc
 from bandwise.llm.common import ascii_lower, remainder_of_id, stored, table
 
 QUERIES: dict = {}
@@ -353,3 +353,41 @@ def op11_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_type").alias("record_type"),
         F.col("_refers_id").cast(kind).alias("refers_to"),
     )
+
+
+@_query(r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
+    string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS split
+  FROM documents),
+listed AS (
+  SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM (SELECT lang, unnest(split) AS piece FROM pieces)),
+tokens AS (SELECT lang, id, unnest(words) AS w1, generate_subscripts(words, 1) AS pos FROM listed),
+chains AS (
+  SELECT lang, w1, lead(w1, 1) OVER w AS w2, lead(w1, 2) OVER w AS w3, lead(w1, 3) OVER w AS w4, lead(w1, 4) OVER w AS w5
+  FROM tokens WINDOW w AS (PARTITION BY id ORDER BY pos)),
+totals AS (SELECT lang, count(*) AS n FROM chains GROUP BY lang),
+counts AS (
+  SELECT lang, [w1] AS ids, count(*) AS f FROM chains GROUP BY ALL HAVING count(*) >= 100
+  UNION ALL SELECT lang, [w1, w2], count(*) FROM chains WHERE w2 IS NOT NULL GROUP BY lang, w1, w2 HAVING count(*) >= 100
+  UNION ALL SELECT lang, [w1, w2, w3], count(*) FROM chains WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3 HAVING count(*) >= 100
+  UNION ALL SELECT lang, [w1, w2, w3, w4], count(*) FROM chains WHERE w4 IS NOT NULL GROUP BY lang, w1, w2, w3, w4 HAVING count(*) >= 100
+  UNION ALL SELECT lang, [w1, w2, w3, w4, w5], count(*) FROM chains WHERE w5 IS NOT NULL GROUP BY lang, w1, w2, w3, w4, w5 HAVING count(*) >= 100),
+whole AS (SELECT * FROM counts WHERE len(ids) >= 2),
+cuts AS (SELECT *, unnest(range(1, len(ids))) AS k FROM whole),
+scored AS (
+  SELECT c.lang, c.ids, c.f AS a, c.k, x.f AS l, y.f AS r, n, ((1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.ids = c.ids[1:c.k] JOIN counts y ON y.lang = c.lang AND y.ids = c.ids[c.k + 1:] JOIN totals t ON t.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, ids ORDER BY score, k) = 1),
+inner_parts AS (
+  SELECT lang, ids[i:i + m - 1] AS ids, max(f) AS longer
+  FROM (SELECT *, unnest(range(1, len(ids) - m + 2)) AS i FROM (SELECT *, unnest(range(2, len(ids))) AS m FROM whole)) GROUP BY ALL),
+kept AS (
+  SELECT b.*, array_to_string(b.ids, ' ') AS phrase FROM best b LEFT JOIN inner_parts p ON p.lang = b.lang AND p.ids = b.ids
+  WHERE longer IS NULL OR 100 * longer < 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score
+FROM kept QUALIFY rank <= 2000""")
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first phrases of each language by how much more often they occur than chance."""
+    rows = collocations.collocations(table(spark, sf_dir, "documents"))
+    return rows.select(*[F.col(f"_{c}").alias(c) for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")])
