@@ -232,7 +232,7 @@ def _with_codes(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     keyed = texts.withColumns({"_k1": keys[0], "_k2": keys[1]})
     once = keyed.groupBy("_k1", "_k2", "_lang").agg(F.first("_text").alias("_text"))
     words = F.split(ascii_lower(F.col("_text").cast("string")), r"[\x20\x09.,;:!?\x0A-\x0D]+")
-    each = once.select("_k1", "_k2", "_lang", F.explode(F.array_distinct(words)).cast("binary").alias("_word"))
+    each = once.select("_k1", "_k2", "_lang", F.explode(F.array_distinct(words)).alias("_word")).withColumn("_word", F.col("_word").cast("binary"))
     codes = each.join(vocabulary, ["_lang", "_word"]).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("_word", "_id")).alias("_codes"))
     return keyed.join(codes, ["_k1", "_k2"], "left").select("_lang", "_text", F.col("_codes._word").alias("_known"), F.col("_codes._id").alias("_known_ids"))
 

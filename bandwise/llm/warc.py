@@ -59,7 +59,7 @@ def record_bytes(own_id: str | None, uri: str | None, payload: bytes, refers_to:
     block = HTTP % len(payload) + (b"" if revisit else payload)
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(own_id)}", f"WARC-Date: {date}"]
     if uri is not None:
-        lines.append(f"WARC-Target-URI: {quote(uri, safe=':/?#[]@!$&()*+,;=%~-._' + chr(39))}")
+        lines.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda c: quote(c[0]), uri))
     lines.append(f"WARC-Payload-Digest: sha1:{payload_digest(payload)}")
     if revisit:
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}"]
@@ -125,8 +125,8 @@ def write_packages(
 
     Of rows with equal payloads of at least `least_bytes` bytes, the smallest id is a response and the others revisit
     it; all smaller payloads are responses. A null payload is an empty one. A null id is larger than any other. Rows
-    that repeat the smallest id with its payload are responses, each. A null uri leaves its field out. No rows, no
-    packages. Other columns are not looked at.
+    that repeat the smallest id with its payload are responses, each. A null uri leaves its field out; in others, spaces
+    and control characters are percent-encoded. No rows, no packages. Other columns are not looked at.
 
     Digests are counted per task before they are shuffled, so copies of one payload are a row a task. Payloads are
     shuffled once, by digest, to a join with one row a digest, which adaptive execution splits where a digest is hot.
@@ -195,16 +195,17 @@ def _directory(file, size: int) -> tuple[int, int, int, int]:
     """Place, bytes and entries of the central directory, and what stands ahead of the ZIP file within this one."""
     at, end = _tail(file, size)
     count, length, place = struct.unpack("<HLL", end[10:20])
-    if at >= 20 and (count == FULL16 or FULL32 in (length, place)):
-        locator = file.read_at(20, at - 20)
-        if locator[:4] == LOCATOR64:
-            # The place in the locator is off by what stands ahead, so look right before the locator too.
-            for start in (struct.unpack("<Q", locator[8:16])[0], at - 20 - 56):
-                record = file.read_at(56, start) if 0 <= start <= size - 56 else b""
-                if record[:4] == END64:
-                    count, length, place = struct.unpack("<QQQ", record[32:56])
-                    return start - length, length, count, start - length - place
-            raise ValueError("the ZIP64 end record is missing")
+    locator = file.read_at(20, at - 20) if at >= 20 else b""
+    if locator[:4] == LOCATOR64:
+        # The place in the locator is off by what stands ahead, so look right before the locator too.
+        for start in (struct.unpack("<Q", locator[8:16])[0], at - 20 - 56):
+            record = file.read_at(56, start) if 0 <= start <= size - 56 else b""
+            if record[:4] == END64:
+                count, length, place = struct.unpack("<QQQ", record[32:56])
+                return start - length, length, count, start - length - place
+        raise ValueError("the ZIP64 end record is missing")
+    if count == FULL16 or FULL32 in (length, place):
+        raise ValueError("the ZIP64 locator is missing")
     return at - length, length, count, at - length - place
 
 
@@ -393,7 +394,6 @@ def read_records(ranges: DataFrame, with_payload: bool = False) -> DataFrame:
         fields, payload = parse_record(data)
         told = fields.get("warc-payload-digest", "").removeprefix("sha1:")
         own, uri = fields["warc-record-id"], fields.get("warc-target-uri")
-        uri = None if uri is None else unquote(uri)
         if fields["warc-type"] == "revisit":
             return (own, id_of(own), "revisit", fields.get("warc-refers-to"), uri, None, told, True, None)[: len(kinds)]
         digest = payload_digest(payload)
