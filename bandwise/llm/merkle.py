@@ -12,6 +12,8 @@ ARITY = 8
 #: Levels that one shuffle covers: a block of ARITY ** LEVELS nodes is sorted together, and no run leaves it.
 LEVELS = 4
 BLOCK = ARITY**LEVELS
+#: Groups whose subroots and paths are broadcast (about a kilobyte each); more are joined by a shuffle.
+BROADCAST_GROUPS = 10_000
 
 
 def digest_of(text: Column) -> Column:
@@ -132,10 +134,12 @@ def manifest(
     rows, tops = _climb(rows, _most(rows))
     subroots = cut(tops.select(F.lit("").alias("_group"), F.col("_group").alias("_name"), "_node"))
     groups = cut(placed(subroots, "_group", ["_name"]))
-    groups, root = _climb(groups, _most(groups))
-    root = root.select("_group", F.col("_node").alias("_root"))
-    groups = groups.join(root, "_group").select(F.col("_name").alias("_group"), F.col("_node").alias("_subroot"), F.col("_path").alias("_above"), "_root")
-    joined = rows.join(groups, "_group").withColumn("_path", F.concat("_path", "_above"))
+    number = _most(groups)
+    groups, root = _climb(groups, number)
+    root = root.select("_group", F.col("_node").alias("_root"))  # one row
+    groups = groups.join(F.broadcast(root), "_group").select(F.col("_name").alias("_group"), F.col("_node").alias("_subroot"), F.col("_path").alias("_above"), "_root")
+    small = F.broadcast(groups) if number <= BROADCAST_GROUPS else groups
+    joined = rows.join(small, "_group").withColumn("_path", F.concat("_path", "_above"))
     return joined.select("_id", "_group", "_node", "_changed", "_path", "_subroot", "_root")
 
 
