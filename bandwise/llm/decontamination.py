@@ -19,8 +19,8 @@ SHARE = 0.5
 #: Words of a template window that must be literal, so that a run of names does not match every other. Windows with fewer
 #: grow until they hold as many.
 LITERAL = 3
-#: Bits of the filter on window hashes: 16 for each window of the benchmark, and never more than 2 ** 26 (8 MB).
-LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
+#: Bits of the filter on window hashes: 512 for each window of the benchmark, and never more than 2 ** 26 (8 MB).
+LEAST_BITS, MOST_BITS, BITS_A_WINDOW = 1 << 16, 1 << 26, 512
 #: Items' windows that are broadcast; more are joined by a shuffle.
 BROADCAST_WINDOWS = 50_000
 SLICE_CHARS = 1 << 20
@@ -315,7 +315,7 @@ def _windows_of(df: DataFrame, key: str, text: str, words: int, filter_bits=None
 def _filter_bits(windows: DataFrame) -> bytearray:
     """A bit for each hash, gathered as words of 64 bits: at most 8 MB, whatever the size of the benchmark."""
     bits = LEAST_BITS
-    wanted = 16 * windows.count()
+    wanted = BITS_A_WINDOW * windows.count()
     while bits < min(wanted, MOST_BITS):
         bits *= 2
     at = F.col("_hash").bitwiseAND(F.lit(bits - 1))
