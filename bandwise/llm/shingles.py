@@ -26,6 +26,8 @@ PIECE = 512
 SEED = 42
 #: Shingles hashed, and shingles whose minima are taken, at a time.
 SLICE, CHUNK = 1 << 16, 2048
+#: Bits of the filter on texts whose sets are compared.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 
 _rng = np.random.default_rng(9)
 FACTORS = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -62,38 +64,70 @@ def set_fingerprint(hashes: np.ndarray) -> int:
 
 
 def bands(hashes: np.ndarray) -> np.ndarray:
-    """A number for each band of minima."""
+    """A number for each band of minima, that also depends on which band it is."""
     low = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
     least = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
     for first in range(0, len(low), CHUNK):
         part = (low[None, first : first + CHUNK] ^ SHIFTS[:, None]) * FACTORS[:, None]
         np.minimum(least, part.min(axis=1), out=least)
     mixed = (least.reshape(BANDS, ROWS).astype(np.uint64) + np.uint64(1)) * MIX
-    total = (mixed ^ (mixed >> np.uint64(29))).sum(axis=1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return total.view(np.int64)
+    total = (mixed ^ (mixed >> np.uint64(29))).sum(axis=1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * MIX[0]
+    return (total * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def _node_of(hashes: np.ndarray) -> int:
+    """A number for a set of shingles."""
+    return xxhash.xxh64_intdigest(hashes.tobytes(), 3) - (1 << 63)
 
 
 def _sketch(words: int):
-    """Map function: a number for the set of shingles, its fingerprint, its bands and the set itself."""
+    """Map function: a number for the set of shingles, its fingerprint and its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # Small pieces, as sets take as much room as their texts.
             for first in range(0, batch.num_rows, 256):
                 piece = batch.slice(first, 256)
-                sets = [shingles(t.as_py(), words) for t in piece.column("_text")]
-                columns = [
-                    piece.column("_row"),
-                    pa.array([xxhash.xxh64_intdigest(s.tobytes(), 3) - (1 << 63) for s in sets], pa.int64()),
-                    pa.array([set_fingerprint(s) if len(s) else 0 for s in sets], pa.int64()),
-                    pa.array([bands(s).tolist() if len(s) else [] for s in sets], pa.list_(pa.int64())),
-                    pa.array([s.tobytes() for s in sets], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["_row", "_node", "_fp", "_bands", "_set"])
+                found = []
+                for text in piece.column("_text"):
+                    s = shingles(text.as_py(), words)
+                    found.append((_node_of(s), set_fingerprint(s) if len(s) else 0, bands(s).tolist() if len(s) else []))
+                made = [pa.array(x, kind) for x, kind in zip(zip(*found), (pa.int64(), pa.int64(), pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays([piece.column("_row"), piece.column("_body"), *made], names=["_row", "_body", "_node", "_fp", "_bands"])
 
     return run
 
 
+def _sets(words: int, filter_bits):
+    """Map function: the sets of texts whose hash passes a filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(filter_bits.value, dtype=np.uint8)
+        mask = np.uint64(len(bits) * 8 - 1)
+        for batch in batches:
+            at = batch.column("_body").to_numpy(zero_copy_only=False).view(np.uint64) & mask
+            good = np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1))
+            # Small pieces, as sets take as much room as their texts.
+            for first in range(0, len(good), 256):
+                sets = [shingles(batch.column("_text")[i].as_py(), words) for i in good[first : first + 256].tolist()]
+                columns = [pa.array([_node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["_node", "_set"])
+
+    return run
+
+
+def _filter_of(hashes: DataFrame, column: str) -> bytes:
+    """A bit for each hash, gathered as words of 64 bits: 16 bits a hash, 8 MB at most. A full one only saves less work."""
+    bits, wanted = LEAST_BITS, 16 * hashes.count()
+    while bits < min(wanted, MOST_BITS):
+        bits *= 2
+    at = F.col(column).bitwiseAND(F.lit(bits - 1))
+    set_bits = hashes.select(F.shiftright(at, 6).cast("int").alias("_word"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("_bit"))
+    words = np.zeros(bits // 64, dtype=np.int64)
+    for word, value in set_bits.groupBy("_word").agg(F.bit_or("_bit")).toLocalIterator():
+        words[word] = value
+    return words.tobytes()
+
+
 def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     small, large = (a, b) if len(a) <= len(b) else (b, a)
     if len(small) < similarity * len(large) - 1e-9:
@@ -138,18 +172,22 @@ def near_copies(
     compared exactly. A shard of more than `piece` nodes is dealt to cells, one for each pair of its pieces. A cell
     returns a spanning forest, and compares no two nodes it has tied already. Texts without words are one group.
     """
-    slim = rows.select(F.col(row).alias("_row"), F.col(text).cast("binary").alias("_text"))
+    slim = rows.select(F.col(row).alias("_row"), F.xxhash64(text).alias("_body"), F.col(text).cast("binary").alias("_text"))
     kind = slim.schema["_row"].dataType.simpleString()
-    sketched = stored(slim.mapInArrow(_sketch(words), f"_row {kind}, _node long, _fp long, _bands array<long>, _set binary"), "shingles")
-    banded = sketched.groupBy("_node").agg(F.first("_bands").alias("_bands"))
-    banded = cut(banded.select("_node", F.posexplode("_bands").alias("_band", "_value")))
-    least = cut(banded.groupBy("_band", "_value").agg(F.min("_node").alias("_least"), F.count("*").alias("_n")).filter("_n > 1"))
-    edges = banded.join(least, ["_band", "_value"]).select("_node", "_least")
+    sketched = stored(slim.mapInArrow(_sketch(words), f"_row {kind}, _body long, _node long, _fp long, _bands array<long>"), "sketches")
+    # One row a distinct set from here on; copies collapse in their tasks.
+    nodes = stored(sketched.groupBy("_node").agg(F.min("_body").alias("_body"), F.min("_fp").alias("_fp"), F.first("_bands").alias("_bands")), "nodes")
+    keys = nodes.select("_node", F.explode("_bands").alias("_key"))
+    least = cut(keys.groupBy("_key").agg(F.min("_node").alias("_least"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"))
+    edges = keys.join(least, "_key").filter("_node <> _least").select("_node", "_least").distinct()
     shards = cut(connected_components(edges, "_node", "_least"))
     sizes = shards.groupBy("component").agg(F.ceil(F.count("*") / piece).cast("int").alias("_pieces"))
-    placed = shards.join(cut(sizes), "component").select("node", "component", "_pieces")
-    held = sketched.select("_node", "_fp", "_set").join(placed, F.col("_node") == F.col("node"))
-    held = held.groupBy("_node", "component", "_pieces").agg(F.first("_fp").alias("_fp"), F.first("_set").alias("_set"))
+    placed = shards.join(cut(sizes), "component").select(F.col("node").alias("_node"), "component", "_pieces")
+    placed = cut(placed.join(nodes.select("_node", "_body", "_fp"), "_node"))
+    bits = slim.sparkSession.sparkContext.broadcast(_filter_of(placed, "_body"))
+    # Only sets that are compared leave their tasks, one a node and task.
+    sets = slim.select("_body", "_text").mapInArrow(_sets(words, bits), "_node long, _set binary").groupBy("_node").agg(F.min("_set").alias("_set"))
+    held = placed.join(sets, "_node")
     own = F.pmod(F.xxhash64("_node"), F.col("_pieces")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1))
     cells = held.select("_node", "_fp", "_set", "component", own.alias("_own"), other.alias("_other"))
