@@ -14,7 +14,7 @@ literals: a recomputed task must see the same ranges.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -92,6 +92,39 @@ def _search(value: Column, edges: Column, count: int) -> Column:
     )
 
 
+def with_buckets(
+    df: DataFrame, edges: Mapping[str, Sequence[float]], names: Mapping[str, str]
+) -> DataFrame:
+    """``bucket_of`` for double columns of all rows, as further columns.
+
+    An eight-way search in three projections, which stay inside generated code;
+    each refers to the step before it as a column, so nothing is repeated.
+    ``edges`` and ``names`` (of the new columns) go by column; 511 edges at most.
+    """
+    few = {c: e for c, e in edges.items() if len(e) <= _CHAIN_LIMIT}
+    many = {c: sorted(e) for c, e in edges.items() if c not in few}
+    size = 512
+    literals = {}
+    for c, e in many.items():
+        if len(e) >= size:
+            raise ValueError(f"at most {size - 1} edges can be searched")
+        literals[c] = F.lit([float(x) for x in e] + [float("inf")] * (size - 1 - len(e)))
+    at = {c: F.lit(0) for c in many}
+    step = size
+    while many and step > 1:
+        step //= 8
+        found = {}
+        for c in many:
+            places = (at[c] + (j * step - 1) for j in range(1, 8))
+            above = [(F.col(c) > F.get(literals[c], place)).cast("int") for place in places]
+            found[names[c]] = at[c] + step * reduce(lambda a, b: a + b, above)
+        df = df.withColumns(found)
+        at = {c: F.col(names[c]) for c in many}
+    # NaN lies above the padding as well.
+    last = {names[c]: F.least(F.col(names[c]), F.lit(len(e))) for c, e in many.items()}
+    return df.withColumns(last | {names[c]: bucket_of(F.col(c), e) for c, e in few.items()})
+
+
 @dataclass(frozen=True)
 class Sketch:
     """Approximate number of distinct values, and range edges where they can be sketched."""
@@ -221,37 +254,55 @@ def null_safe_join(
     return joined.select(*columns, *rest)
 
 
-def with_positions(
-    counts: DataFrame,
+def range_offsets(
+    per_range: DataFrame,
     keys: Sequence[str],
-    value: str,
     weight: str,
     wanted: Callable[[Column, Column, Column], Column] | None = None,
 ) -> DataFrame:
-    """Rank of every distinct value within its key, in ascending order.
+    """What lies before each range of a key: ``__before__`` rows, of ``total``.
 
-    ``counts`` holds one row per key, range and value, with its multiplicity.
-    Adds ``start`` (rows of the key before this value) and ``total``. If given,
-    ``wanted(start, end, total)`` is an array of what is looked for in a range;
-    ranges with an empty one are dropped before their rows are shuffled and
-    sorted, the others keep it as ``wanted``.
+    ``per_range`` holds one row per key and range. If given, ``wanted(start,
+    end, total)`` is an array of what is looked for in a range; ranges with an
+    empty one are dropped, the others keep it as ``wanted``.
     """
     keys = list(keys)
-    per_range = counts.groupBy(*keys, RANGE).agg(F.sum(weight).alias("__in_range__"))
     by_range = Window.partitionBy(*keys).orderBy(RANGE)
     earlier = by_range.rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select(
         *keys,
         RANGE,
-        "__in_range__",
-        F.coalesce(F.sum("__in_range__").over(earlier), F.lit(0)).alias("__before__"),
-        F.sum("__in_range__").over(Window.partitionBy(*keys)).alias("total"),
+        F.col(weight).alias("__in_range__"),
+        F.coalesce(F.sum(weight).over(earlier), F.lit(0)).alias("__before__"),
+        F.sum(weight).over(Window.partitionBy(*keys)).alias("total"),
     )
     if wanted is not None:
         end = F.col("__before__") + F.col("__in_range__")
         offsets = offsets.withColumn("wanted", wanted(F.col("__before__"), end, F.col("total")))
         offsets = offsets.filter(F.size("wanted") > 0)
-    offsets = offsets.drop("__in_range__")
+    return offsets.drop("__in_range__")
+
+
+def with_positions(
+    counts: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    weight: str,
+    wanted: Callable[[Column, Column, Column], Column] | None = None,
+    offsets: DataFrame | None = None,
+) -> DataFrame:
+    """Rank of every distinct value within its key, in ascending order.
+
+    ``counts`` holds one row per key, range and value, with its multiplicity.
+    Adds ``start`` (rows of the key before this value) and ``total``. Ranges
+    without anything ``wanted`` are dropped before their rows are shuffled and
+    sorted. With ``offsets`` from ``range_offsets``, ``counts`` need only hold
+    the ranges that are in them.
+    """
+    keys = list(keys)
+    if offsets is None:
+        per_range = counts.groupBy(*keys, RANGE).agg(F.sum(weight).alias("__rows__"))
+        offsets = range_offsets(per_range, keys, "__rows__", wanted)
     inside = (
         Window.partitionBy(*keys, RANGE)
         .orderBy(value)

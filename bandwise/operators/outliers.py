@@ -74,7 +74,7 @@ def non_mode_quantiles(
     known = [sketches[c] for c in columns]
     quantiles: dict[str, list[float | None]] = {}
     if asks:
-        for row in counted_quantiles(counts.filter(~is_mode), [], asks, known, limit).collect():
+        for row in counted_quantiles(counts.filter(~is_mode), asks, known, limit).collect():
             quantiles[columns[row["variable"]]] = list(row["quantiles"])
     nothing: list[float | None] = [None] * len(fractions)
     return {

@@ -2,15 +2,18 @@
 
 ``percentile`` builds a map of distinct values in every task and merges all of
 them in one; it is used only while a distinct-count sketch says that the maps
-are tiny. Otherwise rows collapse to one per distinct value (so a value holding
-a third of the table is one row), the values are ranked in parallel ranges, and
-only the rows at the wanted ranks leave the executors.
+are tiny. Otherwise ranks are selected in two scans. The first counts rows per
+group and range of values, which is a small table however many values there
+are, and says which ranges hold a wanted rank. The second counts the values in
+those ranges only (so a value holding a third of the table is one row), and
+they are ranked in parallel. No other value is ever shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,14 +26,18 @@ from bandwise.operators.ordering import (
     adjacent_pairs,
     bucket_of,
     range_edges,
+    range_offsets,
     ranged,
     sketch_columns,
+    with_buckets,
     with_positions,
 )
 
 # Up to this many distinct values, maps from ten thousand tasks fit into one.
 MAP_LIMIT = 10_000
 
+LEVEL = "__level__"
+
 INTERPOLATIONS = ("linear", "nearest", "lower", "higher", "midpoint")
 
 
@@ -55,32 +62,58 @@ class Ask:
         }.get(self.interpolation, ["below", "above"])
 
 
-def quantiles_of_counts(
-    counts: DataFrame, keys: Sequence[str], asks: Sequence[Ask]
-) -> DataFrame:
-    """Quantiles from a table of ``(keys, range, value, n)``: keys and ``quantiles``."""
-    keys = list(keys)
-    slots = [(ask.fraction, side) for ask in asks for side in ask.sides]
-    fractions = F.lit([float(fraction) for fraction, _ in slots])
-    sides = F.lit([side for _, side in slots])
+@dataclass(frozen=True)
+class _Slots:
+    """The ranks that several quantiles are made of, numbered."""
 
-    def rank(slot: Column, total: Column) -> Column:
+    asks: Sequence[Ask]
+
+    @property
+    def pairs(self) -> list[tuple[float, str]]:
+        return [(ask.fraction, side) for ask in self.asks for side in ask.sides]
+
+    @property
+    def fractions(self) -> Column:
+        return F.lit([float(fraction) for fraction, _ in self.pairs])
+
+    @property
+    def every(self) -> Column:
+        return F.lit(list(range(len(self.pairs))))
+
+    def rank(self, slot: Column, total: Column) -> Column:
         """Zero-based rank of the value that belongs into a slot."""
-        h = (total - 1) * F.get(fractions, slot)
-        side = F.get(sides, slot)
+        h = (total - 1) * F.get(self.fractions, slot)
+        side = F.get(F.lit([side for _, side in self.pairs]), slot)
         return F.when(side == "below", F.floor(h)).when(side == "above", F.ceil(h)).otherwise(
             F.floor(h + 0.5)
         )
 
-    def between(some: Column, start: Column, end: Column, total: Column) -> Column:
-        return F.filter(some, lambda slot: (rank(slot, total) >= start) & (rank(slot, total) < end))
+    def between(self, some: Column, start: Column, end: Column, total: Column) -> Column:
+        """Those of some slots whose ranks lie in an interval."""
+        return F.filter(
+            some, lambda slot: (self.rank(slot, total) >= start) & (self.rank(slot, total) < end)
+        )
+
+    def within(self, start: Column, end: Column, total: Column) -> Column:
+        return self.between(self.every, start, end, total)
 
-    every = F.lit(list(range(len(slots))))
-    placed = with_positions(
-        counts, keys, "value", "n", lambda start, end, total: between(every, start, end, total)
-    )
+
+def quantiles_of_counts(
+    counts: DataFrame,
+    keys: Sequence[str],
+    asks: Sequence[Ask],
+    offsets: DataFrame | None = None,
+) -> DataFrame:
+    """Quantiles from a table of ``(keys, range, value, n)``: keys and ``quantiles``.
+
+    ``offsets`` says what lies before the ranges, if ``counts`` holds only some.
+    """
+    keys = list(keys)
+    slots = _Slots(asks)
+    fractions = slots.fractions
+    placed = with_positions(counts, keys, "value", "n", slots.within, offsets)
     start = F.col("start")
-    hits = between(F.col("wanted"), start, start + F.col("n"), F.col("total"))
+    hits = slots.between(F.col("wanted"), start, start + F.col("n"), F.col("total"))
     found = placed.select(*keys, "value", "total", F.explode(hits).alias("slot"))
     # One entry per slot and key.
     grouped = found.groupBy(*keys).agg(
@@ -105,13 +138,6 @@ def quantiles_of_counts(
     return grouped.select(*keys, F.transform(wanted, quantile).alias("quantiles"))
 
 
-def _variable_ranges(edges: Sequence[Sequence[float]]) -> Column:
-    """Range number of a value by the edges of its variable."""
-    value = F.col("value")
-    cases = ((F.col("variable") == i, bucket_of(value, e)) for i, e in enumerate(edges))
-    return first_match(cases, F.lit(None).cast("int"))
-
-
 def value_counts(
     df: DataFrame, keys: Sequence[str], variables: Sequence[Column]
 ) -> DataFrame:
@@ -128,29 +154,120 @@ def value_counts(
     )
 
 
-def counted_quantiles(
-    counts: DataFrame,
+def _ranged_entries(
+    df: DataFrame, keys: Sequence[str], variables: Sequence[Column], edges: Sequence[Sequence[float]]
+) -> DataFrame:
+    """A row per key, variable number and value, with the range of the value."""
+    values = {f"__value{i}__": v.cast("double") for i, v in enumerate(variables)}
+    slim = df.select(*keys, *(v.alias(name) for name, v in values.items()))
+    ranges = {name: f"__range{i}__" for i, name in enumerate(values)}
+    placed = with_buckets(slim, dict(zip(values, edges)), ranges)
+    entries = [
+        F.struct(F.lit(i).alias("variable"), F.col(v).alias("value"), F.col(r).alias(RANGE))
+        for i, (v, r) in enumerate(ranges.items())
+    ]
+    return placed.select(*keys, F.inline(F.array(*entries))).filter(F.col("value").isNotNull())
+
+
+def _at_levels(
+    counts: DataFrame, keys: Sequence[str], levels: Mapping[int, Sequence[str]] | None
+) -> DataFrame:
+    """Every row once per level, with the number of the level and nulls for keys it has not."""
+    if levels is None:
+        return counts.withColumn(LEVEL, F.lit(0))
+    entries = []
+    for number, kept in levels.items():
+        own = [
+            (F.col(k) if k in kept else F.lit(None).cast(counts.schema[k].dataType)).alias(k)
+            for k in keys
+        ]
+        entries.append(F.struct(*own, F.lit(number).alias(LEVEL)))
+    rest = [c for c in counts.columns if c not in keys]
+    return counts.select(*rest, F.inline(F.array(*entries)))
+
+
+def selected_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    variables: Sequence[Column],
+    asks: Sequence[Ask],
+    edges: Sequence[Sequence[float]],
+    levels: Mapping[int, Sequence[str]] | None = None,
+    spread: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Quantiles of several variables by rank selection: keys, ``__level__``, ``variable``, ``quantiles``.
+
+    ``edges`` cut each variable into ranges. The ranges that hold a wanted rank
+    of any key are at most all ranges of all variables, so they are broadcast;
+    with few keys they are a small share, and with many keys each holds few
+    rows of a range. ``levels`` are numbered subsets of the keys to which the
+    small counts roll up; ``spread`` may send counts to several groups.
+    """
+    keys = list(keys)
+    slots = _Slots(asks)
+    spread = spread or (lambda counts: counts)
+    entries = _ranged_entries(df, keys, variables, edges)
+    own, n = [*keys, LEVEL, "variable"], F.count(F.lit(1)).alias("n")
+
+    def rolled_up(counts: DataFrame, *more: str) -> DataFrame:
+        spreaded = _at_levels(spread(counts), keys, levels)
+        return spreaded.groupBy(*own, RANGE, *more).agg(F.sum("n").alias("n"))
+
+    per_range = rolled_up(entries.groupBy(*keys, "variable", RANGE).agg(n))
+    offsets = range_offsets(per_range, own, "n", slots.within)
+    # Bounded by variables x ranges.
+    wanted = F.broadcast(offsets.select("variable", RANGE).distinct())
+    near = entries.join(wanted, ["variable", RANGE], "left_semi")
+    counts = rolled_up(near.groupBy(*keys, "variable", RANGE, "value").agg(n), "value")
+    return quantiles_of_counts(counts, own, asks, offsets)
+
+
+def level_quantiles(
+    df: DataFrame,
     keys: Sequence[str],
+    variables: Sequence[Column],
     asks: Sequence[Ask],
     sketches: Sequence[Sketch],
     limit: int = MAP_LIMIT,
-    roll_up: bool = False,
+    levels: Mapping[int, Sequence[str]] | None = None,
+    spread: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Quantiles of every key and variable of ``value_counts``.
+    """``selected_quantiles``, or maps of values where the sketches say that they are tiny."""
+    limit = min(limit, MAP_LIMIT)
+    if _fit_into_maps(asks, sketches, limit):
+        counts = value_counts(df, keys, variables)
+        counts = _at_levels(counts if spread is None else spread(counts), keys, levels)
+        return _map_quantiles(counts, [*keys, LEVEL, "variable"], asks)
+    edges = [s.edges or [] if s.distinct > limit else [] for s in sketches]
+    return selected_quantiles(df, keys, variables, asks, edges, levels, spread)
 
-    With ``roll_up``, counts of finer keys are added up first.
-    """
+
+def _fit_into_maps(asks: Sequence[Ask], sketches: Sequence[Sketch], limit: int) -> bool:
+    return all(a.interpolation == "linear" for a in asks) and all(s.distinct <= limit for s in sketches)
+
+
+def _map_quantiles(counts: DataFrame, keys: Sequence[str], asks: Sequence[Ask]) -> DataFrame:
+    fractions = [a.fraction for a in asks]
+    return counts.groupBy(*keys).agg(F.percentile("value", fractions, F.col("n")).alias("quantiles"))
+
+
+def counted_quantiles(
+    counts: DataFrame,
+    asks: Sequence[Ask],
+    sketches: Sequence[Sketch],
+    limit: int = MAP_LIMIT,
+) -> DataFrame:
+    """Quantiles of every variable of ``value_counts``, where all values are counted anyway."""
     limit = min(limit, MAP_LIMIT)
-    keys = [*keys, "variable"]
-    merged = counts
-    if roll_up:
-        merged = counts.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
-    linear = all(a.interpolation == "linear" for a in asks)
-    if linear and all(s.distinct <= limit for s in sketches):
-        fractions = [a.fraction for a in asks]
-        return merged.groupBy(*keys).agg(F.percentile("value", fractions, F.col("n")).alias("quantiles"))
-    edges = [s.edges if s.distinct > limit else [] for s in sketches]
-    return quantiles_of_counts(merged.withColumn(RANGE, _variable_ranges(edges)), keys, asks)
+    if _fit_into_maps(asks, sketches, limit):
+        return _map_quantiles(counts, ["variable"], asks)
+    value = F.col("value")
+    cases = (
+        (F.col("variable") == i, bucket_of(value, s.edges if s.distinct > limit else []))
+        for i, s in enumerate(sketches)
+    )
+    placed = counts.withColumn(RANGE, first_match(cases, F.lit(None).cast("int")))
+    return quantiles_of_counts(placed, ["variable"], asks)
 
 
 def group_quantiles(
@@ -176,12 +293,9 @@ def group_quantiles(
             F.percentile("value", list(fractions)).alias("quantiles")
         ).filter(F.col("quantiles").isNotNull())
     edges = range_edges(values, "value", sketch, limit)
-    counts = (
-        values.groupBy(*keys, "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn(RANGE, bucket_of(F.col("value"), edges))
-    )
-    return quantiles_of_counts(counts, keys, [Ask(q, interpolation) for q in fractions])
+    asks = [Ask(q, interpolation) for q in fractions]
+    found = selected_quantiles(values, keys, [F.col("value")], asks, [edges])
+    return found.drop(LEVEL, "variable")
 
 
 def column_quantiles(
@@ -213,9 +327,8 @@ def column_quantiles(
         for i, c in enumerate(small):
             result[c] = list(row[f"q{i}"] or missing)
     if large:
-        counts = value_counts(values, [], [F.col(c) for c in large])
-        asks, known = [Ask(q) for q in fractions], [sketches[c] for c in large]
-        for row in counted_quantiles(counts, [], asks, known, limit).collect():
+        asks, edges = [Ask(q) for q in fractions], [sketches[c].edges or [] for c in large]
+        for row in selected_quantiles(values, [], [F.col(c) for c in large], asks, edges).collect():
             result[large[row["variable"]]] = list(row["quantiles"])
     return result
 

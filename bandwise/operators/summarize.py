@@ -22,10 +22,9 @@ from bandwise.operators.metrics import (
     Quantile,
 )
 from bandwise.operators.ordering import null_safe_join, sketch_columns
-from bandwise.operators.quantiles import counted_quantiles, value_counts
+from bandwise.operators.quantiles import LEVEL, level_quantiles
 from bandwise.sources.union import SOURCE
 
-LEVEL = "__level__"
 QUANTILES = "__quantiles__"
 _REACH = "__reach__"
 
@@ -157,9 +156,9 @@ def _quantile_maps(
 ) -> DataFrame:
     """All quantiles of a summary: dimensions, level and variable -> quantiles.
 
-    One sketch pass and one counting pass over the rows serve every column,
-    source set, fraction and level; levels roll up the counts. ``expand`` may
-    send counts to several groups.
+    One sketch pass and two counting passes (one for few distinct values) serve
+    every column, source set, fraction and level; levels roll up the counts.
+    ``expand`` may send counts to several groups.
     """
     columns = list(dict.fromkeys(column for column, _ in layout.variables))
     numbers = rows.select(*(F.col(c).cast("double").alias(c) for c in columns))
@@ -170,20 +169,12 @@ def _quantile_maps(
         F.col(column) if key is None else F.when(layout.member(key), F.col(column))
         for column, key in layout.variables
     ]
-    counts = value_counts(rows, dims, values)
-    if expand is not None:
-        counts = expand(counts)
-    pieces = []
-    for level in levels:
-        finest = expand is None and len(level) == len(dims)
-        found = counted_quantiles(counts, level, layout.asks, sketches, limit, not finest)
-        # One entry per variable.
-        entry = F.struct("variable", "quantiles")
-        per_group = found.groupBy(*level).agg(
-            F.map_from_entries(F.collect_list(entry)).alias(QUANTILES)
-        )
-        pieces.append(_with_level(per_group, rows, dims, level, QUANTILES))
-    return reduce(DataFrame.unionByName, pieces)
+    numbered = {_level(dims, level): level for level in levels}
+    found = level_quantiles(rows, dims, values, layout.asks, sketches, limit, numbered, expand)
+    # One entry per variable.
+    entries = F.collect_list(F.struct("variable", "quantiles"))
+    maps = found.groupBy(*dims, LEVEL).agg(F.map_from_entries(entries).alias(QUANTILES))
+    return maps.withColumn(LEVEL, F.col(LEVEL).cast("bigint"))
 
 
 def _with_level(

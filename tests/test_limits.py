@@ -9,9 +9,9 @@ from bandwise.functions.labels import format_value, quantile_label
 from bandwise.operators.bands import Band, clip_outer_bounds
 from bandwise.operators.information_value import iv_ranking
 from bandwise.operators.loss_bands import value_step
-from bandwise.operators.ordering import RANGE, ranged_rows
+from bandwise.operators.ordering import RANGE, Sketch, ranged_rows, with_buckets
 from bandwise.operators.profile import quantile_table
-from bandwise.operators.quantiles import column_quantiles
+from bandwise.operators.quantiles import Ask, column_quantiles, level_quantiles, selected_quantiles
 from bandwise.plans.chain import Step, score, scoring_sql
 
 INF = math.inf
@@ -84,3 +84,58 @@ def test_scoring_text_runs_elsewhere(spark):
     con.executemany("INSERT INTO t VALUES (?, ?)", rows)
     found = con.execute(f'SELECT x, c, segment FROM ({scoring_sql(chain, "t", quote=chr(34))})').fetchall()
     assert sorted(map(repr, found)) == expected
+
+
+def _exchanges_by_value(plan: str) -> list[tuple[str, str]]:
+    """Each exchange keyed by a value, with the part of the plan below it."""
+    lines = plan.split("\n")
+    found = []
+    for i, line in enumerate(lines):
+        if "Exchange hashpartitioning" in line and "value#" in line.split("ENSURE")[0]:
+            depth = len(line) - len(line.lstrip(" :+-|"))
+            below = []
+            for later in lines[i + 1 :]:
+                if len(later) - len(later.lstrip(" :+-|")) <= depth:
+                    break
+                below.append(later)
+            found.append((line, "\n".join(below)))
+    return found
+
+
+def test_only_values_in_wanted_ranges_are_shuffled(spark):
+    rows = spark.range(30_000).select((F.col("id") % 3).alias("k"), F.rand(1).alias("x"), F.rand(2).alias("y"))
+    edges = [[i / 512 for i in range(1, 512)]] * 2
+    asks = [Ask(0.5), Ask(0.9, "nearest")]
+    found = selected_quantiles(rows, ["k"], [F.col("x"), F.col("y")], asks, edges, {0: ["k"], 1: []})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    by_value = _exchanges_by_value(plan)
+    assert by_value
+    for _, below in by_value:
+        assert "BroadcastHashJoin" in below and "LeftSemi" in below
+
+
+def test_selection_agrees_with_maps_for_groups_levels_and_odd_values(spark):
+    values = [None, float("nan"), float("inf"), float("-inf"), -0.0, 0.0, 1e300, *[i * 0.37 for i in range(200)], *[7.5] * 90]
+    rows = spark.createDataFrame(
+        [(g, v, i) for g in ("a", "b", None) for i, v in enumerate(values) if g != "b" or i % 3], "g string, x double, y long"
+    )
+    asks = [Ask(q) for q in (0.0, 0.1, 0.5, 0.77, 1.0)]
+    levels = {0: ["g"], 1: []}
+    variables = [F.col("x"), F.col("y")]
+    plain = [Sketch(1, [])] * 2
+    expected = level_quantiles(rows, ["g"], variables, asks, plain, levels=levels)
+    for edges in ([], [7.5], [i * 0.37 for i in range(100)], sorted(i * 0.371 for i in range(511))):
+        got = selected_quantiles(rows, ["g"], variables, asks, [edges, edges], levels)
+        key = lambda r: (r["__level__"], r["g"] or "", r["variable"])
+        for a, b in zip(sorted(got.collect(), key=key), sorted(expected.collect(), key=key), strict=True):
+            assert key(a) == key(b) and repr(a["quantiles"]) == repr(b["quantiles"])
+
+
+def test_buckets_of_all_values_by_search(spark):
+    values = [None, float("nan"), float("inf"), float("-inf"), *[i / 7 for i in range(-20, 700)]]
+    rows = spark.createDataFrame([(v,) for v in values], "x double")
+    for count in (0, 5, 30, 64, 200, 511):
+        edges = [i * 100 / (count + 1) for i in range(count)]
+        got = with_buckets(rows, {"x": edges}, {"x": "r"}).filter("x is not null").collect()
+        for x, r in got:
+            assert r == (count if x != x else sum(e < x for e in edges)), (count, x)
