@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from bandwise.sources.records import has_open_quotes, lines_of, records_of, with_maps
+
 WHITESPACE = r"\s+"
 
 # What a text cell must look like to count as a given type.
@@ -25,39 +27,52 @@ def read_csv(
     delimiter: str = ",",
     header_row: int = 0,
     schema: StructType | None = None,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Read delimited text; the first ``header_row`` lines of each file are skipped.
 
     ``schema`` skips inference, which otherwise costs one pass over the data.
-    Quoted cells may hold delimiters and doubled quotes. ``multi_line`` also
-    allows line breaks in them, for files whose header is the first line; such
-    files cannot be split. Without it, a line with an open quote is refused where
-    types are inferred. Cells that a row has too many are dropped, those it lacks
-    are null, as is a cell that doesn't fit the given schema.
+    Quoted cells may hold delimiters, doubled quotes and line breaks; a quote
+    that does not open a cell is a character, and every line break in a cell is
+    read as a line feed. Files are read in splits whether
+    cells hold line breaks or not. ``multi_line`` says whether they do; None
+    finds out in a pass of its own. With False, and for delimiters of several
+    characters, a cell that is still open at the end of its line ends there. Cells that a row has too many are dropped, those
+    it lacks are null, as is a cell that doesn't fit the given schema. Lines
+    without any character but blanks are skipped. Whitespace-separated text has
+    no quotes.
     """
     if header_row < 0:
         raise ValueError("header_row must not be negative")
-    if header_row == 0 and delimiter != WHITESPACE:
-        reader = spark.read.options(header=True, multiLine=multi_line, **_options(delimiter))
-        if schema is None:
-            if not multi_line:
-                _refuse_open_quotes(spark, path)
-            cells = reader.csv(path)
-            schema = infer_schema(cells)
+    if delimiter == WHITESPACE:
+        cells = _cells_from_lines(_numbered_lines(spark, path), path, delimiter, header_row)
+    else:
+        broken = None
+        if multi_line and len(delimiter) != 1:
+            raise ValueError("line breaks in cells need a delimiter of one character")
+        if multi_line is not False and len(delimiter) == 1:
+            lines = with_maps(_numbered_lines(spark, path), delimiter, header_row)
+            if multi_line or has_open_quotes(lines):
+                broken = records_of(lines)
+        if broken is not None:
+            cells = _cells_from_lines(broken, path, delimiter, header_row)
+        elif header_row == 0:
+            cells = spark.read.options(header=True, **_options(delimiter))
+            if schema is not None:
+                texts = [StructField(f.name, StringType()) for f in schema.fields]
+                cells = cells.schema(StructType(texts))
+            cells = cells.csv(path)
         else:
-            texts = [StructField(f.name, StringType()) for f in schema.fields]
-            cells = reader.schema(StructType(texts)).csv(path)
-        return cells.select(*(_typed(F.col(f"`{f.name}`"), f) for f in schema.fields))
-    if multi_line:
-        raise ValueError("line breaks in cells need delimited files that start with the header")
-
-    cells = _cells_from_lines(spark, path, delimiter, header_row)
+            cells = _cells_from_lines(_numbered_lines(spark, path), path, delimiter, header_row)
     if schema is None:
         schema = infer_schema(cells)
     return cells.select(*(_typed(F.col(f"`{f.name}`"), f) for f in schema.fields))
 
 
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    return lines_of(spark, path).withColumn("value", F.regexp_replace("value", "\r$", ""))
+
+
 def infer_schema(text: DataFrame) -> StructType:
     """Narrowest type that fits every cell of each text column, in one pass."""
 
@@ -96,45 +111,23 @@ def _options(delimiter: str) -> dict[str, str]:
     return {"sep": delimiter, "quote": '"', "escape": '"'}
 
 
-def _refuse_open_quotes(spark: SparkSession, path: str) -> None:
-    quotes = F.regexp_count("value", F.lit('"'))
-    if not spark.read.text(path).filter(quotes % 2 == 1).isEmpty():
-        raise ValueError(f"a quote stays open at the end of a line in {path}; pass multi_line=True")
-
-
 def _typed(cell: Column, field: StructField) -> Column:
     return cell.try_cast(field.dataType).alias(field.name)
 
 
 def _cells_from_lines(
-    spark: SparkSession, path: str, delimiter: str, header_row: int
+    lines: DataFrame, path: str, delimiter: str, header_row: int
 ) -> DataFrame:
-    """Text columns of files whose header is not simply the first line.
-
-    Lines are numbered within the block at offset 0 of each file, so only a
-    line's position decides whether it is skipped, never its content. The first
-    block of a file always holds its opening lines.
-    """
-    lines = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("line"),
-    )
-    firsts = lines.filter("start = 0").groupBy("file").agg(F.min("line").alias("first"))
-    # One row per file, so no larger than the file listing the driver holds anyway;
-    # a shuffle by file would put each file into one task.
-    numbered = lines.join(F.broadcast(firsts), "file").withColumn(
-        "position", F.when(F.col("start") == 0, F.col("line") - F.col("first"))
-    )
+    """Text columns of lines or records, with the header at a position in the first block of each file."""
+    spark = lines.sparkSession
     header = (
-        numbered.filter(F.col("position") == header_row)
+        lines.filter(F.col("position") == header_row)
         .select(F.min_by("value", "file").alias("value"))
         .first()["value"]
     )
     if header is None:
         raise ValueError(f"no header line {header_row} in {path}")
-    body = numbered.filter(
+    body = lines.filter(
         (F.col("position").isNull() | (F.col("position") > header_row))
         & (F.trim("value") != "")
     ).select("value")
@@ -147,7 +140,7 @@ def _cells_from_lines(
         )
     head_schema = StructType([StructField("line", StringType())])
     names_row = spark.createDataFrame([(header,)], head_schema)
-    width = header.count(delimiter) + 1
+    width = header.count(delimiter) + 1  # at least; quoted names may hold delimiters
     raw = ", ".join(f"c{i} string" for i in range(width))
     options = _options(delimiter)
     first = names_row.select(F.from_csv("line", raw, options).alias("r")).first()["r"]

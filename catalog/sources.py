@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from bandwise.operators.bands import quantile_bands
 from bandwise.plans.chain import Step, score
-from bandwise.sources.reader import read_csv
+from bandwise.sources.reader import WHITESPACE, read_csv
 from bandwise.sources.union import (
     SOURCE,
     common_columns,
@@ -176,6 +176,68 @@ def csv_round_trip(spark, sf_dir):
     )
 
 
+@query(
+    """
+    SELECT doc_id, lang, n_chars, length(body) AS length, sha256(body) AS digest
+    FROM (SELECT *, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS body FROM documents)
+    WHERE body <> ''
+    """
+)
+def csv_quoted_text(spark, sf_dir):
+    """Whole texts with line breaks, quotes and delimiters in quoted cells, written and read back in splits."""
+    path = shared_folder(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text").filter("text <> ''")
+    options = {"quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    docs.write.options(header=True, **options).csv(path)
+    read = read_csv(spark, path)
+    return read.select(
+        "doc_id", "lang", "n_chars", F.char_length("text").alias("length"), F.sha2("text", 256).alias("digest")
+    )
+
+
+@query(
+    """
+    SELECT o_orderstatus, count(*) AS n, CAST(sum(CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END) AS BIGINT) AS keys,
+      count(CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 1 END) AS known, 'bigint' AS key_type, 'string' AS empty_type
+    FROM orders GROUP BY o_orderstatus
+    """
+)
+def csv_with_missing_integers(spark, sf_dir):
+    """Integers of which some are missing stay integers; a column without any value is text."""
+    path = shared_folder(spark)
+    key = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey"))
+    orders = table(spark, sf_dir, "orders").select("o_orderstatus", key.alias("key"), F.lit(None).cast("string").alias("empty"))
+    write_scored(orders, path, format="csv")
+    read = read_csv(spark, path)
+    kinds = [F.lit(read.schema[c].dataType.simpleString()).alias(f"{c}_type") for c in ("key", "empty")]
+    return read.groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("key").alias("keys"), F.count("key").alias("known"), *kinds
+    )
+
+
+@query(
+    """
+    SELECT l_linenumber, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys, round(sum(l_quantity), 2) AS quantity
+    FROM lineitem GROUP BY l_linenumber
+    """
+)
+def csv_whitespace(spark, sf_dir):
+    """Several files of cells apart by runs of blanks and tabs, each with its header."""
+    path = shared_folder(spark)
+    items = table(spark, sf_dir, "lineitem").select(
+        F.pmod("l_orderkey", F.lit(3)).cast("int").alias("part"),
+        F.lit(1).alias("place"),
+        F.concat(F.lit(" "), "l_orderkey", F.lit(" \t "), "l_linenumber", F.lit("   "), "l_quantity", F.lit("\t")).alias("value"),
+    )
+    heads = [(i, 0, "l_orderkey l_linenumber\tl_quantity") for i in range(3)]
+    lines = items.unionByName(spark.createDataFrame(heads, "part int, place int, value string"))
+    lines.repartition("part").sortWithinPartitions("part", "place").select("part", "value").write.partitionBy("part").text(path)
+    read = read_csv(spark, path, delimiter=WHITESPACE)
+    return read.groupBy(F.col("l_linenumber").cast("int").alias("l_linenumber")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"), rounded(F.sum("l_quantity"), 2).alias("quantity")
+    )
+
+
 @query(
     """
     SELECT n_regionkey, count(*) AS n, CAST(sum(n_nationkey) AS BIGINT) AS keys,

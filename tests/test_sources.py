@@ -1,7 +1,13 @@
+import csv
+import io
+import random
+
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from bandwise.sources.reader import WHITESPACE, read_csv
+from bandwise.sources.records import lines_of, records_of, with_maps
 from bandwise.sources.union import (
     SOURCE,
     common_columns,
@@ -113,11 +119,99 @@ def test_csv_with_missing_integers_quotes_and_infinities(spark, tmp_path):
     assert types(skipped) == types(df) and [tuple(r) for r in skipped.collect()] == rows
 
 
+@pytest.fixture()
+def small_splits(spark):
+    """Files are read in splits of few bytes."""
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "48")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    for k, v in before.items():
+        if v is None:
+            spark.conf.unset(k)
+        else:
+            spark.conf.set(k, v)
+
+
 def test_line_breaks_in_cells(spark, tmp_path):
     path = write(tmp_path, "m.csv", 'a,b\n1,"two\nlines"\n2,x\n')
-    with pytest.raises(ValueError, match="multi_line"):
-        read_csv(spark, path)
-    assert [tuple(r) for r in read_csv(spark, path, multi_line=True).collect()] == [(1, "two\nlines"), (2, "x")]
+    assert rows(read_csv(spark, path)) == rows(read_csv(spark, path, multi_line=True)) == [(1, "two\nlines"), (2, "x")]
+    skipped = write(tmp_path, "m1.csv", 'said "so\n\na,b\r\n1,"a\r\nb"\r\n2,c\r\n')
+    assert rows(read_csv(spark, skipped, header_row=2)) == [(1, "a\nb"), (2, "c")]
+    typed = read_csv(spark, path, schema=StructType.fromDDL("a string, b string"))
+    assert rows(typed) == [("1", "two\nlines"), ("2", "x")]
+    with pytest.raises(ValueError, match="one character"):
+        read_csv(spark, path, delimiter="::", multi_line=True)
+
+
+def test_quotes_within_cells_are_characters(spark, tmp_path):
+    path = write(tmp_path, "p.csv", 'a,b\n1,5" pipe\n2,"6"" pipe"\n3,x"y"z\n')
+    assert rows(read_csv(spark, path)) == [(1, '5" pipe'), (2, '6" pipe'), (3, 'x"y"z')]
+    path = write(tmp_path, "p1.csv", 'noise "\na;b\n1;5" pipe\n2;"6\n7"\n')
+    assert rows(read_csv(spark, path, delimiter=";", header_row=1)) == [(1, '5" pipe'), (2, "6\n7")]
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+CELLS = ["", "x", "two\nlines", "\n", 'say "hi"', '"', '""', "a,b", 'end"\n"begin', "é" * 30, "\n\n\n" + "long " * 40 + "\n", ' 5" pipe', '"\n,"']
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_records_of_many_splits(spark, tmp_path, small_splits, seed):
+    """Against Python's own reader; cells hold breaks, quotes and delimiters, and some span several splits."""
+    rng = random.Random(seed)
+    expected = []
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for name in ("x.csv", "y.csv"):
+        table = [[str(i), rng.choice(CELLS), rng.choice(CELLS)] for i in range(60)]
+        out = io.StringIO()
+        out.write("noise with a quote \" here\n")
+        writer = csv.writer(out, lineterminator=rng.choice(["\n", "\r\n"]))
+        writer.writerows([["k", "a", "b"], *table])
+        (folder / name).write_text(out.getvalue())
+        text = out.getvalue().split("\n", 1)[1]
+        expected += [tuple(r) for r in list(csv.reader(io.StringIO(text, newline="")))[1:]]
+    lines = with_maps(lines_of(spark, str(folder)), ",", 1)
+    assert lines.rdd.getNumPartitions() > 20
+    found = records_of(lines).filter("position is null or position > 1")
+    assert sorted(r["value"].rstrip("\r") for r in found.collect()) == sorted(_raw(folder))
+    schema = StructType.fromDDL("k string, a string, b string")
+    got = read_csv(spark, str(folder), header_row=1, schema=schema, multi_line=True)
+    assert rows(got.fillna("")) == sorted(expected, key=repr)
+
+
+def _raw(folder):
+    """The records as they stand in the files, cut by a state machine over characters."""
+    for path in folder.iterdir():
+        text = path.read_bytes().decode().split("\n", 1)[1]
+        inside, at_start, record, found, i = False, True, "", [], 0
+        while i < len(text):
+            c = text[i]
+            if inside and c == '"':
+                if text[i + 1 : i + 2] == '"':
+                    record += '"'
+                    i += 1
+                else:
+                    inside = False
+            elif at_start and c == '"':
+                inside = True
+            elif c == "\n" and not inside:
+                found.append(record.rstrip("\r"))
+                record, at_start, i = "", True, i + 1
+                continue
+            record += c
+            at_start = c == "," and not inside
+            i += 1
+        yield from found[1:]
+
+
+def test_a_record_that_is_never_closed_ends_with_its_file(spark, tmp_path, small_splits):
+    path = write(tmp_path, "o.csv", "a,b\n1,x\n2,\"" + "open\n" * 40)
+    assert rows(read_csv(spark, path))[0] == (1, "x")
+    assert len(rows(read_csv(spark, path))) == 2
 
 
 def test_ragged_rows(spark, tmp_path):
