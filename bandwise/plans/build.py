@@ -37,9 +37,10 @@ from bandwise.operators.grid import (
 )
 from bandwise.operators.loss_bands import (
     LossRate,
-    grid_bands,
+    ValueTable,
     loss_rate_bands,
     loss_rate_categories,
+    table_bands,
 )
 from bandwise.operators.segments import (
     INF,
@@ -52,6 +53,7 @@ from bandwise.plans.chain import SEGMENT, Chain, Step, score
 from bandwise.sources.union import NUMERICAL, kind_of
 
 DEFAULT_CHILD_BANDS = 10
+_CELLS = "band_id int, parent_id int, rate double"
 
 
 def _distinct_limits(df: DataFrame, segments: Sequence[Segment]) -> list[Segment]:
@@ -143,23 +145,24 @@ def child_step(
     spark, limits = df.sparkSession, _distinct_limits(df, segments)
     rows = score(keep(df, where), chain).withColumnRenamed(SEGMENT, "parent_id")
     if numeric:
-        found = grid_bands(
-            rows, variable, "parent_id", limits, loss, upgrade, downgrade, high_is_risky
-        )
-        bands = _clipped(df, variable, found, include_min)
+        with ValueTable(rows, variable, loss, ["parent_id"]) as table:
+            found = table_bands(table, limits, upgrade, downgrade, high_is_risky)
+            bands = _clipped(df, variable, found, include_min)
+            # Bands x segments rows.
+            cells = spark.createDataFrame(table.cell_rates(bands).collect(), _CELLS)
     else:
         listed = collect_categories(
             loss_rate_categories(rows, variable, limits, loss), max_categories
         )
         members = {b.id: b for b in listed}
         bands = [members.get(s.id, Band(s.id, categories=frozenset())) for s in limits]
-
-    below = F.sum(loss.denominator) if loss.denominator else F.count(F.lit(1))
-    cells = (
-        rows.withColumn("band_id", assign(F.col(variable), bands))
-        .groupBy("band_id", "parent_id")
-        .agg((ratio(F.coalesce(F.sum(loss.numerator), F.lit(0)), below) * loss.annual).alias("rate"))
-    )
+        below = F.sum(loss.denominator) if loss.denominator else F.count(F.lit(1))
+        rate = ratio(F.coalesce(F.sum(loss.numerator), F.lit(0)), below) * loss.annual
+        cells = (
+            rows.withColumn("band_id", assign(F.col(variable), bands))
+            .groupBy("band_id", "parent_id")
+            .agg(rate.alias("rate"))
+        )
     ids = spark.createDataFrame([(b.id,) for b in bands], "band_id int")
     targets = assign_targets(cells, ids, limits, loss, upgrade, downgrade)
     # From here on only the grid itself, bands x segments rows.

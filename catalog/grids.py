@@ -1,5 +1,7 @@
 """Second variables: bands within parents, grids, their merging and description."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from bandwise.operators.bands import (
@@ -23,8 +25,14 @@ from bandwise.operators.grid import (
     merge_equal_categories,
     monotone_grid,
 )
-from bandwise.operators.loss_bands import LossRate, grid_bands, loss_rate_categories
-from bandwise.operators.segments import segment_frame
+from bandwise.operators.loss_bands import (
+    LossRate,
+    ValueTable,
+    grid_bands,
+    loss_rate_categories,
+    table_bands,
+)
+from bandwise.operators.segments import INF, segment_frame
 from bandwise.plans.build import child_step, root_step
 from bandwise.plans.chain import score
 from catalog.chains import SCORED, SEGMENTS, quantity_step, two_step_chain
@@ -302,3 +310,138 @@ def chain_built_and_scored(spark, sf_dir):
     return score(rows, [root, child]).groupBy("segment").agg(
         F.count(F.lit(1)).alias("n"), rounded(F.sum("loss") / F.sum("balance"), 8).alias("rate")
     )
+
+
+# Limits around the overall loss rate, at which bands merge, targets reach their limits and cells change.
+_NEAR = [replace(s, upper_rate=u) for s, u in zip(SEGMENTS, (0.0155, 0.0165, 0.018, INF))]
+_SCALED = [replace(s, upper_rate=u) for s, u in zip(SEGMENTS, (0.0161, 0.0166, 0.017, INF))]
+
+
+def _near_sql(column: str, segments, loss: LossRate, reach: int, rising: bool) -> str:
+    """Greedy bands within each parent, cell rates, targets and merging; segments and scaling as given."""
+    rows = ", ".join(
+        f"({s.id}, {s.upper_rate if s.upper_rate < INF else 1e308}::DOUBLE, {loss.factor(s)!r}::DOUBLE)" for s in segments
+    )
+    kept, beyond = ("max(v)", "edge.low") if rising else ("min(v) - 1", "edge.high")
+    order, numbered = ("v", "lower") if rising else ("v DESC", "lower DESC")
+    last = len(segments) - 1
+    head = SCORED.replace("scored AS (SELECT *, least(greatest(parent + band - 1, 0), 3) AS segment FROM rooted),", "")
+    return head + f""",
+    near(id, upper_rate, factor) AS (VALUES {rows}),
+    lim AS (SELECT p.id AS parent, s.id AS k, max(s.upper_rate / s.factor) OVER (PARTITION BY p.id ORDER BY s.id) AS t
+            FROM near p JOIN near s ON abs(s.id - p.id) <= {reach}),
+    rates AS (SELECT parent, {column}::DOUBLE AS v, sum(loss) / sum(balance) AS r FROM rooted GROUP BY 1, 2),
+    took AS (SELECT parent, v, coalesce((SELECT min(k) FROM lim WHERE lim.parent = rates.parent AND r < t), 99) AS k FROM rates),
+    walk AS (SELECT parent, v, max(k) OVER (PARTITION BY parent ORDER BY {order}) AS s FROM took),
+    edge AS (SELECT parent, min(v) - 1 AS low, max(v) AS high FROM rates GROUP BY 1),
+    points AS (
+      SELECT low AS x FROM edge UNION SELECT high FROM edge
+      UNION SELECT coalesce((SELECT {kept} FROM walk WHERE walk.parent = lim.parent AND s <= lim.k), {beyond})
+      FROM lim JOIN edge USING (parent) WHERE lim.k < least(lim.parent + {reach}, {last})),
+    pairs AS (SELECT x AS lower, lead(x) OVER (ORDER BY x) AS upper FROM points),
+    bands AS (SELECT CAST(row_number() OVER (ORDER BY {numbered}) - 1 AS INT) AS band_id, lower, upper FROM pairs WHERE upper IS NOT NULL),
+    cells AS (SELECT band_id, parent AS parent_id, sum(loss) / sum(balance) AS rate FROM rooted
+              JOIN bands ON {column} > lower AND {column} <= upper GROUP BY 1, 2),
+    grid AS (
+      SELECT b.band_id, p.id AS parent_id,
+        CASE WHEN c.rate IS NULL THEN p.id
+             ELSE coalesce((SELECT min(s.id) FROM near s WHERE abs(s.id - p.id) <= {reach} AND c.rate * greatest(s.factor, 1) < s.upper_rate),
+                           least(p.id + {reach}, {last})) END AS target_id
+      FROM bands b CROSS JOIN near p LEFT JOIN cells c ON c.band_id = b.band_id AND c.parent_id = p.id),
+    sig AS (SELECT band_id, string_agg(target_id, ',' ORDER BY parent_id) AS targets FROM grid GROUP BY 1),
+    isles AS (SELECT band_id, CAST(sum(fresh) OVER (ORDER BY band_id) - 1 AS INT) AS new_id FROM (
+      SELECT band_id, CASE WHEN targets = lag(targets) OVER (ORDER BY band_id) THEN 0 ELSE 1 END AS fresh FROM sig)),
+    merged AS (SELECT new_id AS band_id, min(lower) AS lower, max(upper) AS upper FROM isles JOIN bands USING (band_id) GROUP BY 1),
+    merged_grid AS (SELECT DISTINCT new_id AS band_id, parent_id, target_id FROM isles JOIN grid USING (band_id)),
+    swept AS (SELECT band_id, parent_id, max(target_id) OVER (PARTITION BY band_id ORDER BY parent_id) AS t FROM merged_grid),
+    monotone AS (SELECT band_id, parent_id, max(t) OVER (PARTITION BY parent_id ORDER BY band_id) AS target_id FROM swept)
+    """
+
+
+_SCALE = LossRate("loss", "balance", scalar=0.8)
+
+
+def found_bands(rows, column, segments, loss, reach, rising):
+    """Bands of a column within parents and the targets of their cells, from one table of values."""
+    with ValueTable(rows, column, loss, ["parent_id"]) as table:
+        bands = table_bands(table, segments, reach, reach, high_is_risky=rising)
+        cells = table.cell_rates(bands).collect()
+    cells = rows.sparkSession.createDataFrame(cells, "band_id int, parent_id int, rate double")
+    return bands, assign_targets(cells, bands_frame(rows.sparkSession, bands), segments, loss, reach, reach)
+
+
+@query(
+    f"""WITH {_near_sql("tax_pct", _NEAR, _LOSS, 2, False)}
+    SELECT band_id, lower, upper, parent_id, target_id FROM merged JOIN merged_grid USING (band_id)"""
+)
+def falling_bands_merged(spark, sf_dir):
+    """Low values are the risky ones; two neighbouring bands have the same targets and become one."""
+    rows = _with_parent(loans(spark, sf_dir))
+    bands, targets = found_bands(rows, "tax_pct", _NEAR, _LOSS, 2, False)
+    merged, grid = merge_equal_bands(bands_frame(spark, bands), grid_frame(spark, collect_grid(targets)))
+    return merged.join(grid, "band_id")
+
+
+@query(f'WITH {_near_sql("tax_pct", _NEAR, _LOSS, 2, False)} SELECT band_id, parent_id, target_id FROM monotone')
+def falling_grid_made_monotone(spark, sf_dir):
+    """The same grid with the cells raised that were better than one to their left or above."""
+    rows = _with_parent(loans(spark, sf_dir))
+    bands, targets = found_bands(rows, "tax_pct", _NEAR, _LOSS, 2, False)
+    _, grid = merge_equal_bands(bands_frame(spark, bands), grid_frame(spark, collect_grid(targets)))
+    return monotone_grid(grid)
+
+
+@query(f'WITH {_near_sql("tax_pct", _SCALED, _SCALE, 1, True)} SELECT band_id, parent_id, target_id FROM grid')
+def targets_under_scaled_limits(spark, sf_dir):
+    """Bands use each segment's scale factor as it is, targets one of at least 1."""
+    rows = _with_parent(loans(spark, sf_dir))
+    return found_bands(rows, "tax_pct", _SCALED, _SCALE, 1, True)[1]
+
+
+@query(
+    f"""
+    WITH {_near_sql("tax_pct", _NEAR, _LOSS, 2, False)}, f AS (
+      SELECT target_id, loss, balance FROM rooted
+      LEFT JOIN merged ON tax_pct > lower AND tax_pct <= upper
+      LEFT JOIN monotone g ON g.band_id = merged.band_id AND g.parent_id = parent)
+    SELECT target_id AS segment, count(*) AS n, round(sum(loss) / sum(balance), 8) AS rate FROM f GROUP BY 1
+    """
+)
+def monotone_chain_built_and_scored(spark, sf_dir):
+    """A chain with a falling variable and a monotone grid, built by the library, then applied."""
+    rows = loans(spark, sf_dir)
+    root = root_step(rows, "l_quantity", _NEAR)
+    child = child_step(
+        rows, [root], "tax_pct", _NEAR, _LOSS, upgrade=2, downgrade=2, monotone=True, high_is_risky=False
+    )
+    return _summed(score(rows, [root, child]))
+
+
+def _summed(scored):
+    return scored.groupBy("segment").agg(
+        F.count(F.lit(1)).alias("n"), rounded(F.sum("loss") / F.sum("balance"), 8).alias("rate")
+    )
+
+
+@query(
+    f"""
+    WITH {_near_sql("tax_pct", _NEAR, _LOSS, 2, False)},
+    second AS (
+      SELECT rooted.*, target_id AS parent2 FROM rooted JOIN merged ON tax_pct > lower AND tax_pct <= upper
+      JOIN merged_grid g ON g.band_id = merged.band_id AND g.parent_id = parent),
+    modes AS (SELECT l_linenumber AS line, sum(loss) / sum(balance) AS r FROM second GROUP BY 1),
+    cats AS (SELECT line, coalesce((SELECT min(id) FROM near WHERE r < upper_rate), 3) AS cat FROM modes),
+    third AS (SELECT second.*, cat FROM second JOIN cats ON line = l_linenumber),
+    cells3 AS (SELECT cat, parent2, sum(loss) / sum(balance) AS rate FROM third GROUP BY 1, 2),
+    grid3 AS (SELECT cat, parent2, coalesce((SELECT min(s.id) FROM near s WHERE abs(s.id - parent2) <= 1 AND rate < s.upper_rate),
+                least(parent2 + 1, 3)) AS target3 FROM cells3)
+    SELECT target3 AS segment, count(*) AS n, round(sum(loss) / sum(balance), 8) AS rate FROM third JOIN grid3 USING (cat, parent2) GROUP BY 1
+    """
+)
+def three_step_chain_built_and_scored(spark, sf_dir):
+    """Quantity, then tax within it, then line numbers as categories within both."""
+    rows = loans(spark, sf_dir).withColumn("line", F.col("l_linenumber").cast("string"))
+    root = root_step(rows, "l_quantity", _NEAR)
+    child = child_step(rows, [root], "tax_pct", _NEAR, _LOSS, upgrade=2, downgrade=2, high_is_risky=False)
+    last = child_step(rows, [root, child], "line", _NEAR, _LOSS, upgrade=1, downgrade=1)
+    return _summed(score(rows, [root, child, last]))

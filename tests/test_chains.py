@@ -324,3 +324,44 @@ def test_profiles(spark):
     assert (box.n, box.outliers, box.whisker_high) == (105, 1, 99.0)
     impact = filter_impact(df.union(spark.createDataFrame([(None,)], "x double")), {"big": "x > 50"}).first()
     assert (impact.satisfied, impact.failed) == (50, 55)
+
+
+def test_queries_near_the_mean_rate_change_bands_and_cells(spark):
+    """Otherwise their SQL would also hold if merging and monotone grids did nothing."""
+    from bandwise.operators.bands import bands_frame
+    from bandwise.operators.grid import collect_grid, grid_frame, merge_equal_bands, monotone_grid
+    from catalog import grids
+
+    rows = grids._with_parent(grids.loans(spark, "/root/testdata/sf0.01"))
+    bands, targets = grids.found_bands(rows, "tax_pct", grids._NEAR, grids._LOSS, 2, False)
+    found = collect_grid(targets)
+    merged, grid = merge_equal_bands(bands_frame(spark, bands), grid_frame(spark, found))
+    assert merged.count() < len(bands)
+    cells = collect_grid(grid)
+    assert collect_grid(monotone_grid(grid)) != cells
+    assert any(abs(t - p) == 2 for (_, p), t in cells.items()) and any(t != p for (_, p), t in cells.items())
+    scaled = collect_grid(grids.found_bands(rows, "tax_pct", grids._SCALED, grids._SCALE, 1, True)[1])
+    plain = collect_grid(grids.found_bands(rows, "tax_pct", grids._SCALED, grids._LOSS, 1, True)[1])
+    assert scaled != plain
+
+
+def test_child_step_reads_the_scored_rows_once(spark):
+    """The denominator is needed for refusals and cell rates; it is computed once a row."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(value):
+        read.add(1)
+        return value
+
+    rows = spark.range(2000).select(
+        (F.col("id") % 17).cast("double").alias("v"),
+        (F.col("id") % 4).alias("g"),
+        F.when(F.col("id") * 7919 % 100 < F.col("id") % 17 + 5, 1.0).otherwise(0.0).alias("num"),
+        seen(F.lit(1.0)).alias("den"),
+    )
+    segments = [Segment(i, str(i), 0.0, u) for i, u in enumerate((0.08, 0.12, 0.16, INF))]
+    root = Step("g", tuple(Band(i, i - 1.0, float(i)) for i in range(4)))
+    step = child_step(rows, [root], "v", segments, LossRate("num", "den", mob=12, use_scalar=False), 1, 1)
+    assert len(step.bands) > 1
+    assert read.value == 2000
