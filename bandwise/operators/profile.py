@@ -64,19 +64,23 @@ def quantile_table(
 
 
 def box_plot(df: DataFrame, column: str, limit: int = MAP_LIMIT) -> DataFrame:
-    """Quartiles, whiskers at the last values within 1.5 IQR, outliers beyond: one row."""
+    """Quartiles, whiskers at the last values within 1.5 IQR, outliers beyond: one row.
+
+    Without values, all but the counts are null.
+    """
     q1, q2, q3 = column_quantiles(df, [column], [0.25, 0.5, 0.75], limit)[column]
     x = F.col(column).cast("double")
-    if q1 is None:
-        return df.agg(F.count(column).alias("n"))
-    reach = 1.5 * (q3 - q1)
-    inside = (x >= F.lit(q1 - reach)) & (x <= F.lit(q3 + reach))
+    inside = F.lit(None).cast("boolean")
+    if q1 is not None:
+        reach = 1.5 * (q3 - q1)
+        inside = (x >= F.lit(q1 - reach)) & (x <= F.lit(q3 + reach))
+    q1, q2, q3 = (F.lit(q).cast("double") for q in (q1, q2, q3))
     return df.agg(
         F.count(column).alias("n"),
         F.min(x).alias("minimum"),
-        F.lit(q1).alias("q1"),
-        F.lit(q2).alias("median"),
-        F.lit(q3).alias("q3"),
+        q1.alias("q1"),
+        q2.alias("median"),
+        q3.alias("q3"),
         F.max(x).alias("maximum"),
         F.min(F.when(inside, x)).alias("whisker_low"),
         F.max(F.when(inside, x)).alias("whisker_high"),

@@ -54,11 +54,13 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder every executor can reach: under ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests on one machine, a local one is used.
+    Only where that is unset and all runs on one machine, as in tests, a local one is used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return f"{root.rstrip('/')}/bandwise-{uuid.uuid4().hex}"
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{tempfile.mkdtemp(prefix='bandwise-')}/data"
 
 

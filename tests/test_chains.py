@@ -322,6 +322,9 @@ def test_profiles(spark):
     assert [r.percentile for r in distribution_profile(flipped, "x").collect()][0] == "1.0%"
     box = box_plot(df, "x").first()
     assert (box.n, box.outliers, box.whisker_high) == (105, 1, 99.0)
+    empty = box_plot(df.select(F.lit(None).cast("double").alias("x")), "x")
+    assert empty.dtypes == box_plot(df, "x").dtypes
+    assert empty.first().asDict() == dict.fromkeys(empty.columns) | {"n": 0, "outliers": 0}
     impact = filter_impact(df.union(spark.createDataFrame([(None,)], "x double")), {"big": "x > 50"}).first()
     assert (impact.satisfied, impact.failed) == (50, 55)
 
