@@ -1,22 +1,25 @@
 """Metrics: named scalar summaries of rows, evaluated per group.
 
-Three kinds, by what a group has to remember:
+Kinds, by what a group has to remember:
 
-* ``Additive``: a few sums, minima or maxima. Partial results of small groups
-  add up to those of larger ones, so totals, running totals and subtotals come
-  from one pass over the data.
+* ``Additive``: a few sums, minima, maxima, products or sketches of distinct
+  values. Partial results of small groups add up to those of larger ones, so
+  totals, running totals and subtotals come from one pass over the data.
+* ``Central``: central moments, which merge as well.
 * ``Grouped``: any Spark aggregate. One pass, but every level of subtotals is
   aggregated from rows.
 * ``Quantile``: needs the values of a group. All quantiles of a summary share
   one pass that counts distinct values; those counts add up like sums do.
 * ``Holistic``: anything else. Runs as its own distributed plan and is joined
-  back on the group keys.
+  back on the group keys; modes and autocorrelations serve all levels or running
+  groups from one pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -24,12 +27,16 @@ from pyspark.sql import functions as F
 
 from bandwise.functions.arithmetic import as_column, ratio
 from bandwise.functions.labels import format_value
-from bandwise.operators.ordering import (
-    DISTINCT_LIMIT,
-    adjacent_pairs,
-    ranged_rows,
+from bandwise.operators.moments import (
+    Moments,
+    correlation_of,
+    kurtosis_of,
+    skewness_of,
+    variance_of,
 )
-from bandwise.operators.quantiles import MAP_LIMIT, Ask, most_frequent
+from bandwise.operators.ordering import DISTINCT_LIMIT, ranged_rows
+from bandwise.operators.quantiles import MAP_LIMIT, Ask, level_modes, most_frequent, rolled_up
+from bandwise.operators.runs import VIEW, autocorrelations
 
 TOTAL_SIZE = "total_size"
 
@@ -65,13 +72,22 @@ class Metric:
 
 @dataclass(frozen=True)
 class Part:
-    """A row value and the aggregate that combines it: sum, min or max."""
+    """A row value and how it is combined: sum, min, max, product, or hll.
+
+    The last is a sketch of the distinct non-null values, which are integers.
+    """
 
     value: Column
     merge: str = "sum"
 
+    def start(self) -> Column:
+        """The aggregate of rows."""
+        return F.hll_sketch_agg(self.value) if self.merge == "hll" else self.combine(self.value)
+
     def combine(self, value: Column) -> Column:
-        return {"sum": F.sum, "min": F.min, "max": F.max}[self.merge](value)
+        """The aggregate of what ``start`` made of smaller groups."""
+        ways = {"sum": F.sum, "min": F.min, "max": F.max, "product": F.product, "hll": F.hll_union_agg}
+        return ways[self.merge](value)
 
 
 @dataclass(frozen=True)
@@ -83,6 +99,18 @@ class Additive(Metric):
     uses_total_size: bool = False
 
 
+@dataclass(frozen=True)
+class Central(Metric):
+    """``finish`` turns the moments of one input, or the co-moments of two, into the value."""
+
+    inputs: tuple[Column, ...] = ()
+    finish: Callable[[Mapping[str, Column]], Column] | None = None
+    power: int = 2
+
+    def state(self, prefix: str) -> Moments:
+        return Moments(prefix, self.power, pair=len(self.inputs) == 2)
+
+
 @dataclass(frozen=True)
 class Grouped(Metric):
     """``build`` makes a Spark aggregate from the row inputs.
@@ -106,9 +134,16 @@ class Quantile(Metric):
 
 @dataclass(frozen=True)
 class Holistic(Metric):
-    """``plan(df, keys)`` returns one row per key with a column ``value``."""
+    """``plan(df, keys)`` returns one row per key with a column ``value``.
+
+    ``at_levels(df, dims, levels)`` may make several levels from one pass
+    (dimensions, ``LEVEL``, ``value``). ``running_plan(df, ordinal, count)`` may
+    make the values over all rows up to each ordinal below ``count``.
+    """
 
     plan: Callable[[DataFrame, Sequence[str]], DataFrame] | None = None
+    at_levels: Callable[[DataFrame, Sequence[str], Sequence[Sequence[str]]], DataFrame] | None = None
+    running_plan: Callable[[DataFrame, str, int], DataFrame] | None = None
 
 
 def _sum(p: Mapping[str, Column], name: str) -> Column:
@@ -195,68 +230,92 @@ def quotient(
     )
 
 
-# --- grouped --------------------------------------------------------------
+def product(name: str, column: Column | str, **display: Any) -> Additive:
+    """Product of the non-null values; 1 if there are none."""
+    parts = {"p": Part(as_column(column).cast("double"), "product")}
+    return Additive(name, parts=parts, finish=lambda p: F.coalesce(p["p"], F.lit(1.0)), **display)
 
 
-def _grouped(name: str, build: Callable[..., Column], *inputs: Column | str, **display: Any):
-    return Grouped(name, inputs=tuple(as_column(c) for c in inputs), build=build, **display)
+# --- central --------------------------------------------------------------
 
 
-def aggregate(name: str, build: Callable[..., Column], *inputs: Column | str, **display: Any):
-    """Any Spark aggregate of row expressions, e.g. ``aggregate("r", F.corr, "a", "b")``."""
-    return _grouped(name, build, *inputs, **display)
+def _central(
+    name: str, finish: Callable[[Mapping[str, Column]], Column], *inputs: Column | str, **options: Any
+) -> Central:
+    return Central(name, inputs=tuple(as_column(c) for c in inputs), finish=finish, **options)
 
 
-def std(name: str, column: Column | str, **display: Any) -> Grouped:
-    return _grouped(name, F.stddev_samp, column, **display)
+def std(name: str, column: Column | str, **display: Any) -> Central:
+    return _central(name, lambda p: F.sqrt(variance_of(p)), column, **display)
 
 
-def variance(name: str, column: Column | str, **display: Any) -> Grouped:
-    return _grouped(name, F.var_samp, column, **display)
+def variance(name: str, column: Column | str, **display: Any) -> Central:
+    return _central(name, variance_of, column, **display)
 
 
-def skewness(name: str, column: Column | str, **display: Any) -> Grouped:
+def skewness(name: str, column: Column | str, **display: Any) -> Central:
     """Population skewness."""
-    return _grouped(name, F.skewness, column, **display)
+    return _central(name, skewness_of, column, power=3, **display)
 
 
-def kurtosis(name: str, column: Column | str, **display: Any) -> Grouped:
+def kurtosis(name: str, column: Column | str, **display: Any) -> Central:
     """Population excess kurtosis."""
-    return _grouped(name, F.kurtosis, column, **display)
+    return _central(name, kurtosis_of, column, power=4, **display)
 
 
-def product(name: str, column: Column | str, **display: Any) -> Grouped:
-    """Product of the non-null values; 1 if there are none."""
-    return _grouped(name, lambda c: F.coalesce(F.product(c), F.lit(1.0)), column, **display)
+def standard_error(name: str, column: Column | str, **display: Any) -> Central:
+    return _central(
+        name, lambda p: F.sqrt(F.try_divide(variance_of(p), p["n"])), column, **display
+    )
 
 
-def standard_error(name: str, column: Column | str, **display: Any) -> Grouped:
-    return _grouped(name, lambda c: F.stddev_samp(c) / F.sqrt(F.count(c)), column, **display)
+def covariance(name: str, a: Column | str, b: Column | str, **display: Any) -> Central:
+    return _central(name, lambda p: variance_of(p, "xy"), a, b, **display)
 
 
-def covariance(name: str, a: Column | str, b: Column | str, **display: Any) -> Grouped:
-    return _grouped(name, F.covar_samp, a, b, **display)
+def correlation(name: str, a: Column | str, b: Column | str, **display: Any) -> Central:
+    """Null below two pairs and where one side is constant."""
+    return _central(name, correlation_of, a, b, **display)
 
 
-def correlation(name: str, a: Column | str, b: Column | str, **display: Any) -> Grouped:
-    return _grouped(name, F.corr, a, b, **display)
+# --- grouped --------------------------------------------------------------
+
+
+def _grouped(name: str, build: Callable[..., Column], *inputs: Column | str, **display: Any):
+    return Grouped(name, inputs=tuple(as_column(c) for c in inputs), build=build, **display)
+
+
+def aggregate(name: str, build: Callable[..., Column], *inputs: Column | str, **display: Any):
+    """Any Spark aggregate of row expressions, e.g. ``aggregate("r", F.corr, "a", "b")``."""
+    return _grouped(name, build, *inputs, **display)
 
 
 def distinct_count(
     name: str, column: Column | str, approximate: bool = False, **display: Any
-) -> Grouped:
+) -> Grouped | Additive:
     """Distinct values, null counting as one of them.
 
+    The approximate one keeps a sketch per finest group (about 1.6 % standard
+    error); sketches unite for subtotals, running groups and sources.
+
     The second input tells nulls of the data from rows blanked out because they
     belong to another source.
     """
-    count = F.approx_count_distinct if approximate else F.count_distinct
     c = as_column(column)
+    null = c.isNull().cast("int")
+    display = {"decimals": 0, **display}
+    if approximate:
+        parts = {"s": Part(F.when(c.isNotNull(), F.xxhash64(c)), "hll"), "null": Part(null, "max")}
+
+        def estimate(p: Mapping[str, Column]) -> Column:
+            return F.coalesce(F.hll_sketch_estimate(p["s"]), F.lit(0)) + _sum(p, "null")
+
+        return Additive(name, parts=parts, finish=estimate, **display)
     return Grouped(
         name,
-        inputs=(c, c.isNull().cast("int")),
-        build=lambda v, null: count(v) + F.coalesce(F.max(null), F.lit(0)),
-        **{"decimals": 0, **display},
+        inputs=(c, null),
+        build=lambda v, null: F.count_distinct(v) + F.coalesce(F.max(null), F.lit(0)),
+        **display,
     )
 
 
@@ -293,22 +352,47 @@ def mode(name: str, column: str, **display: Any) -> Holistic:
     def plan(df: DataFrame, keys: Sequence[str]) -> DataFrame:
         return most_frequent(df, column, keys).withColumnRenamed("mode", "value")
 
-    return Holistic(name, plan=plan, **display)
+    def at_levels(df: DataFrame, dims: Sequence[str], levels: Sequence[Sequence[str]]) -> DataFrame:
+        return level_modes(df, column, dims, levels).withColumnRenamed("mode", "value")
+
+    def running(df: DataFrame, ordinal: str, count: int) -> DataFrame:
+        reaching = F.explode(F.sequence(F.col(ordinal), F.lit(count - 1)))
+        found = level_modes(df, column, [ordinal], [[ordinal]], lambda c: c.withColumn(ordinal, reaching))
+        return found.select(ordinal, F.col("mode").alias("value"))
+
+    return Holistic(name, plan=plan, at_levels=at_levels, running_plan=running, **display)
 
 
 def autocorrelation(
     name: str, column: str, order_by: Sequence[str], limit: int = DISTINCT_LIMIT, **display: Any
 ) -> Holistic:
-    """Correlation with the previous row. Tables have no row order: give one."""
+    """Correlation with the previous row. Tables have no row order: give one.
+
+    Rows that tie in it are ordered by the value.
+    """
     if not order_by:
         raise ValueError("autocorrelation needs an order")
+    order = [*order_by, *(c for c in [column] if c not in order_by)]
+    all_rows = [F.lit(True)]
 
     def plan(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-        rows = ranged_rows(df, order_by, limit)
-        pairs = adjacent_pairs(rows, keys, order_by, column)
-        return pairs.groupBy(*keys).agg(F.corr("value", "previous").alias("value"))
-
-    return Holistic(name, plan=plan, **display)
+        rows = ranged_rows(df, order, limit)
+        return autocorrelations(rows, keys, order, column, all_rows).drop(VIEW)
+
+    def at_levels(df: DataFrame, dims: Sequence[str], levels: Sequence[Sequence[str]]) -> DataFrame:
+        rows = ranged_rows(df, order, limit)
+        pieces = [
+            rolled_up(autocorrelations(rows, level, order, column, all_rows), df, dims, level, "value")
+            for level in levels
+        ]
+        return reduce(DataFrame.unionByName, pieces)
+
+    def running(df: DataFrame, ordinal: str, count: int) -> DataFrame:
+        views = [F.col(ordinal) <= i for i in range(count)]
+        found = autocorrelations(ranged_rows(df, order, limit), [], order, column, views)
+        return found.select(F.col(VIEW).alias(ordinal), "value")
+
+    return Holistic(name, plan=plan, at_levels=at_levels, running_plan=running, **display)
 
 
 # --- standard metrics -----------------------------------------------------

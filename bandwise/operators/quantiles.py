@@ -333,16 +333,58 @@ def column_quantiles(
     return result
 
 
+def level_number(dims: Sequence[str], kept: Sequence[str]) -> int:
+    """Spark's grouping id: one bit per dimension, set when it is rolled up."""
+    return sum(1 << (len(dims) - 1 - i) for i, d in enumerate(dims) if d not in kept)
+
+
+def rolled_up(
+    found: DataFrame, rows: DataFrame, dims: Sequence[str], level: Sequence[str], value: str
+) -> DataFrame:
+    """Add the dimensions that are rolled up, as nulls, and the level."""
+    for d in dims:
+        if d not in level:
+            found = found.withColumn(d, F.lit(None).cast(rows.schema[d].dataType))
+    found = found.withColumn(LEVEL, F.lit(level_number(dims, level)).cast("bigint"))
+    return found.select(*dims, LEVEL, value)
+
+
 def most_frequent(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
     """Most frequent non-null value per key as ``mode``; the smallest on ties.
 
     Counting by (key, value) first spreads a hot key over its values.
     """
-    counts = (
-        df.filter(F.col(column).isNotNull())
-        .groupBy(*keys, F.col(column).alias("__value__"))
-        .agg(F.count(F.lit(1)).alias("__n__"))
-    )
+    return _most_counted(_mode_counts(df, column, keys), keys)
+
+
+def level_modes(
+    df: DataFrame,
+    column: str,
+    dims: Sequence[str],
+    levels: Sequence[Sequence[str]],
+    expand: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Modes at several levels: the dimensions, ``LEVEL`` and ``mode``.
+
+    Rows are counted once, by all dimensions and the value; levels add up those
+    counts. ``expand`` may send counts to several groups.
+    """
+    counts = _mode_counts(df, column, dims)
+    if expand is not None:
+        counts = expand(counts)
+    sets = [[*level, "__value__"] for level in levels]
+    # The value is the last grouping column and never rolled up: its bit goes.
+    level = F.shiftright(F.grouping_id(), 1).cast("bigint").alias(LEVEL)
+    added = counts.groupingSets(sets, *dims, "__value__").agg(level, F.sum("__n__").alias("__n__"))
+    return _most_counted(added, [*dims, LEVEL])
+
+
+def _mode_counts(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
+    values = df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("__value__"))
+    return values.agg(F.count(F.lit(1)).alias("__n__"))
+
+
+def _most_counted(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     best = F.min_by("__value__", F.struct(-F.col("__n__"), F.col("__value__")))
     return counts.groupBy(*keys).agg(best.alias("mode"))
 

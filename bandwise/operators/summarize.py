@@ -15,18 +15,23 @@ from bandwise.functions.predicates import Predicate, keep
 from bandwise.operators.metrics import (
     TOTAL_SIZE,
     Additive,
+    Central,
     Grouped,
     Holistic,
     Metric,
     Part,
     Quantile,
 )
+from bandwise.operators.moments import merge
 from bandwise.operators.ordering import null_safe_join, sketch_columns
-from bandwise.operators.quantiles import LEVEL, level_quantiles
+from bandwise.operators.quantiles import LEVEL, level_number, level_quantiles, rolled_up
 from bandwise.sources.union import SOURCE
 
 QUANTILES = "__quantiles__"
 _REACH = "__reach__"
+_SALT = "__salt__"
+# Tasks that share the finest groups of one subtotal.
+SALTS = 64
 
 
 def prepare(
@@ -56,6 +61,7 @@ class _Layout:
             isinstance(m, Additive) and m.uses_total_size for m in metrics
         )
         self.grouped = [m for m in metrics if isinstance(m, Grouped)]
+        self.moments = {i: m.state(f"c{i}") for i, m in enumerate(metrics) if isinstance(m, Central)}
         self.quantiles = [m for m in metrics if isinstance(m, Quantile)]
         # A variable is a column as seen by one source set.
         pairs = dict.fromkeys((m.column, self._key(m)) for m in self.quantiles)
@@ -104,9 +110,17 @@ class _Layout:
             found["r"] = Part(F.lit(1).cast("bigint"))
         return found
 
+    def partials(self) -> list[Column]:
+        """Aggregates of rows that can be merged."""
+        columns = [part.start().alias(name) for name, part in self.parts().items()]
+        for i, state in self.moments.items():
+            metric = self.metrics[i]
+            columns += state.of_rows(*(self.gate(metric, c) for c in metric.inputs))
+        return columns
+
     def row_aggregates(self) -> list[Column]:
         """Aggregates straight from rows: partials, then Spark's own."""
-        columns = [part.combine(part.value).alias(name) for name, part in self.parts().items()]
+        columns = self.partials()
         for i, m in enumerate(self.metrics):
             if isinstance(m, Grouped):
                 inputs = [self.gate(m, c) for c in m.inputs]
@@ -114,7 +128,7 @@ class _Layout:
         return columns
 
     def merged(self) -> list[Column]:
-        """Aggregates that combine partials of smaller groups."""
+        """Aggregates that combine partials of smaller groups, moments aside."""
         return [part.combine(F.col(name)).alias(name) for name, part in self.parts().items()]
 
     def totals(self) -> list[Column]:
@@ -132,6 +146,8 @@ class _Layout:
                 if m.uses_total_size:
                     parts[TOTAL_SIZE] = F.col(f"t{self.source_sets.index(self._key(m))}")
                 value = m.finish(parts)
+            elif isinstance(m, Central):
+                value = m.finish(self.moments[i].columns())
             elif isinstance(m, Grouped):
                 value = F.col(f"g{i}")
             elif isinstance(m, Quantile):
@@ -169,7 +185,7 @@ def _quantile_maps(
         F.col(column) if key is None else F.when(layout.member(key), F.col(column))
         for column, key in layout.variables
     ]
-    numbered = {_level(dims, level): level for level in levels}
+    numbered = {level_number(dims, level): level for level in levels}
     found = level_quantiles(rows, dims, values, layout.asks, sketches, limit, numbered, expand)
     # One entry per variable.
     entries = F.collect_list(F.struct("variable", "quantiles"))
@@ -177,20 +193,26 @@ def _quantile_maps(
     return maps.withColumn(LEVEL, F.col(LEVEL).cast("bigint"))
 
 
-def _with_level(
-    found: DataFrame, rows: DataFrame, dims: Sequence[str], level: Sequence[str], value: str
+def _merged_levels(
+    layout: _Layout, finest: DataFrame, dims: Sequence[str], levels: Sequence[Sequence[str]]
 ) -> DataFrame:
-    """Add the dimensions that are rolled up, as nulls, and the level."""
-    for d in dims:
-        if d not in level:
-            found = found.withColumn(d, F.lit(None).cast(rows.schema[d].dataType))
-    found = found.withColumn(LEVEL, F.lit(_level(dims, level)).cast("bigint"))
-    return found.select(*dims, LEVEL, value)
+    """Levels of a summary with moments, from its finest groups; each goes to every level once."""
 
+    def masked(level: Sequence[str]) -> Column:
+        kept = [
+            (F.col(d) if d in level else F.lit(None).cast(finest.schema[d].dataType)).alias(d)
+            for d in dims
+        ]
+        return F.struct(*kept, F.lit(level_number(dims, level)).cast("bigint").alias(LEVEL))
 
-def _level(dims: Sequence[str], kept: Sequence[str]) -> int:
-    """Spark's grouping id: one bit per dimension, set when it is rolled up."""
-    return sum(1 << (len(dims) - 1 - i) for i, d in enumerate(dims) if d not in kept)
+    partials = [c for c in finest.columns if c not in dims]
+    spread = finest.select(
+        F.explode(F.array(*(masked(level) for level in levels))).alias("__to__"),
+        F.pmod(F.xxhash64(*dims), F.lit(SALTS)).alias(_SALT),
+        *partials,
+    )
+    spread = spread.select("__to__.*", _SALT, *partials)
+    return merge(spread, [*dims, LEVEL], list(layout.moments.values()), layout.merged(), _SALT)
 
 
 def summarize_levels(
@@ -209,7 +231,7 @@ def summarize_levels(
     levels = [list(level) for level in dict.fromkeys(tuple(level) for level in levels)]
     layout = _Layout(metrics)
     rows = layout.restrict(df)
-    whole = _level(dims, [])
+    whole = level_number(dims, [])
     single = levels[0] if len(levels) == 1 else None
 
     finest = None
@@ -218,16 +240,19 @@ def summarize_levels(
         for d in dims:
             if d not in single:
                 aggregated = aggregated.withColumn(d, F.lit(None).cast(df.schema[d].dataType))
-        result = aggregated.withColumn(LEVEL, F.lit(_level(dims, single)).cast("bigint"))
+        result = aggregated.withColumn(LEVEL, F.lit(level_number(dims, single)).cast("bigint"))
     elif layout.grouped:
         result = rows.groupingSets(levels, *dims).agg(
             F.grouping_id().alias(LEVEL), *layout.row_aggregates()
         )
     else:
         finest = rows.groupBy(*dims).agg(*layout.row_aggregates())
-        result = finest.groupingSets(levels, *dims).agg(
-            F.grouping_id().alias(LEVEL), *layout.merged()
-        )
+        if layout.moments:
+            result = _merged_levels(layout, finest, dims, levels)
+        else:
+            result = finest.groupingSets(levels, *dims).agg(
+                F.grouping_id().alias(LEVEL), *layout.merged()
+            )
 
     if any(isinstance(m, Additive) and m.uses_total_size for m in metrics):
         counted = finest if finest is not None else rows.agg(*layout.row_aggregates())
@@ -241,13 +266,12 @@ def summarize_levels(
         if not isinstance(m, Holistic):
             continue
         seen = layout.visible(df, m)
-        pieces = [
-            _with_level(
-                m.plan(seen, level).withColumnRenamed("value", f"h{i}"), df, dims, level, f"h{i}"
-            )
-            for level in levels
-        ]
-        values = reduce(DataFrame.unionByName, pieces)
+        if m.at_levels is not None and single is None:
+            values = m.at_levels(seen, dims, levels)
+        else:
+            pieces = [rolled_up(m.plan(seen, level), df, dims, level, "value") for level in levels]
+            values = reduce(DataFrame.unionByName, pieces)
+        values = values.withColumnRenamed("value", f"h{i}")
         result = null_safe_join(result, values, [*dims, LEVEL], "left")
 
     by_group = F.col(LEVEL) != whole if dims else None
@@ -311,9 +335,9 @@ def cumulative(
     """Metrics over all rows in the groups up to and including each one.
 
     Every listed group gets a row, also when no row falls into it or before it.
-    Additive metrics are running totals over one row per group. The others see
-    each row once per group that includes it; that expansion happens before the
-    partial aggregation of the same task, so it is not shuffled.
+    Additive metrics, moments, modes and quantiles merge what each group has;
+    autocorrelations look at every row once. Other aggregates see each row once
+    per group that includes it, ahead of the partial aggregate of the same task.
     """
     base = prepare(df, where, with_columns)
     groups = list(ordered_groups)
@@ -325,25 +349,26 @@ def cumulative(
     at = F.array_position(F.lit(groups), F.col(key))
     ordinal = F.nullif(at, F.lit(0)).cast("int") - 1
     placed = rows.withColumn(_REACH, ordinal)
-    listed = ordered_frame(base, key, groups, _REACH)
-
-    names = layout.parts()
-    per_group = placed.groupBy(_REACH).agg(
-        *(part.combine(part.value).alias(name) for name, part in names.items())
-    )
-    upto = Window.orderBy(_REACH).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    result = listed.join(per_group, _REACH, "left").select(
-        key,
-        _REACH,
-        *(part.combine(F.col(name)).over(upto).alias(name) for name, part in names.items()),
-    )
+    # One row per group, sent to every group that includes it; behind the last one stands the
+    # whole table, with the rows of no group.
+    last = len(groups)
+    listed = ordered_frame(base, key, [*groups, None], _REACH)
+    per_group = placed.groupBy(_REACH).agg(*layout.partials())
+    reach = F.sequence(F.coalesce(F.col(_REACH), F.lit(last)), F.lit(last))
+    per_group = per_group.withColumn(_REACH, F.explode(reach))
+    merged = merge(per_group, [_REACH], list(layout.moments.values()), layout.merged())
+    result = listed.join(merged, _REACH, "left")
     if any(isinstance(m, Additive) and m.uses_total_size for m in metrics):
-        result = result.crossJoin(F.broadcast(per_group.agg(*layout.totals())))
-
-    expanded = placed.filter(F.col(_REACH).isNotNull()).withColumn(
-        _REACH, F.explode(F.sequence(F.col(_REACH), F.lit(len(groups) - 1)))
-    )
+        whole = Window.partitionBy()  # as many rows as there are groups
+        for i in range(len(layout.source_sets)):
+            size = F.max(F.when(F.col(_REACH) == last, F.col(f"r{i}"))).over(whole)
+            result = result.withColumn(f"t{i}", F.coalesce(size, F.lit(0)))
+    result = result.filter(F.col(_REACH) < last)
+
+    in_groups = placed.filter(F.col(_REACH).isNotNull())
+    reaching = F.explode(F.sequence(F.col(_REACH), F.lit(last - 1)))
     if layout.grouped:
+        expanded = in_groups.withColumn(_REACH, reaching)
         columns = [
             m.build(*(layout.gate(m, c) for c in m.inputs)).alias(f"g{i}")
             for i, m in enumerate(layout.metrics)
@@ -351,10 +376,9 @@ def cumulative(
         ]
         result = result.join(expanded.groupBy(_REACH).agg(*columns), _REACH, "left")
     if layout.quantiles:
-        reaching = F.explode(F.sequence(F.col(_REACH), F.lit(len(groups) - 1)))
         maps = _quantile_maps(
             layout,
-            placed.filter(F.col(_REACH).isNotNull()),
+            in_groups,
             [_REACH],
             [[_REACH]],
             lambda counts: counts.withColumn(_REACH, reaching),
@@ -362,7 +386,11 @@ def cumulative(
         result = result.join(maps.drop(LEVEL), _REACH, "left")
     for i, m in enumerate(layout.metrics):
         if isinstance(m, Holistic):
-            found = m.plan(layout.visible(expanded, m), [_REACH])
+            seen = layout.visible(in_groups, m)
+            if m.running_plan is not None:
+                found = m.running_plan(seen, _REACH, last)
+            else:
+                found = m.plan(seen.withColumn(_REACH, reaching), [_REACH])
             result = result.join(found.withColumnRenamed("value", f"h{i}"), _REACH, "left")
     return result.select(key, *layout.values(None))
 

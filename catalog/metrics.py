@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from bandwise.operators import metrics as M
+from bandwise.operators.ordering import null_safe_join
 from bandwise.operators.quantiles import group_quantiles
-from bandwise.operators.summarize import cumulative, join_summaries, summarize
+from bandwise.operators.summarize import LEVEL, cumulative, join_summaries, summarize, summarize_levels
 from bandwise.sources.union import only_sources
 from catalog.data import LOANS, loans, portfolio, round_columns, rounded, table
 from catalog.registry import query
@@ -542,3 +543,101 @@ def cumulative_over_sources(spark, sf_dir):
         with_columns={"tier": F.col("l_returnflag")},
     )
     return round_columns(found, 2, "test_balance")
+
+
+@query(
+    f"""
+    WITH {LOANS}, g(key, i) AS (VALUES (3, 0), (1, 1), (9, 2), (7, 3), (2, 4)),
+    upto AS (SELECT g.key, loans.* FROM g JOIN g AS h ON h.i <= g.i JOIN loans ON l_linenumber = h.key),
+    ordered AS (
+      SELECT key, l_quantity AS q,
+        lag(l_quantity) OVER (PARTITION BY key ORDER BY {', '.join(ROW_ORDER)}) AS previous
+      FROM upto),
+    counted AS (
+      SELECT key, l_quantity AS q, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, l_quantity) AS place
+      FROM upto GROUP BY 1, 2)
+    SELECT upto.key, any_value(mode_q) AS mode_q, any_value(r) AS autocorr_q,
+      round(skewness, 6) AS skew_q, round(kurt, 6) AS kurt_q, round(corr_qp, 6) AS corr_qp
+    FROM (
+      SELECT key, avg(pow(l_quantity - m, 3)) / pow(avg(pow(l_quantity - m, 2)), 1.5) AS skewness,
+        avg(pow(l_quantity - m, 4)) / pow(avg(pow(l_quantity - m, 2)), 2) - 3 AS kurt,
+        corr(l_quantity, l_extendedprice) AS corr_qp
+      FROM (SELECT *, avg(l_quantity) OVER (PARTITION BY key) AS m FROM upto) GROUP BY key) AS upto
+    JOIN (SELECT key, q AS mode_q FROM counted WHERE place = 1) AS c ON c.key = upto.key
+    JOIN (SELECT key, round(corr(q, previous), 6) AS r FROM ordered GROUP BY key) AS o ON o.key = upto.key
+    GROUP BY ALL
+    """
+)
+def cumulative_order_and_shape(spark, sf_dir):
+    """Mode, autocorrelation and moments over running groups: no row is copied."""
+    found = cumulative(
+        loans(spark, sf_dir),
+        "l_linenumber",
+        [3, 1, 9, 7, 2],
+        [
+            M.mode("mode_q", "l_quantity"),
+            M.autocorrelation("autocorr_q", "l_quantity", ROW_ORDER),
+            M.skewness("skew_q", "l_quantity"),
+            M.kurtosis("kurt_q", "l_quantity"),
+            M.correlation("corr_qp", "l_quantity", "l_extendedprice"),
+        ],
+    ).withColumnRenamed("l_linenumber", "key")
+    return round_columns(found, 6, "autocorr_q", "skew_q", "kurt_q", "corr_qp")
+
+
+@query(
+    """
+    WITH sets AS (
+      SELECT l_returnflag, l_linestatus, GROUPING(l_returnflag, l_linestatus) AS level,
+        round(stddev_samp(l_extendedprice), 4) AS std_p, round(covar_samp(l_quantity, l_extendedprice), 3) AS cov_qp,
+        round(sum(l_quantity), 2) AS total_q
+      FROM lineitem
+      GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), (l_linestatus), ())),
+    counted AS (
+      SELECT l_returnflag, l_linestatus, l_quantity, GROUPING(l_returnflag, l_linestatus) AS level, count(*) AS n
+      FROM lineitem
+      GROUP BY GROUPING SETS ((l_returnflag, l_linestatus, l_quantity), (l_returnflag, l_quantity),
+        (l_linestatus, l_quantity), (l_quantity))),
+    best AS (
+      SELECT *, row_number() OVER (PARTITION BY level, l_returnflag, l_linestatus ORDER BY n DESC, l_quantity) AS place
+      FROM counted)
+    SELECT sets.*, best.l_quantity AS mode_q
+    FROM sets JOIN best ON best.place = 1 AND best.level = sets.level
+      AND best.l_returnflag IS NOT DISTINCT FROM sets.l_returnflag
+      AND best.l_linestatus IS NOT DISTINCT FROM sets.l_linestatus
+    """
+)
+def subtotals_that_merge(spark, sf_dir):
+    """Moments and modes of all levels from one summary of the finest groups each."""
+    dims = ["l_returnflag", "l_linestatus"]
+    found = summarize_levels(
+        table(spark, sf_dir, "lineitem"),
+        dims,
+        [dims, dims[:1], dims[1:], []],
+        [
+            M.std("std_p", "l_extendedprice"),
+            M.covariance("cov_qp", "l_quantity", "l_extendedprice"),
+            M.total("total_q", "l_quantity"),
+            M.mode("mode_q", "l_quantity"),
+        ],
+    ).withColumnRenamed(LEVEL, "level")
+    return round_columns(round_columns(round_columns(found, 4, "std_p"), 3, "cov_qp"), 2, "total_q")
+
+
+@query(
+    """
+    SELECT l_returnflag, l_linestatus, GROUPING(l_returnflag, l_linestatus) AS level, true AS close,
+      count(DISTINCT l_partkey) AS exact_n
+    FROM lineitem
+    GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())
+    """
+)
+def sketched_counts_per_level(spark, sf_dir):
+    """Sketches kept per finest group and united for subtotals, within 8 % of the distinct values."""
+    dims = ["l_returnflag", "l_linestatus"]
+    rows, levels = table(spark, sf_dir, "lineitem"), [dims, dims[:1], []]
+    sketched = summarize_levels(rows, dims, levels, [M.distinct_count("estimate", "l_partkey", approximate=True)])
+    exact = summarize_levels(rows, dims, levels, [M.distinct_count("exact_n", "l_partkey")])
+    found = null_safe_join(exact, sketched, [*dims, LEVEL], "left")
+    close = F.abs(F.col("estimate") - F.col("exact_n")) <= 0.08 * F.col("exact_n")
+    return found.select(*dims, F.col(LEVEL).alias("level"), close.alias("close"), "exact_n")
