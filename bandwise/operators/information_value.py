@@ -109,15 +109,18 @@ def iv_ranking(
     limit: int = MAP_LIMIT,
     max_text_values: int | None = MAX_TEXT_VALUES,
 ) -> DataFrame:
-    """Information Value of every variable, strongest first: ``variable, iv, strength``.
+    """Information Value of every variable, strongest first.
+
+    Columns are ``variable, iv, strength, n_values, reason``. A text variable
+    with more than ``max_text_values`` values is not ranked: its row stands
+    last, without a value but with the reason and its number of values (an
+    estimate where the sketch is clear, exact near the limit). ``None`` ranks
+    them all. ``n_values`` is null for numbers.
 
     All variables share three passes: checks and distinct-count sketches, the
     bin edges of all numeric variables, and the count of good and bad rows per
     variable and bin. Rows are repeated per variable only ahead of the partial
-    aggregation in the same task. Text variables with more than
-    ``max_text_values`` values are left out, by their sketch if it is clear,
-    else by their number of bins; ``None`` ranks them all. ``eligible_variables``
-    says which ones those are.
+    aggregation in the same task.
     """
     kind = df.schema[target].dataType
     if not isinstance(kind, (NumericType, BooleanType)):
@@ -134,8 +137,13 @@ def iv_ranking(
     most = float("inf") if max_text_values is None else max_text_values
     few = {c for c in variables if sketches[c].distinct <= 2 * most}
     usable = [c for c in variables if c in numeric or c in few]
+    kinds = "variable string, is_number boolean, sketched bigint"
+    listed = df.sparkSession.createDataFrame(
+        [(c, c in numeric, None if c in usable else sketches[c].distinct) for c in variables], kinds
+    )
     if not usable:
-        return df.sparkSession.createDataFrame([], "variable string, iv double, strength string")
+        nothing = df.sparkSession.createDataFrame([], "variable string, bins bigint, iv double")
+        return _ranked(listed, nothing, max_text_values)
     known = rows.filter(F.col(target).isNotNull())
     edges = bin_edges(known, numeric, bins, limit, sketches)
 
@@ -156,17 +164,23 @@ def iv_ranking(
             F.count_if(F.col("target") == 1).alias("bad"),
         )
     )
+    return _ranked(listed, _value_of(grouped), max_text_values)
+
+
+def _ranked(listed: DataFrame, values: DataFrame, limit: int | None) -> DataFrame:
+    """One row per listed variable, with its value or with the reason why it has none."""
+    full = listed.join(values, "variable", "left")
+    n_values = F.when(~F.col("is_number"), F.coalesce("sketched", "bins", F.lit(0)))
+    skipped = F.lit(False) if limit is None else F.coalesce(n_values > limit, F.lit(False))
     # A variable without any usable row has no group, but a value of 0.
-    listed = df.sparkSession.createDataFrame(
-        [(c, c in numeric) for c in usable], "variable string, is_number boolean"
-    )
-    full = listed.join(_value_of(grouped), "variable", "left").filter(
-        F.col("is_number") | (F.coalesce("bins", F.lit(0)) <= F.lit(most))
-    )
-    iv = F.coalesce("iv", F.lit(0.0))
-    return full.select("variable", iv.alias("iv"), strength_label(iv).alias("strength")).orderBy(
-        F.col("iv").desc(), "variable"
-    )
+    iv = F.when(~skipped, F.coalesce("iv", F.lit(0.0)))
+    return full.select(
+        "variable",
+        iv.alias("iv"),
+        F.when(~skipped, strength_label(iv)).alias("strength"),
+        n_values.cast("bigint").alias("n_values"),
+        F.when(skipped, F.lit(f"more than {limit} values")).alias("reason"),
+    ).orderBy(F.col("iv").desc(), "variable")
 
 
 def information_value(

@@ -65,7 +65,8 @@ _STRENGTH = """CASE WHEN iv < 0.02 THEN 'useless' WHEN iv < 0.1 THEN 'weak'
     """
 )
 def information_value_of_one_variable(spark, sf_dir):
-    return round_columns(information_value(loans(spark, sf_dir), "l_extendedprice", "bad"), 6, "iv")
+    found = information_value(loans(spark, sf_dir), "l_extendedprice", "bad")
+    return round_columns(found.select("variable", "iv", "strength"), 6, "iv")
 
 
 @query(
@@ -79,21 +80,26 @@ def iv_ranking_of_loans(spark, sf_dir):
     """All variables in shared passes; the order itself is not compared."""
     variables = ["l_quantity", "l_extendedprice", "discount_pct", "loss", "l_linestatus", "l_returnflag"]
     found = iv_ranking(loans(spark, sf_dir), "bad", variables, where="l_quantity > 2")
-    return round_columns(found, 6, "iv")
+    return round_columns(found.select("variable", "iv", "strength"), 6, "iv")
 
 
 @query(
     f"""
     WITH docs AS (SELECT quality, toxic, n_chars, lang, source FROM documents JOIN labels USING (doc_id)),
-    {iv_sql('docs', 'quality', ['n_chars', 'toxic'], ['lang'])}
-    SELECT variable, round(iv, 6) AS iv, {_STRENGTH} AS strength FROM ivs
+    {iv_sql('docs', 'quality', ['n_chars', 'toxic'], ['lang', 'source'])},
+    counted AS (SELECT 'lang' AS variable, count(DISTINCT lang) AS n FROM docs
+      UNION ALL SELECT 'source', count(DISTINCT source) FROM docs)
+    SELECT variable, CASE WHEN n > 10 THEN NULL ELSE round(iv, 6) END AS iv,
+      CASE WHEN n > 10 THEN NULL ELSE {_STRENGTH} END AS strength,
+      CASE WHEN n > 10 THEN 'more than 10 values' END AS reason
+    FROM ivs LEFT JOIN counted USING (variable)
     """
 )
 def iv_ranking_of_documents(spark, sf_dir):
-    """``source`` has more than ten values and is left out."""
+    """``source`` has more than ten values: its row gives the reason why it has no rank."""
     docs = table(spark, sf_dir, "documents").drop("text").join(table(spark, sf_dir, "labels"), "doc_id")
     found = iv_ranking(docs, "quality", ["n_chars", "toxic", "lang", "source"])
-    return round_columns(found, 6, "iv")
+    return round_columns(found.drop("n_values"), 6, "iv")
 
 
 @query(

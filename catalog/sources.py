@@ -283,3 +283,21 @@ def scored_table_written(spark, sf_dir):
     return spark.read.parquet(path).groupBy("segment").agg(
         F.count(F.lit(1)).alias("n"), rounded(F.sum("balance"), 2).alias("balance")
     )
+
+
+@query(
+    """
+    SELECT l_linenumber AS segment, count(*) AS n,
+      round(sum(CASE WHEN l_linenumber IN (2, 5) THEN 2 * l_extendedprice ELSE l_extendedprice END), 2) AS balance
+    FROM lineitem GROUP BY 1
+    """
+)
+def segments_rewritten(spark, sf_dir):
+    """Two segments of a written table made anew; the others are left as they were."""
+    path = shared_folder(spark)
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("segment"), "l_extendedprice")
+    write_scored(rows, path, partition_by=["segment"])
+    doubled = rows.filter("segment IN (2, 5)").withColumn("l_extendedprice", 2 * F.col("l_extendedprice"))
+    write_scored(doubled, path, partition_by=["segment"], replace_partitions=True)
+    found = spark.read.parquet(path).groupBy("segment")
+    return found.agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("l_extendedprice"), 2).alias("balance"))

@@ -50,8 +50,19 @@ def test_one_rounding_rule(spark):
 
 def test_wide_text_variables_can_be_ranked(spark):
     df = spark.createDataFrame([(f"v{i % 12}", i % 2) for i in range(120)] + [("v0", 1)], "t string, y int")
-    assert iv_ranking(df, "y", ["t"]).count() == 0
-    assert iv_ranking(df, "y", ["t"], max_text_values=None).first()["variable"] == "t"
+    # Near the limit the number of values is exact.
+    assert tuple(iv_ranking(df, "y", ["t"]).first()) == ("t", None, None, 12, "more than 10 values")
+    ranked = iv_ranking(df, "y", ["t"], max_text_values=None).first()
+    assert ranked["variable"] == "t" and ranked["iv"] >= 0 and ranked["reason"] is None
+
+
+def test_skipped_variables_come_out_as_rows(spark):
+    df = spark.range(3000).select(F.col("id").cast("string").alias("wide"), (F.col("id") % 2).alias("y"), F.col("id").alias("n"))
+    n, wide = iv_ranking(df, "y", ["wide", "n"]).collect()
+    assert (n["variable"], n["n_values"], n["reason"]) == ("n", None, None)
+    assert (wide["iv"], wide["strength"], wide["reason"]) == (None, None, "more than 10 values")
+    assert wide["n_values"] == pytest.approx(3000, rel=0.2)
+    assert iv_ranking(df, "y", ["wide"]).count() == 1
 
 
 @pytest.mark.parametrize("gap, step", [(None, 1), (0, 1), (INF, 1), (250, 100), (1, 1), (1.5, 1), (0.25, 0.01), (0.5, 0.1), (1e-7, 1e-7), (12345.5, 10000)])

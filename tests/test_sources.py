@@ -217,3 +217,35 @@ def test_a_record_that_is_never_closed_ends_with_its_file(spark, tmp_path, small
 def test_ragged_rows(spark, tmp_path):
     df = read_csv(spark, write(tmp_path, "r.csv", "a,b\n1,2,3\n4\n"))
     assert [tuple(r) for r in df.collect()] == [(1, 2), (4, None)]
+
+
+def _files(path):
+    return {p.name: len(list(p.glob("part-*"))) for p in path.iterdir() if p.is_dir()}
+
+
+def test_segments_have_few_files_and_hot_ones_are_split(spark, tmp_path):
+    segment = F.when(F.col("id") % 10 < 7, 0).otherwise(F.col("id") % 10).alias("segment")
+    rows = spark.range(0, 200_000, 1, 16).select("id", segment, F.sha2(F.col("id").cast("string"), 256).alias("body"))
+    write_scored(rows, str(tmp_path / "plain"), partition_by=["segment"], rebalance=False)
+    assert set(_files(tmp_path / "plain").values()) == {16}
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2m")
+    try:
+        write_scored(rows, str(tmp_path / "few"), partition_by=["segment"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    files = _files(tmp_path / "few")
+    assert files["segment=0"] > 2 and all(files[f"segment={i}"] <= 2 for i in (7, 8, 9))
+    assert spark.read.parquet(str(tmp_path / "few")).count() == 200_000
+
+
+def test_rerunning_one_segment_replaces_it_only(spark, tmp_path):
+    path = str(tmp_path / "scored")
+    rows = spark.range(100).select("id", (F.col("id") % 4).alias("segment"))
+    write_scored(rows, path, partition_by=["segment"])
+    for _ in range(2):
+        write_scored(rows.filter("segment = 2").withColumn("id", F.col("id") + 1000), path, partition_by=["segment"], replace_partitions=True)
+        got = {r.segment: (r.n, r.low) for r in spark.read.parquet(path).groupBy("segment").agg(F.count("*").alias("n"), F.min("id").alias("low")).collect()}
+        assert got == {0: (25, 0), 1: (25, 1), 2: (25, 1002), 3: (25, 3)}
+    with pytest.raises(ValueError):
+        write_scored(rows, path, replace_partitions=True)
