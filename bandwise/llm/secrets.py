@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,12 @@ class SecretRule:
     pattern: str
     least: int
 
+    @property
+    def stamp(self) -> str:
+        """Version and digest of what the rule says, so that a rule changed under its old version is another one."""
+        said = hashlib.sha256(f"{self.least}:{self.pattern}".encode()).hexdigest()
+        return f"{self.version}-{said[:16]}"
+
 
 # The patterns that the contract names, in its order, and one more kind.
 BASE = ("assign", "access", "hex")
@@ -51,7 +58,7 @@ def _matches(text: Column, rule: SecretRule) -> Column:
         whole = F.instr(p, CLOSE) - 2
         return F.struct(
             F.lit(rule.kind).alias("kind"),
-            F.lit(rule.version).alias("version"),
+            F.lit(rule.stamp).alias("version"),
             i.alias("no"),
             F.when(i == 0, F.char_length(p)).otherwise(F.char_length(p) - 2).alias("step"),
             F.when((i > 0) & (whole - before >= rule.least), whole).alias("length"),
@@ -68,9 +75,11 @@ def scan(
 
     Returns the rows' ids and addresses (`_id`, `_blob`), the findings of all rules given in all contents of the ledger
     (`_blob`, `kind`, `start`, `end`, in code points, the end exclusive), and the ledger's folder to pass to the next
-    call. The ledger has two tables, `scanned` (content, kind, version) and `findings`; only pairs of content and
-    rule version that it lacks are scanned. Matches are leftmost and do not overlap within a kind; those too short are
-    dropped after matching.
+    call. The ledger is one table: a row says that a content was scanned by a kind's rule of one version, and holds what
+    was found. So whatever part of a lost write is there is whole, and the rest is scanned by the next call. One call may
+    write at a time. Only pairs of content and rule version that the ledger lacks are scanned; a rule whose pattern
+    changed under its old version counts as a new one. Matches are leftmost and do not overlap within a kind; those too
+    short are dropped after matching.
 
     Null texts are the empty content. Repeated rows and copies are one content, scanned once, and every row gets its
     findings. Null ids are ids like others; an empty table adds nothing. Other columns are not looked at.
@@ -83,7 +92,7 @@ def scan(
     ledger = ledger or new_folder(spark, "ledger")
     ids = cut(docs.select(F.col(doc_id).alias("_id"), blob_of(F.col(text)).alias("_blob")))
     contents = ids.groupBy("_blob").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"))).alias("_first"))
-    wanted = F.explode(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules]))
+    wanted = F.explode(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.stamp).alias("version")) for r in rules]))
     pairs = contents.select("_blob", F.col("_first.id").alias("_first"), wanted.alias("_rule")).select("_blob", "_first", "_rule.kind", "_rule.version")
     if not fresh:
         pairs = pairs.join(spark.read.parquet(f"{ledger}/scanned"), ["_blob", "kind", "version"], "left_anti")
@@ -99,15 +108,17 @@ def scan(
     order = Window.partitionBy("_blob", "kind", "version").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("step").over(order), F.lit(0)).cast("long")
     findings = parts.withColumn("start", start).filter("length is not null")
-    findings = findings.select("_blob", "kind", "version", "start", (F.col("start") + F.col("length")).alias("end"))
-    findings.write.mode("append").parquet(f"{ledger}/findings")
-    by_kind = {r.kind: r.version for r in rules}
+    span = F.struct("start", (F.col("start") + F.col("length")).alias("end"))
+    # Grouped as the window was: nothing is shuffled again.
+    findings = findings.groupBy("_blob", "kind", "version").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    by_kind = {r.kind: r.stamp for r in rules}
     versions = F.create_map(*[x for k, v in by_kind.items() for x in (F.lit(k), F.lit(v))])
     scanned = pairs.select("_blob", F.explode("_kinds").alias("kind")).withColumn("version", versions[F.col("kind")])
-    scanned.write.mode("append").parquet(f"{ledger}/scanned")
+    done = scanned.join(findings, ["_blob", "kind", "version"], "left")
+    done.write.mode("append").parquet(f"{ledger}/scanned")
 
-    current = spark.read.parquet(f"{ledger}/findings").filter(versions[F.col("kind")] == F.col("version"))
-    return ids, current.select("_blob", "kind", "start", "end"), ledger
+    current = spark.read.parquet(f"{ledger}/scanned").filter(versions[F.col("kind")] == F.col("version"))
+    return ids, current.select("_blob", "kind", F.inline("spans")), ledger
 
 
 def secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
