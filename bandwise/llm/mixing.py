@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bandwise.llm.common import WORD, cut
+from bandwise.llm.common import WORD, cut, stored
 
 #: Characters that prose rarely has; many of them make a document come late.
 SYMBOLS = r"[#$%&*!@^~|<>{}\[\]\\]"
-#: Rows a bucket of keys holds, about; only one bucket a source is ever sorted.
-BUCKET_ROWS = 20_000
+#: Keys a range holds, about; only one range a source is ever put in order.
+RANGE_ROWS = 200_000
+MIN_RANGES, MAX_RANGES = 16, 20_000
 
 
 def words_of(text: Column) -> Column:
@@ -55,6 +56,17 @@ def targets(sizes: dict[str | None, int], weights: list[int], share: Fraction, m
     return {s: round(float(bound[s] if level is None else min(bound[s], level * weight[s])), 6) for s in order}
 
 
+def key_ranges(slim: DataFrame, ranges: int) -> DataFrame:
+    """Words of each source and key in ranges of about equal rows: `_source`, `_key`, `_tied`, `_range`.
+
+    Rows of one source and key are one first, so neither a hot source nor a document repeated any number of times makes
+    a long range, whatever the weights do to the keys. Written once, so that a row keeps its range when an executor is lost.
+    """
+    tied = slim.groupBy("_source", "_key").agg(F.sum("_size").alias("_tied"))
+    dealt = tied.repartitionByRange(ranges, "_source", "_key")
+    return stored(dealt.withColumn("_range", F.spark_partition_id()), "keys")
+
+
 def mix(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -77,9 +89,9 @@ def mix(
     gives no rows. With `keep_columns` the columns of `docs` come first; its column names do not matter unless they are
     those added here, which are replaced.
 
-    Texts are not shuffled. A source may hold any share of the rows: sums per source and bucket of keys find the
-    bucket in which the target ends, and only that bucket is sorted. What reaches the driver are `max_sources` sums at
-    most; more sources than that are refused.
+    Texts are not shuffled. A source may hold any share of the rows: keys are dealt to ranges of equal rows, sums per
+    source and range find the range in which the target ends, and only that one is put in order. What reaches the driver
+    are `max_sources` sums at most; more sources than that are refused.
     """
     spark = docs.sparkSession
     size = words_of(F.col(text))
@@ -99,22 +111,19 @@ def mix(
     per_source = spark.createDataFrame(plan, schema)
 
     rows = sum(c for _, _, c in sums)
-    buckets = min(1_000_000, max(256, rows // BUCKET_ROWS))
-    bucket = F.floor((1 - F.exp(-F.col("_key"))) * buckets)
-    keyed = slim.select("_source", "_size", "_key", bucket.alias("_bucket"))
-    counted = keyed.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_words"))
-    running = F.sum("_words").over(Window.partitionBy("_source").orderBy("_bucket"))
+    keyed = key_ranges(slim, min(MAX_RANGES, max(MIN_RANGES, rows // RANGE_ROWS)))
+    counted = keyed.groupBy("_source", "_range").agg(F.sum("_tied").alias("_words"))
+    running = F.sum("_words").over(Window.partitionBy("_source").orderBy("_range"))
     counted = counted.withColumn("_until", running)
     counted = counted.join(F.broadcast(per_source), F.col("_source").eqNullSafe(F.col("_of")))
     ends_in = counted.filter("_rest > 0 and _until >= _rest and _until - _words < _rest")
-    ends_in = ends_in.select("_of", F.col("_bucket").alias("_last"), (F.col("_rest") - F.col("_until") + F.col("_words")).alias("_left"))
-    ends_in = spark.createDataFrame(ends_in.collect(), "_of string, _last long, _left long")
-    # Only the bucket in which a source's words run out is put in order.
-    last = keyed.join(F.broadcast(ends_in), F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_bucket") == F.col("_last")))
-    same = last.groupBy("_of", "_left", "_key").agg(F.sum("_size").alias("_tied"))
+    ends_in = ends_in.select("_of", F.col("_range").alias("_last"), (F.col("_rest") - F.col("_until") + F.col("_words")).alias("_left"))
+    ends_in = spark.createDataFrame(ends_in.collect(), "_of string, _last int, _left long")
+    # Only the range in which a source's words run out is put in order.
+    last = keyed.join(F.broadcast(ends_in), F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_last")))
     running = F.sum("_tied").over(Window.partitionBy("_of").orderBy("_key"))
-    same = same.withColumn("_until", running).filter("_until >= _left and _until - _tied < _left")
-    ends_at = same.select("_of", F.col("_key").alias("_end"), "_tied", (F.col("_left") - F.col("_until") + F.col("_tied")).alias("_words")).collect()
+    last = last.withColumn("_until", running).filter("_until >= _left and _until - _tied < _left")
+    ends_at = last.select("_of", F.col("_key").alias("_end"), "_tied", (F.col("_left") - F.col("_until") + F.col("_tied")).alias("_words")).collect()
     ends_at = spark.createDataFrame(ends_at, "_of string, _end double, _tied long, _words long")
 
     known = per_source.join(ends_at.withColumnRenamed("_of", "_at"), F.col("_of").eqNullSafe(F.col("_at")), "left").drop("_at")

@@ -86,6 +86,39 @@ def test_mix(documents):
     assert mixing.mix(documents([])).count() == 0
 
 
+def test_keys_are_dealt_to_even_ranges(spark):
+    # Weights of 1 / 6 stretch the keys, a source has 90 % of the rows, and one document is repeated 10,000 times.
+    rows = spark.range(40_000).select(
+        F.when(F.col("id") % 10 > 0, "hot").otherwise(F.col("id").cast("string").substr(-2, 1)).alias("_source"),
+        F.lit(2).cast("long").alias("_size"),
+        mixing.sampling_key(F.greatest("id", F.lit(10_000)), F.lit(2), F.lit(1 / 6), "mix").alias("_key"),
+    )
+    ranged = mixing.key_ranges(rows, 32)
+    sizes = [r["count"] for r in ranged.groupBy("_range").count().collect()]
+    assert len(sizes) == 32 and max(sizes) < 3 * sum(sizes) / 32
+    assert ranged.agg(F.sum("_tied")).first()[0] == 80_000
+    bounds = ranged.filter("_source = 'hot'").groupBy("_range").agg(F.min("_key"), F.max("_key")).orderBy("_range").collect()
+    assert all(a[2] < b[1] for a, b in zip(bounds, bounds[1:]))
+
+
+@pytest.mark.parametrize("rows_a_range", [1, 200_000])
+def test_mix_takes_by_key_whatever_the_ranges(documents, monkeypatch, rows_a_range):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", rows_a_range)
+    rows = [(i, "word " * (1 + i % 9) + "$#" * (i % 4)) for i in range(400)]
+    docs = documents(rows)
+    size, weight = mixing.words_of(F.col("text")), mixing.quality_of(F.col("text"))
+    keys = docs.select("doc_id", "source", size.alias("size"), mixing.sampling_key(F.col("doc_id"), size, weight, "mix").alias("key")).collect()
+    got = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
+    for source in {r["source"] for r in keys}:
+        ordered = sorted((r for r in keys if r["source"] == source), key=lambda r: r["key"])
+        whole = sum(r["size"] for r in ordered)
+        epochs, rest = divmod(int(got[ordered[0]["doc_id"]]["target"]), whole)
+        for r in ordered:
+            part = min(rest, r["size"])
+            assert got[r["doc_id"]]["taken"] == epochs * r["size"] + part
+            rest -= part
+
+
 # Chat
 
 
@@ -262,6 +295,24 @@ def test_ledger_scans_only_what_is_new(spark, documents):
     assert spark.read.parquet(f"{ledger}/scanned").count() == 2 * len(secrets.RULES) + 2
 
 
+def test_ledger_after_a_lost_write_and_a_changed_rule(spark, documents, tmp_path):
+    texts = [(i, f"password=hunter{i}\ntoken: abcdef{i} {'0123456789ab' * 3}") for i in range(20)] + [(20, "clean"), (21, None)]
+    _, whole, ledger = secrets.scan(documents(texts))
+    want = sorted(map(tuple, whole.collect()))
+    rows = spark.read.parquet(f"{ledger}/scanned")
+    assert rows.count() == 22 * len(secrets.RULES)
+    # What a lost write may leave: none, some or all of its files.
+    for part, path in enumerate(["kind <> 'hex'", "crc32(_blob) % 2 = 0", "false", "true"]):
+        left = str(tmp_path / f"ledger-{part}")
+        rows.filter(path).write.parquet(f"{left}/scanned")
+        _, found, _ = secrets.scan(documents(texts), ledger=left)
+        assert sorted(map(tuple, found.collect())) == want
+        assert spark.read.parquet(f"{left}/scanned").count() == 22 * len(secrets.RULES)
+    changed = tuple(secrets.SecretRule(r.kind, 1, r.pattern.replace("token|", ""), r.least) for r in secrets.RULES)
+    _, found, _ = secrets.scan(documents(texts), rules=changed, ledger=ledger)
+    assert found.filter("kind = 'assign'").count() == 20 and found.filter("kind = 'hex'").count() == 20
+
+
 # Vectors
 
 
