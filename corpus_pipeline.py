@@ -54,10 +54,11 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that contain an item of the benchmark."""
+    """Without documents that contain an item of the benchmark; whatever other columns they have, also `_id` or `_body`."""
     found = decontamination.contaminated_documents(docs, table(spark, sf_dir, "benchmark"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_body"))
-    return docs.join(found.select("_id", "_body"), same, "left_anti")
+    found = found.select("_id", "_body").alias("found")
+    same = F.col("own.doc_id").eqNullSafe(F.col("found._id")) & (F.xxhash64("own.text") == F.col("found._body"))
+    return docs.alias("own").join(found, same, "left_anti")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
