@@ -259,6 +259,9 @@ def test_decontamination_judges_each_text_on_its_own(spark, documents, monkeypat
     monkeypatch.setattr(C, "table", lambda *_: spark.read.parquet(path))
     got = C.decontaminate(spark, docs, "").select("doc_id", "text").collect()
     assert sorted(map(tuple, got), key=str) == sorted([r for r in rows if r[1] != item], key=str)
+    clashing = docs.withColumns({"_id": F.lit("x"), "_body": F.lit(0), "_key": F.lit(None)})
+    kept = C.decontaminate(spark, clashing, "")
+    assert kept.columns == clashing.columns and kept.count() == len(got)
 
 
 # Secrets
