@@ -130,10 +130,10 @@ def assign_lookup(df: DataFrame, column: str, categories: DataFrame, out: str) -
     first = (
         categories.filter(F.col("category").isNotNull())
         .groupBy(F.col("category").alias("__category__"))
-        .agg(F.min("band_id").alias(out))
+        .agg(F.min("band_id").alias("__band__"))
     )
     joined = df.join(first, F.col(column).cast("string") == F.col("__category__"), "left")
-    return joined.drop("__category__")
+    return joined.withColumn(out, F.col("__band__")).drop("__category__", "__band__")
 
 
 # --- making bands ---------------------------------------------------------
@@ -291,16 +291,19 @@ def check_category_bands(categories: DataFrame) -> DataFrame:
 
 
 def check_variable(
-    df: DataFrame, column: str, numeric: bool, max_categories: int = MAX_CATEGORIES
+    df: DataFrame, column: str, numeric: bool, max_categories: int | None = MAX_CATEGORIES
 ) -> list[str]:
-    """Reasons why a variable cannot be banded as wanted; empty if it can."""
+    """Reasons why a variable cannot be banded as wanted; empty if it can.
+
+    Without a limit on categories, as where they go to a table, nothing is counted.
+    """
     if column not in df.columns:
         return [f"column {column!r} does not exist"]
     is_number = isinstance(df.schema[column].dataType, NumericType)
     problems = []
     if numeric and not is_number:
         problems.append(f"column {column!r} is not numeric")
-    if not numeric or not is_number:
+    if max_categories is not None and (not numeric or not is_number):
         count = category_count(df, column).first()["categories"]
         if count > max_categories:
             problems.append(f"column {column!r} has {count} categories, limit {max_categories}")

@@ -143,7 +143,7 @@ def cell_table(
         raise ValueError("the chain has a single step")
     _refuse_cumulative(metrics)
     base = score(prepare(df, where), chain[:-1], "__parent__")
-    rows = base.withColumn("band_id", last.band()).withColumnRenamed("__parent__", "parent_id")
+    rows = last.with_band(base, "band_id").withColumnRenamed("__parent__", "parent_id")
     dims = ["band_id", "parent_id"]
     levels = [dims]
     if total_column:

@@ -34,9 +34,9 @@ from bandwise.operators.loss_bands import (
 )
 from bandwise.operators.segments import INF, segment_frame
 from bandwise.plans.build import child_step, root_step
-from bandwise.plans.chain import score
+from bandwise.plans.chain import score, scoring_sql
 from catalog.chains import SCORED, SEGMENTS, quantity_step, two_step_chain
-from catalog.data import LOANS, loans, rounded
+from catalog.data import LOANS, loans, rounded, shared_folder
 from catalog.registry import query
 
 _LOSS = LossRate("loss", "balance", use_scalar=False)
@@ -445,3 +445,64 @@ def three_step_chain_built_and_scored(spark, sf_dir):
     child = child_step(rows, [root], "tax_pct", _NEAR, _LOSS, upgrade=2, downgrade=2, high_is_risky=False)
     last = child_step(rows, [root, child], "line", _NEAR, _LOSS, upgrade=1, downgrade=1)
     return _summed(score(rows, [root, child, last]))
+
+
+def _by_category(column: str) -> str:
+    """A column's categories after quantity and tax: rates, the segments they fit, targets, and what comes out."""
+    return f"""
+    second AS (
+      SELECT rooted.*, target_id AS parent2 FROM rooted JOIN merged ON tax_pct > lower AND tax_pct <= upper
+      JOIN merged_grid g ON g.band_id = merged.band_id AND g.parent_id = parent),
+    modes AS (SELECT {column} AS line, sum(loss) / sum(balance) AS r FROM second GROUP BY 1),
+    cats AS (SELECT line, coalesce((SELECT min(id) FROM near WHERE r < upper_rate), 3) AS cat FROM modes),
+    third AS (SELECT second.*, cat FROM second JOIN cats ON line = {column}),
+    cells3 AS (SELECT cat, parent2, sum(loss) / sum(balance) AS rate FROM third GROUP BY 1, 2),
+    grid3 AS (SELECT cat, parent2, coalesce((SELECT min(s.id) FROM near s WHERE abs(s.id - parent2) <= 1 AND rate < s.upper_rate),
+                least(parent2 + 1, 3)) AS target3 FROM cells3)
+    SELECT target3 AS segment, count(*) AS n, round(sum(loss) / sum(balance), 8) AS rate FROM third JOIN grid3 USING (cat, parent2) GROUP BY 1
+    """
+
+
+def _supplier_chain(spark, sf_dir):
+    """Quantity, then tax within it, then suppliers: as many categories as there are, in a table that is joined."""
+    rows = loans(spark, sf_dir).withColumn("supplier", F.concat(F.lit("s'"), F.col("l_suppkey").cast("string")))
+    root = root_step(rows, "l_quantity", _NEAR)
+    child = child_step(rows, [root], "tax_pct", _NEAR, _LOSS, upgrade=2, downgrade=2, high_is_risky=False)
+    folder = shared_folder(spark)
+    last = child_step(rows, [root, child], "supplier", _NEAR, _LOSS, upgrade=1, downgrade=1, categories_folder=folder)
+    return rows, [root, child, last]
+
+
+_SUPPLIERS = f'WITH {_near_sql("tax_pct", _NEAR, _LOSS, 2, False)}, {_by_category("l_suppkey")}'
+
+
+@query(_SUPPLIERS)
+def three_step_chain_of_many_categories(spark, sf_dir):
+    """A chain whose last step holds a category table of any length, built by the library, then applied."""
+    rows, chain = _supplier_chain(spark, sf_dir)
+    return _summed(score(rows, chain))
+
+
+@query(_SUPPLIERS)
+def many_categories_scored_by_sql(spark, sf_dir):
+    """The same chain as SQL text, in which the category table is a join."""
+    rows, chain = _supplier_chain(spark, sf_dir)
+    return _summed(spark.sql(scoring_sql(chain, "{rows}"), rows=rows))
+
+
+@query(
+    f"""
+    WITH {LOANS},
+    ranked AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS place, count(*) OVER () AS n
+               FROM (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS s FROM loans)),
+    chunks AS (SELECT s, CAST(CASE WHEN place < (n % 4) * (n // 4 + 1) THEN place // (n // 4 + 1)
+                 ELSE n % 4 + (place - (n % 4) * (n // 4 + 1)) // (n // 4) END AS INT) AS segment FROM ranked)
+    SELECT segment, count(*) AS n, round(sum(loss) / sum(balance), 8) AS rate
+    FROM loans JOIN chunks ON s = CAST(l_suppkey AS VARCHAR) GROUP BY 1
+    """
+)
+def even_bands_of_many_categories(spark, sf_dir):
+    """Suppliers in four even chunks of their sorted names, as the first step of a chain."""
+    rows = loans(spark, sf_dir).withColumn("supplier", F.col("l_suppkey").cast("string"))
+    root = root_step(rows, "supplier", SEGMENTS, categories_folder=shared_folder(spark))
+    return _summed(score(rows, [root]))

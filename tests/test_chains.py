@@ -369,3 +369,80 @@ def test_child_step_reads_the_scored_rows_once(spark):
     step = child_step(rows, [root], "v", segments, LossRate("num", "den", mob=12, use_scalar=False), 1, 1)
     assert len(step.bands) > 1
     assert read.value == 2000
+
+
+@pytest.fixture(scope="module")
+def table_chain(book, chain, tmp_path_factory):
+    """The same chain; its last step holds the categories in a table."""
+    folder = str(tmp_path_factory.mktemp("categories") / "bucket")
+    return [*chain[:2], child_step(book, chain[:2], "bucket", SEGMENTS, LOSS, 1, 1, categories_folder=folder)]
+
+
+def test_category_table_scores_like_listed_categories(book, chain, table_chain):
+    assert table_chain[2].grid == chain[2].grid
+    wanted = score(book, chain).select("id", "segment")
+    found = score(book, table_chain).select("id", "segment")
+    assert found.exceptAll(wanted).count() == 0 and found.count() == wanted.count()
+    assert score(book, table_chain).columns == score(book, chain).columns
+
+
+def test_category_table_in_sql(spark, book, table_chain):
+    path = table_chain[2].categories_path
+    wanted = score(book, table_chain).select("id", "segment")
+    assert f"parquet.`{path}`" in scoring_sql(table_chain, "{book}")
+    spark.read.parquet(path).createOrReplaceTempView("bucket_bands")
+    for names in (None, {path: "bucket_bands"}):
+        text = scoring_sql(table_chain, "{book}", category_tables=names)
+        found = spark.sql(text, book=book).select("id", "segment")
+        assert found.exceptAll(wanted).count() == 0 and found.count() == wanted.count()
+    with pytest.raises(ValueError, match="no table named"):
+        scoring_sql(table_chain, "book", quote='"')
+    assert '"bucket_bands"' in scoring_sql(table_chain, "book", quote='"', category_tables={path: '"bucket_bands"'})
+
+
+def test_category_table_with_disabled_bands_and_in_reports(book, chain, table_chain):
+    listed, table = chain[2], table_chain[2]
+    off = frozenset({listed.bands[0].id})
+    listed = Step(listed.variable, listed.bands, listed.grid, off)
+    table = Step(table.variable, table.bands, table.grid, off, table.categories_path)
+    wanted = score(book, [*chain[:2], listed])
+    found = score(book, [*chain[:2], table])
+    assert found.filter("segment is null").count() > 0
+    assert found.select("id", "segment").exceptAll(wanted.select("id", "segment")).count() == 0
+    reports = [cell_table(book, [*chain[:2], s], SEGMENTS, [M.volume("n")]) for s in (listed, table)]
+    assert sorted(map(str, reports[0].collect())) == sorted(map(str, reports[1].collect()))
+    with pytest.raises(ValueError, match="with_band"):
+        table.band()
+
+
+def test_more_categories_than_can_be_listed(spark, tmp_path):
+    rows = spark.range(500).selectExpr(
+        "cast(id as int) as id", "concat('c', id % 100) as c", "double(id % 100 < 30) as bad", "1.0D as bal",
+    )
+    rows = rows.unionByName(spark.createDataFrame([(500, None, 1.0, 1.0), (501, "", 0.0, 1.0)], rows.schema))
+    with pytest.raises(ValueError, match="categories"):
+        root_step(rows, "c", SEGMENTS, LOSS)
+    root = root_step(rows, "c", SEGMENTS, LOSS, categories_folder=str(tmp_path / "root"))
+    got = {r["segment"]: r["count"] for r in score(rows, [root]).groupBy("segment").count().collect()}
+    assert got == {0: 351, 2: 150, None: 1}  # the null category stays unassigned, the empty text is one
+
+    even = root_step(rows, "c", SEGMENTS, categories_folder=str(tmp_path / "even"))
+    sizes = spark.read.parquet(even.categories_path).groupBy("band_id").count()
+    assert sorted(r["count"] for r in sizes.collect()) == [33, 34, 34]
+
+    child = child_step(rows, [root], "c", SEGMENTS, categories_folder=str(tmp_path / "child"))
+    assert score(rows, [root, child]).filter("not segment_1 <=> segment and c is not null").count() == 0
+    assert score(rows.limit(0), [root, child]).count() == 0
+    same = score(rows.withColumnRenamed("bal", "band_id").withColumn("category", F.lit(1)), [root])
+    assert same.filter("segment = 0").count() == 351
+
+
+def test_category_table_scores_a_stream(spark, book, table_chain, tmp_path):
+    path = str(tmp_path / "rows")
+    book.write.parquet(path)
+    stream = score(spark.readStream.schema(book.schema).parquet(path), table_chain)
+    query = stream.select("id", "segment").writeStream.format("memory").queryName("by_table").start()
+    query.processAllAvailable()
+    query.stop()
+    wanted = score(book, table_chain).select("id", "segment")
+    assert spark.table("by_table").exceptAll(wanted).count() == 0
