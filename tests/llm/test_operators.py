@@ -580,6 +580,47 @@ def test_line_runs_are_compacted_and_remembered(spark, documents):
     last = lines.dedup_lines(documents([(0, "the line that all have\nline number 2 of all\na new line of text")]), batches=1, index=index)
     assert last.first()["_kept"] == "a new line of text"  # earlier calls own their lines, whatever the ids
 
+    # Another session finds the runs by their folder; a run that no version lists doesn't count.
+    index.close()
+    spark.range(3).write.parquet(f"{index.folder}/run-0-lost")
+    again = lines.LineRuns.open(spark, index.folder)
+    assert (again.runs, again.buckets, again.fanout) == (index.runs, index.buckets, 2)
+    more = lines.dedup_lines(documents([(1, "a new line of text\nLINE number 3 of all\nnever seen before")]), batches=1, index=again)
+    assert more.first()["_kept"] == "never seen before"
+
+
+def test_runs_are_joined_without_shuffling_or_sorting_them(spark, documents):
+    index = lines.LineRuns(spark, buckets=5)
+    for i in range(3):
+        text = "\n".join(f"line number {i * 50 + k} of all" for k in range(100))
+        lines.dedup_lines(documents([(i, text)]), batches=1, index=index)
+    keys = spark.range(300).selectExpr("id as _h1", "id as _h2", "id as _owner", "false as _many")
+    batch = index.batch(keys)
+    with lines.sorted_scans(spark):
+        for joined in (index.unseen(batch), index.lookup(batch)):
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("SortMergeJoin") == 3
+            assert "Exchange" not in plan and "Sort [" not in plan
+    assert sum(index.read(path).count() for _, path in index.runs) == 200
+
+
+@pytest.mark.parametrize("kind", ["string", "binary", "date", "boolean", "decimal(20,3)"])
+def test_lines_with_ids_of_any_type(spark, kind):
+    texts = [f"a line that all have\nown line number {i}\nshared by some {i // 10}" for i in range(40)]
+    ids = {"string": lambda i: f"doc-{i:05d}", "binary": lambda i: bytes([7, i]), "boolean": lambda i: i >= 20}.get(kind, lambda i: i)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, text string")
+    values = {"date": F.date_add(F.lit("2020-01-01"), F.col("n")), "decimal(20,3)": F.col("n").cast(kind)}
+    if kind in values:
+        docs = rows.withColumn("doc_id", values[kind])
+    else:
+        docs = spark.createDataFrame([(ids(i), i, t) for i, t in enumerate(texts)], f"doc_id {kind}, n int, text string")
+    got = {r["n"]: r["_kept"] for r in lines.dedup_lines(docs).collect()}
+    for i in range(40):
+        if kind == "boolean":  # two ids: each is one document
+            want = [x for k, x in enumerate(texts[i].split("\n")) if i < 20 or k]
+        else:
+            want = [x for k, x in enumerate(texts[i].split("\n")) if k == 1 or i == (0 if k == 0 else i // 10 * 10)]
+        assert got[i] == "\n".join(want)
 
 
 def test_lines_of_a_long_copied_text_take_linear_time(spark):
