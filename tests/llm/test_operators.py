@@ -264,6 +264,118 @@ def test_decontamination_judges_each_text_on_its_own(spark, documents, monkeypat
     assert kept.columns == clashing.columns and kept.count() == len(got)
 
 
+# Brute force of decontamination: every window of every pair of texts is compared.
+
+
+def elements_of(text):
+    """Tokens as (form, kind), and the elements they make: (first token, stop, canonical form, slot or None)."""
+    D, tokens, kinds, breaks = decontamination, [], [], []
+    for token in (text or "").split():
+        bare = token.rstrip(".,")
+        bare = bare if bare.isalpha() else D.EDGE.sub("", token) or token
+        form = bare.lower()
+        number = form in D.NUMBER_WORDS or D.NUMBER.fullmatch(bare) or D.QUANTITY.fullmatch(bare)
+        name = len(bare) > 1 and bare[0].isupper() and not bare.isupper()
+        kinds.append("num" if number else "unit?" if form in D.UNITS else "name" if name else "word")
+        tokens.append(form)
+        breaks.append(token[-1] in ".,;:!?" and token.lower() not in D.TITLES)
+    out = []
+    for i, kind in enumerate(kinds):
+        if kind == "name" and out and kinds[i - 1] == "name" and not breaks[i - 1]:
+            out[-1][1] = i + 1
+        else:
+            out.append([i, i + 1, kind if kind != "unit?" else "unit" if i and kinds[i - 1] == "num" else "word"])
+    made = []
+    for first, stop, kind in out:
+        form = " ".join(tokens[first:stop])
+        made.append((first, stop, form if kind == "word" else f"<{kind}>", None if kind == "word" else f"{kind} {form}"))
+    return tokens, made
+
+
+def windows_by_hand(text, item):
+    """(level, position, words, slots, low, high) of all windows of five, template ones grown to three literal words."""
+    tokens, parts = elements_of(text)
+    out = {(0, i, " ".join(tokens[i : i + 5]), (), i, i) for i in range(len(tokens) - 4)}
+    literal = lambda a, b: sum(x[3] is None for x in parts[a:b])
+    spans = set()
+    for a in range(len(parts) - 4):
+        if literal(a, a + 5) >= 3:
+            spans.add((a, a + 5))
+            continue
+        spans |= {(a, b) for b in range(a + 6, len(parts) + 1) if literal(a, b) == 3 and literal(a, b - 1) == 2}
+        spans |= {(c, a + 5) for c in range(a) if literal(c, a + 5) == 3 and literal(c + 1, a + 5) == 2}
+    for a, b in spans:
+        slots = tuple(
+            None if item and j in (0, len(parts) - 1) and parts[j][2] == "<name>" else parts[j][3] for j in range(a, b) if parts[j][3]
+        )
+        low = parts[a][0]
+        end = parts[b][0] if b < len(parts) else len(tokens)
+        out.add((1, a, " ".join(x[2] for x in parts[a:b]), slots, low, max(end - 5, parts[a][1] - 1)))
+    return out, len(tokens) - 4
+
+
+def contained_by_hand(doc, item):
+    """Share of the item's windows that consistent alignments cover."""
+    (mine, _), (theirs, n) = windows_by_hand(doc, False), windows_by_hand(item, True)
+    if n <= 0:
+        return 0
+    runs = defaultdict(lambda: (set(), set()))
+    for level, at, form, slots, low, high in theirs:
+        for other, there, same, values, _, _ in mine:
+            if (level, form) == (other, same):
+                pairs, places = runs[level, there - at]
+                pairs |= {(x, y) for x, y in zip(slots, values) if x is not None}
+                places |= set(range(low, min(max(low, high), n - 1) + 1)) if low < n else set()
+    good = [places for pairs, places in runs.values() if len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs})]
+    return Fraction(len(set().union(*good)), n)
+
+
+def test_decontamination_query_against_brute_force(spark, tmp_path):
+    from bandwise.llm import queries
+
+    rng = random.Random(77)
+    people = ["Tom", "Mary", "Ann", "Bob", "Eva", "Dr. Smith", "John Newman", "Paul"]
+    words = "the old red train buys apples and then sells rice to a friend who runs home".split()
+    units = ["kg", "km", "minutes", "dollars", "hours."]
+
+    def sentence(size):
+        made = []
+        for _ in range(size):
+            made += rng.choice([[rng.choice(people)], [str(rng.randrange(2, 99)), rng.choice(units)], [rng.choice(words)], [rng.choice(words)], [rng.choice(words) + ","]])
+        return " ".join(made)
+
+    def changed(text, consistent):
+        """Other names and numbers, each the same throughout or not."""
+        fresh = {}
+
+        def other(m):
+            pick = rng.choice(["Kim", "Lea", "Max", "Ned"]) if m[0][0].isalpha() else str(rng.randrange(100, 999))
+            return fresh.setdefault(m[0], pick + (str(len(fresh)) if m[0][0].isdigit() else "")) if consistent else pick
+
+        return re.sub(r"\b(?:Tom|Mary|Ann|Bob|Eva|Paul|\d+)\b", other, text)
+
+    items = [(i, sentence(rng.randrange(3, 25))) for i in range(25)] + [(25, None), (26, ""), (None, sentence(9)), (27, "four words are few")]
+    items += [(28, items[0][1])]
+    docs = [(i, sentence(rng.randrange(0, 30))) for i in range(20)] + [(100, None), (101, ""), (102, "four words are few")]
+    for i, (_, text) in enumerate(items * 6):
+        if text:
+            cut = text.split()
+            part = " ".join(cut[rng.randrange(1 + len(cut) // 2) :]) if i % 4 > 1 else text
+            docs.append((200 + i, f"{sentence(4)} {changed(part, i % 3 != 1) if i % 2 else part} {sentence(5)}"))
+    docs += [docs[30], (None, docs[31][1])]
+    folder = str(tmp_path)
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    want, shares = Counter(), set()
+    for i, text in docs:
+        found = {k: share for k, t in items if k is not None and (share := contained_by_hand(text, t)) >= Fraction(1, 2)}
+        want[i, bool(found), len(found), ",".join(map(str, sorted(found))), round(float(max(found.values(), default=0)), 9)] += 1
+        shares |= set(found.values())
+    got = queries.op4_benchmark_decontamination(spark, folder).collect()
+    assert Counter((r["doc_id"], r["contaminated"], r["n_items"], r["item_ids"], round(r["max_share"], 9)) for r in got) == want
+    assert len(shares) > 12 and 50 < sum(n for k, n in want.items() if k[1]) < len(docs)
+
+
 # Secrets
 
 
