@@ -40,6 +40,19 @@ def test_toxicity_held_out(spark):
     assert got.count() == 1000 and got.filter("not score between 0 and 1 or predicted <> cast(score >= 0.5 as int)").count() == 0
 
 
+def test_toxicity_of_labelled_rows_held_out(spark):
+    """At the largest scale, where there are toxic documents enough to count."""
+    from bandwise.llm.queries import QUERIES
+
+    folder = SF_DIR.replace("0.01", "0.1")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").filter("toxic is not null").select("doc_id", "toxic")
+    held = QUERIES["op8_toxicity"](spark, folder).filter("held_out").join(labels, "doc_id")
+    seen = {(r["toxic"], r["predicted"]): r["count"] for r in held.groupBy("toxic", "predicted").count().collect()}
+    toxic, clean = (sum(n for (label, _), n in seen.items() if label == want) for want in (1, 0))
+    assert toxic > 50 and clean > 500
+    assert seen[1, 1] / toxic >= 0.8 and seen.get((0, 1), 0) / clean <= 0.03
+
+
 def test_decontamination_finds_every_verbatim_item(spark):
     from bandwise.llm.queries import QUERIES
 
