@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from bandwise.functions.predicates import first_match
+from bandwise.operators.bounded import bounded_rows
 from bandwise.operators.ordering import (
     DISTINCT_LIMIT,
     bucket_of,
@@ -56,7 +57,7 @@ def bands_frame(spark: SparkSession, bands: Sequence[Band]) -> DataFrame:
 
 def collect_bands(frame: DataFrame) -> list[Band]:
     """A numeric band table as driver-side configuration."""
-    rows = frame.select("band_id", "lower", "upper").orderBy("band_id").collect()
+    rows = bounded_rows(frame.select("band_id", "lower", "upper").orderBy("band_id"))
     return [Band(*row) for row in rows]
 
 

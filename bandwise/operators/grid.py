@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from bandwise.functions.labels import label_codes
 from bandwise.functions.predicates import first_match
 from bandwise.operators.bands import Band, assign
+from bandwise.operators.bounded import bounded_rows
 from bandwise.operators.loss_bands import LossRate
 from bandwise.operators.segments import Segment
 
@@ -28,7 +29,7 @@ def grid_frame(spark: SparkSession, grid: Grid) -> DataFrame:
 
 def collect_grid(frame: DataFrame) -> dict[tuple[int, int], int]:
     """A grid table as driver-side configuration."""
-    rows = frame.select("band_id", "parent_id", "target_id").collect()
+    rows = bounded_rows(frame.select("band_id", "parent_id", "target_id"))
     return {(b, p): t for b, p, t in rows}
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bandwise.functions.predicates import first_match
+from bandwise.operators.bounded import bounded_rows
 
 INF = float("inf")
 DOLLAR = "dollar"
@@ -70,7 +71,7 @@ def segment_frame(spark: SparkSession, segments: Sequence[Segment]) -> DataFrame
 def collect_segments(frame: DataFrame) -> list[Segment]:
     """A segment table as driver-side configuration."""
     columns = ["segment_id", "name", "lower_rate", "upper_rate", "maf_dollar", "maf_unit"]
-    return [Segment(*row) for row in frame.select(*columns).orderBy("segment_id").collect()]
+    return [Segment(*row) for row in bounded_rows(frame.select(*columns).orderBy("segment_id"))]
 
 
 def portfolio_scalar(current_rate: float | None, lifetime_rate: float | None) -> float:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from bandwise.operators import metrics as M
 from bandwise.operators.bands import Band, bands_frame
+from bandwise.operators.bounded import bounded_rows
 from bandwise.operators.grid import (
     assign_targets,
     collect_grid,
@@ -446,3 +447,12 @@ def test_category_table_scores_a_stream(spark, book, table_chain, tmp_path):
     query.stop()
     wanted = score(book, table_chain).select("id", "segment")
     assert spark.table("by_table").exceptAll(wanted).count() == 0
+
+
+def test_tables_too_long_for_configuration_are_refused(spark):
+    rows = spark.range(11).selectExpr("cast(id as int) as band_id", "0 as parent_id", "1 as target_id")
+    assert len(bounded_rows(rows, 11)) == 11
+    with pytest.raises(ValueError, match="more than 10 rows"):
+        bounded_rows(rows, 10)
+    with pytest.raises(ValueError, match="more than 100000 rows"):
+        collect_grid(spark.range(100_001).selectExpr("cast(id as int) as band_id", "0 as parent_id", "1 as target_id"))
