@@ -249,3 +249,29 @@ def test_rerunning_one_segment_replaces_it_only(spark, tmp_path):
         assert got == {0: (25, 0), 1: (25, 1), 2: (25, 1002), 3: (25, 3)}
     with pytest.raises(ValueError):
         write_scored(rows, path, replace_partitions=True)
+
+
+def test_whitespace_files_grow_in_number_not_in_size(spark, tmp_path, monkeypatch):
+    from catalog import sources
+
+    rows = [(k, k % 4 + 1, float(k % 7)) for k in range(40)] + [(None, 1, 1.0), (7, 2, None)]
+    items = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double")
+    items.repartition(4, F.col("l_linenumber") + F.pmod("l_orderkey", F.lit(5))).write.parquet(str(tmp_path / "lineitem.parquet"))
+    for files, name in [(3, "empty"), (6, "rows")]:
+        path = tmp_path / name
+        monkeypatch.setattr(sources, "shared_folder", lambda _, path=path: str(path))
+        given = tmp_path
+        if name == "empty":
+            given = tmp_path / "none"
+            items.limit(0).write.parquet(str(given / "lineitem.parquet"))
+        got = sources.csv_whitespace(spark, str(given)).collect()
+        texts = [f.read_text() for f in path.rglob("part-*")]
+        assert len(texts) >= files
+        assert all(text.startswith("l_orderkey l_linenumber\tl_quantity\n") for text in texts)
+        lines = sorted(x for text in texts for x in text.split("\n")[1:] if x)
+        if name == "empty":
+            assert got == [] and lines == []
+        else:
+            # A row that lacks a cell is no line.
+            assert lines == sorted(f" {k} \t {n}   {q}\t" for k, n, q in rows[:40])
+            assert {r["l_linenumber"]: (r["n"], r["keys"]) for r in got} == {n + 1: (10, sum(range(n, 40, 4))) for n in range(4)}
