@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from bandwise.llm.common import cut
 
+#: Edges that a task of a step gets, if there are so many.
+TASK_EDGES = 1 << 16
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("_hi", "_lo"))).first())
@@ -28,15 +31,17 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     edges = cut(edges.select(*_oriented("_a", "_b")).distinct())
     state = _state(edges)
     while state[0]:
+        tasks = max(edges.sparkSession.sparkContext.defaultParallelism, -(-state[0] // TASK_EDGES))
         # Large star: what lies above a node goes to the smallest node known there.
         ends = edges.select(F.col("_lo").alias("_at"), F.col("_lo").alias("_m")).union(edges.select(F.col("_hi"), F.col("_lo")))
-        least = cut(ends.groupBy("_at").agg(F.min("_m").alias("_m")))
+        least = cut(ends.groupBy("_at").agg(F.min("_m").alias("_m")).coalesce(tasks))
         edges = edges.join(least, edges["_lo"] == least["_at"]).select("_hi", F.col("_m").alias("_lo"))
-        edges = cut(edges.distinct())
+        edges = cut(edges.coalesce(tasks).distinct().coalesce(tasks))
         # Small star: a node and what lies below it go to the smallest of them.
-        least = cut(edges.groupBy(F.col("_hi").alias("_at")).agg(F.min("_lo").alias("_m")))
+        least = cut(edges.groupBy(F.col("_hi").alias("_at")).agg(F.min("_lo").alias("_m")).coalesce(tasks))
         below = edges.join(least, edges["_hi"] == least["_at"]).filter("_lo <> _m")
-        edges = cut(below.select(F.col("_lo").alias("_hi"), F.col("_m").alias("_lo")).union(least).distinct())
+        below = below.select(F.col("_lo").alias("_hi"), F.col("_m").alias("_lo")).coalesce(tasks)
+        edges = cut(below.union(least).distinct().coalesce(tasks))
         before, state = state, _state(edges)
         if state == before:
             break

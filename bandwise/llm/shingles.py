@@ -123,8 +123,9 @@ def _filter_of(hashes: DataFrame, column: str) -> bytes:
     at = F.col(column).bitwiseAND(F.lit(bits - 1))
     set_bits = hashes.select(F.shiftright(at, 6).cast("int").alias("_word"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("_bit"))
     words = np.zeros(bits // 64, dtype=np.int64)
-    for word, value in set_bits.groupBy("_word").agg(F.bit_or("_bit")).toLocalIterator():
-        words[word] = value
+    # One job for all partitions; an iterator over rows would start one for each.
+    found = set_bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits")).toArrow()
+    words[found["_word"].to_numpy()] = found["_bits"].to_numpy()
     return words.tobytes()
 
 

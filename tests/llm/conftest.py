@@ -14,3 +14,27 @@ def documents(spark):
         return spark.createDataFrame(full, schema)
 
     return make
+
+
+@pytest.fixture()
+def launched(spark):
+    """Runs a function with 64 partitions a shuffle: jobs, and tasks of their stages."""
+    changed = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+
+    def run(function, group):
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            for k, v in changed.items():
+                spark.conf.set(k, v)
+            function()
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
+            spark.sparkContext._jsc.clearJobGroup()
+        tracker = spark.sparkContext.statusTracker()
+        jobs = tracker.getJobIdsForGroup(group)
+        stages = {s: tracker.getStageInfo(s) for j in jobs for s in tracker.getJobInfo(j).stageIds}
+        return len(jobs), sum(s.numCompletedTasks for s in stages.values() if s)
+
+    return run

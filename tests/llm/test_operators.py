@@ -45,6 +45,21 @@ def test_components_without_edges(spark):
     assert components.connected_components(spark.createDataFrame([], "a string, b string"), "a", "b").count() == 0
 
 
+def test_components_have_tasks_by_edges_not_by_partitions(spark, launched):
+    links = [(i, i + 1) for i in range(40)]
+    edges = spark.createDataFrame(links, "a long, b long").coalesce(1)
+    found, steps = [], []
+    state = components._state
+    components._state = lambda e: steps.append(e.rdd.getNumPartitions()) or state(e)
+    try:
+        launched(lambda: found.extend(components.connected_components(edges, "a", "b").collect()), "components")
+    finally:
+        components._state = state
+    assert {(r["node"], r["component"]) for r in found} == {(i, 0) for i in range(41)}
+    # The first ones are as the caller's edges come, those after a step are dealt by their number.
+    assert len(steps) > 2 and max(steps[1:]) <= spark.sparkContext.defaultParallelism
+
+
 # Mixing
 
 
@@ -638,6 +653,23 @@ def test_near_copies_at_08_to_1_are_found(documents):
         assert all(want[i] == want[label[i]] for i in ids)  # nothing below 0.8 is tied
 
 
+def test_filter_of_compared_texts_is_gathered_in_few_jobs(spark, launched, monkeypatch):
+    from bandwise.llm import shingles
+
+    hashes = [-(1 << 63), -1, 0, 1, 63, 64, 65_535, 65_536, (1 << 63) - 1] + [i * 0x9E3779B97F4A7 for i in range(900)]
+    rows = spark.createDataFrame([(h,) for h in hashes], "h long").coalesce(1)
+    made = []
+    # It starts a job for each partition, from a thread whose jobs are not of the group.
+    monkeypatch.delattr(type(rows), "toLocalIterator")
+    jobs, _ = launched(lambda: made.append(shingles._filter_of(rows, "h")), "filter")
+    bits = np.unpackbits(np.frombuffer(made[0], dtype=np.uint8), bitorder="little")
+    assert set(np.flatnonzero(bits).tolist()) == {h & 65_535 for h in hashes} and len(bits) == 1 << 16
+    assert jobs < 10  # there are 64 partitions
+
+    empty = shingles._filter_of(rows.limit(0), "h")
+    assert not any(empty) and len(empty) == 1 << 13
+
+
 def test_near_copies_of_odd_texts(documents):
     from bandwise.llm import shingles
 
